@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import cotraining, hyperminhash, line_runs, ngram_rules, packing, tiling
+from tracewell.llm import cotraining, hilbert, hyperminhash, line_runs, mincut, ngram_rules, packing, reputation, tiling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, read back from the archives."""
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's verdict; pages are labelled through the document that their url names."""
+    pages = _table(spark, sf_dir, "pages")
+    found = reputation.filter_urls(pages, reputation.outcomes(pages, _table(spark, sf_dir, "labels")))
+    return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without later copies of repeated line runs."""
     return line_runs.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines_removed", "text")
@@ -33,16 +46,24 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "text_logit", "meta_logit", "quality_score", scored["quality_kept"].alias("kept"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_by_hilbert(_table(spark, sf_dir, "documents"))
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, threshold=0.85)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_quality_rules, op5_line_dedup, op6_quality_classifier, op8_hyperminhash, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op2_warc, op3_quality_rules, op4_url_filters, op5_line_dedup, op6_quality_classifier, op7_sharding, op8_hyperminhash, op9_html_extraction, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
