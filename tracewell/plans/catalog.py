@@ -1,10 +1,622 @@
-"""Queries over the fixture tables, each beside the SQL that says the same."""
+"""Queries over the fixture tables, each beside the SQL that says the same.
+
+conversations stands in for transcripts (system rows are compactions) and events
+for streams of messages (a session for each user, errors are compactions).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tracewell.functions import diff, formats, paths
+from tracewell.functions import text as X
+from tracewell.operators import context, links, listing, rules, search, sessions, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, by attribute."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def transcript(self) -> DataFrame:
+        kind = F.when(F.col("role") == "system", "compact").when(F.col("role") == "user", "user").otherwise("ai")
+        return self.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), kind.alias("category"), F.col("turn").alias("id"), "text", X.estimate_tokens(F.col("text")).alias("tokens"))
+
+    def stream(self) -> DataFrame:
+        return self.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_type", "value", F.floor("value").cast("long").alias("n"), "props")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _when(c: Column, **values: Column) -> Column:
+    return F.coalesce(*[F.when(c == k, v) for k, v in values.items()])
+
+
+TOKENS = "CAST(CEIL(LENGTH(text) / 4.0) AS BIGINT)"
+KIND = "CASE role WHEN 'system' THEN 'compact' WHEN 'user' THEN 'user' ELSE 'ai' END"
+MS = "(epoch_us(ts) // 1000)"
+
+
+# Sums and runs of sessions
+
+
+@query("""
+    WITH e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1 AS last FROM events)
+    SELECT user_id AS session, CAST(epoch_us(MAX(ts)) // 1000 - epoch_us(MIN(ts)) // 1000 AS BIGINT) AS duration_ms, COUNT(*) AS message_count,
+        CAST(SUM(CASE WHEN last THEN FLOOR(value) ELSE 0 END) AS BIGINT) AS input_tokens, CAST(SUM(CASE WHEN last THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE 0 END) AS BIGINT) AS output_tokens,
+        CAST(SUM(CASE WHEN last THEN FLOOR(value) + CAST(json_extract(props, '$.k') AS BIGINT) ELSE 0 END) AS BIGINT) AS total_tokens
+    FROM e GROUP BY user_id""")
+def session_metrics(t: Tables) -> DataFrame:
+    rows = t.stream().select("session", "pos", "ts", F.col("event_type").alias("request_id"), F.col("n").alias("input"), F.get_json_object("props", "$.k").cast("long").alias("output"), F.lit(0).alias("cache_read"), F.lit(0).alias("cache_creation"))
+    return sessions.session_metrics(rows).drop("cache_read_tokens", "cache_creation_tokens")
+
+
+@query("SELECT user_id AS session, event_id AS pos, event_type AS request_id FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def dedup_last(t: Tables) -> DataFrame:
+    return sessions.dedup_last(t.stream().select("session", "pos", F.col("event_type").alias("request_id")))
+
+
+@query(f"""
+    SELECT conv_id AS session, COUNT(*) AS n_messages, CAST(SUM({TOKENS}) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id""")
+def token_estimate(t: Tables) -> DataFrame:
+    return t.transcript().groupBy("session").agg(F.count("*").alias("n_messages"), F.sum("tokens").alias("tokens"))
+
+
+CHUNKS = f"""
+    WITH c AS (SELECT *, {KIND} AS kind, {TOKENS} AS tokens FROM conversations),
+    b AS (SELECT *, CASE WHEN kind <> 'ai' OR COALESCE(LAG(kind) OVER w, '') <> 'ai' THEN 1 ELSE 0 END AS starts FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT *, SUM(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM b)"""
+
+
+@query(f"""{CHUNKS}
+    SELECT conv_id AS session, CAST(run AS BIGINT) AS run, MIN(kind) AS kind, MIN(turn) AS first_pos, MAX(turn) AS last_pos, COUNT(*) AS n_messages, CAST(SUM(tokens) AS BIGINT) AS tokens, MIN(kind) || '-' || MIN(turn) AS chunk_id
+    FROM r GROUP BY conv_id, run""")
+def chunks(t: Tables) -> DataFrame:
+    return sessions.chunks(t.transcript())
+
+
+@query("""
+    WITH i AS (SELECT *, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations),
+    g AS (SELECT conv_id, island, MAX(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS answered, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS users FROM i GROUP BY conv_id, island)
+    SELECT conv_id AS session, CAST(SUM(users + CASE WHEN island > 0 THEN answered ELSE 0 END) AS BIGINT) AS turns FROM g GROUP BY conv_id""")
+def turn_count(t: Tables) -> DataFrame:
+    return sessions.turn_count(t.transcript().withColumn("is_user", F.col("category") == "user").withColumn("is_assistant", F.col("category") == "ai"))
+
+
+@query("SELECT conv_id AS session, SUBSTR(arg_min(text, turn) FILTER (role = 'user'), 1, 500) AS first_message FROM conversations GROUP BY conv_id")
+def first_message(t: Tables) -> DataFrame:
+    return sessions.first_user_message(t.transcript().withColumn("shown", F.when(F.col("category") == "user", F.col("text"))).withColumn("command", F.lit(None).cast("string")))
+
+
+PHASES = """
+    WITH e AS (SELECT user_id, event_id, event_type = 'error' AS compact, CASE WHEN event_type <> 'error' AND FLOOR(value) > 0 THEN CAST(FLOOR(value) AS BIGINT) END AS ctx FROM events),
+    i AS (SELECT *, SUM(CASE WHEN compact THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e),
+    p AS (SELECT user_id, island, arg_min(ctx, event_id) FILTER (ctx IS NOT NULL) AS first_ctx, arg_max(ctx, event_id) FILTER (ctx IS NOT NULL) AS last_ctx FROM i GROUP BY user_id, island),
+    q AS (SELECT *, COALESCE(LAST_VALUE(last_ctx IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY island ROWS UNBOUNDED PRECEDING), 0) AS peak,
+        CASE WHEN island = 0 THEN 0 ELSE COALESCE(first_ctx, 0) END AS post, island = MAX(island) OVER (PARTITION BY user_id) AS is_last, MAX(last_ctx) OVER (PARTITION BY user_id) AS any_ctx FROM p),
+    r AS (SELECT user_id AS session, CAST(island + 1 AS BIGINT) AS phase, CAST(CASE WHEN is_last AND island > 0 AND post = 0 THEN 0 ELSE peak - post END AS BIGINT) AS contribution, CAST(peak AS BIGINT) AS peak, CAST(post AS BIGINT) AS post FROM q WHERE any_ctx IS NOT NULL)"""
+
+
+@query(f"{PHASES} SELECT * FROM r")
+def phases(t: Tables) -> DataFrame:
+    return sessions.compaction_phases(t.stream().select("session", "pos", (F.col("event_type") == "error").alias("compact"), F.col("n").alias("ctx"))).select("session", F.col("phase").cast("long").alias("phase"), F.col("contribution").cast("long").alias("contribution"), F.col("peak").cast("long").alias("peak"), F.col("post").cast("long").alias("post"))
+
+
+@query(f"{PHASES} SELECT session, CAST(SUM(contribution) AS BIGINT) AS consumption, CAST(COUNT(*) - 1 AS BIGINT) AS compactions FROM r GROUP BY session")
+def context_consumption(t: Tables) -> DataFrame:
+    return sessions.context_consumption(t.stream().select("session", "pos", (F.col("event_type") == "error").alias("compact"), F.col("n").alias("ctx")))
+
+
+@query("""
+    SELECT user_id AS session, COALESCE(MAX(CASE WHEN event_type IN ('click', 'view') THEN event_id END) > MAX(CASE WHEN event_type = 'purchase' THEN event_id END),
+        COUNT(CASE WHEN event_type IN ('click', 'view') THEN 1 END) > 0 AND COUNT(CASE WHEN event_type = 'purchase' THEN 1 END) = 0) AS is_ongoing FROM events GROUP BY user_id""")
+def ongoing(t: Tables) -> DataFrame:
+    return sessions.ongoing(t.stream().select("session", "pos", F.col("event_type").isin("click", "view").alias("is_activity"), (F.col("event_type") == "purchase").alias("is_ending")))
+
+
+@query(f"""
+    SELECT user_id AS session, event_id AS pos, COALESCE(MIN({MS}) OVER (PARTITION BY user_id ORDER BY {MS} RANGE BETWEEN 100 FOLLOWING AND UNBOUNDED FOLLOWING), MAX({MS}) OVER (PARTITION BY user_id)) AS effective_end_ms FROM events""")
+def gap_fill(t: Tables) -> DataFrame:
+    return sessions.gap_filled(t.stream()).select("session", "pos", "effective_end_ms")
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, event_type = 'error' AS compact, CASE WHEN event_type <> 'error' THEN CAST(FLOOR(value) AS BIGINT) END AS total FROM events),
+    w AS (SELECT *, CAST(1 + SUM(CASE WHEN compact THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS phase,
+        LAST_VALUE(total IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        FIRST_VALUE(total IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM e)
+    SELECT user_id AS session, event_id AS pos, phase, before, after, after - before AS delta FROM w WHERE compact""")
+def context_deltas(t: Tables) -> DataFrame:
+    return sessions.context_deltas(t.stream().select("session", "pos", (F.col("event_type") == "error").alias("compact"), F.when(F.col("event_type") != "error", F.col("n")).alias("total")))
+
+
+@query(f"""
+    WITH RECURSIVE o AS (SELECT user_id, event_id, {MS} AS ms, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY {MS}, event_id) AS rn FROM events),
+    g AS (SELECT user_id, event_id, ms, rn, ms AS anchor FROM o WHERE rn = 1
+        UNION ALL SELECT o.user_id, o.event_id, o.ms, o.rn, CASE WHEN o.ms - g.anchor <= 3600000 THEN g.anchor ELSE o.ms END FROM g JOIN o ON o.user_id = g.user_id AND o.rn = g.rn + 1)
+    SELECT user_id AS session, anchor AS anchor_ms, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ms, CAST(event_id AS VARCHAR)) AS members, CAST(COUNT(*) AS INTEGER) AS n FROM g GROUP BY user_id, anchor""")
+def parallel_groups(t: Tables) -> DataFrame:
+    return sessions.parallel_groups(t.stream().select("session", "ts_ms", F.col("pos").cast("string").alias("id")), window_ms=3_600_000)
+
+
+# Joins
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_quantity, l_returnflag = 'R' AS is_error, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem)
+    SELECT o_orderkey AS id, o_orderstatus, l_quantity AS result_quantity, is_error AS result_is_error, l_orderkey IS NULL AS is_orphan FROM orders LEFT JOIN r ON l_orderkey = o_orderkey AND rn = 1""")
+def tool_link(t: Tables) -> DataFrame:
+    pos = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    results = t.lineitem.select(F.col("l_orderkey").alias("tool_use_id"), pos.alias("pos"), F.col("l_quantity").alias("quantity"), (F.col("l_returnflag") == "R").alias("is_error"))
+    return links.link_tools(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), results, by=())
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def unclaimed_tasks(t: Tables) -> DataFrame:
+    return links.unclaimed(t.customer.select("c_custkey", "c_name"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey, s_nationkey AS k, ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier),
+    p AS (SELECT p_partkey, p_partkey % 25 AS k, ROW_NUMBER() OVER (PARTITION BY p_partkey % 25 ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+    SELECT CAST(s.k AS BIGINT) AS k, CAST(s.rank AS INTEGER) AS rank, s_suppkey, p_partkey FROM s JOIN p ON s.k = p.k AND s.rank = p.rank""")
+def positional_match(t: Tables) -> DataFrame:
+    s = t.supplier.select(F.col("s_nationkey").cast("long").alias("k"), "s_suppkey", "s_acctbal")
+    p = t.part.select((F.col("p_partkey") % 25).alias("k"), "p_partkey", "p_retailprice")
+    return links.positional(s, p, ["s_acctbal", "s_suppkey"], [F.desc("p_retailprice"), "p_partkey"], ["k"]).select("k", "rank", "s_suppkey", "p_partkey")
+
+
+@query("""
+    WITH u AS (SELECT user_id, event_id, ts, ROW_NUMBER() OVER w - 1 AS turn, LEAD(ts) OVER w AS next_ts FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT u.user_id AS session, CAST(u.turn AS INTEGER) AS turn, u.event_id AS user_pos, r.event_id AS pos FROM u JOIN events r ON r.user_id = u.user_id AND r.event_type IN ('view', 'click') AND r.ts > u.ts AND (u.next_ts IS NULL OR r.ts < u.next_ts)""")
+def group_responses(t: Tables) -> DataFrame:
+    rows = t.stream().withColumn("is_user", F.col("event_type") == "signup").withColumn("is_response", F.col("event_type").isin("view", "click"))
+    return links.responses(rows).select("session", "turn", "user_pos", "pos")
+
+
+def _spans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    s = t.stream()
+    spans = links.turns(s.withColumn("is_user", F.col("event_type") == "purchase")).select("session", F.col("user_pos").alias("span"), F.col("user_ts").alias("start"), F.col("next_ts").alias("end"))
+    return s.select("session", "pos", "ts"), spans
+
+
+@query("""
+    WITH u AS (SELECT user_id, event_id, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events WHERE event_type = 'purchase')
+    SELECT u.user_id AS session, u.event_id AS span, COUNT(CASE WHEN e.ts >= u.ts AND (u.next_ts IS NULL OR e.ts <= u.next_ts) THEN 1 END) AS n_both, COUNT(CASE WHEN e.ts >= u.ts AND (u.next_ts IS NULL OR e.ts < u.next_ts) THEN 1 END) AS n_left,
+        COUNT(CASE WHEN e.ts > u.ts AND (u.next_ts IS NULL OR e.ts < u.next_ts) THEN 1 END) AS n_neither FROM u JOIN events e ON e.user_id = u.user_id GROUP BY u.user_id, u.event_id""")
+def interval_link(t: Tables) -> DataFrame:
+    points, spans = _spans(t)
+    out = spans.select("session", "span")
+    for closed in ("both", "left", "neither"):
+        n = links.in_interval(points, spans, ["session"], closed).groupBy("session", "span").agg(F.count("*").alias(f"n_{closed}"))
+        out = out.join(n, ["session", "span"], "left")
+    return out.fillna(0)
+
+
+@query(f"""
+    WITH g AS (SELECT user_id, event_id, {MS} AS s, {MS} + 3600000 AS raw_e, LEAD({MS}) OVER (PARTITION BY user_id ORDER BY {MS}, event_id) AS nx FROM events WHERE event_type = 'signup'),
+    h AS (SELECT user_id, event_id, s, CASE WHEN nx IS NOT NULL AND nx <= raw_e THEN nx - 1 ELSE raw_e END AS e FROM g),
+    p AS (SELECT user_id, event_id, {MS} AS t FROM events WHERE event_type = 'view'),
+    j AS (SELECT p.user_id, p.event_id AS pos, h.event_id AS grp, ROW_NUMBER() OVER (PARTITION BY p.user_id, p.event_id ORDER BY CASE WHEN t BETWEEN s AND e THEN -1 ELSE LEAST(ABS(t - s), ABS(t - e)) END, s) AS rn FROM p JOIN h ON h.user_id = p.user_id)
+    SELECT user_id AS session, pos, grp FROM j WHERE rn = 1""")
+def nearest_group(t: Tables) -> DataFrame:
+    s = t.stream()
+    from pyspark.sql import Window
+
+    nx = F.lead("ts_ms").over(Window.partitionBy("session").orderBy("ts_ms", "pos"))
+    groups = s.where("event_type = 'signup'").withColumn("nx", nx).select("session", F.col("ts_ms").alias("start"), F.when(F.col("nx") <= F.col("ts_ms") + 3_600_000, F.col("nx") - 1).otherwise(F.col("ts_ms") + 3_600_000).alias("end"), F.col("pos").alias("grp"))
+    points = s.where("event_type = 'view'").select("session", F.col("ts_ms").alias("ts"), "pos")
+    return links.nearest(points, groups, ["session"], "pos", "grp").where("grp is not null")
+
+
+@query("""
+    SELECT user_id AS session, event_id AS pos, LAST_VALUE(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM events""")
+def reply_link(t: Tables) -> DataFrame:
+    rows = t.stream().select("session", "pos", (F.col("event_type") == "click").alias("is_sent"))
+    return links.last_before(rows, ["session"], "pos", "is_sent", "pos").select("session", "pos", "found")
+
+
+@query("""
+    WITH RECURSIVE r AS (SELECT conv_id, turn AS node, turn AS root, CAST(0 AS BIGINT) AS depth FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn - 1)
+        UNION ALL SELECT c.conv_id, c.turn, r.root, r.depth + 1 FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.node + 1)
+    SELECT conv_id AS session, node, root, depth FROM r""")
+def thread(t: Tables) -> DataFrame:
+    return links.threads(t.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("node"), (F.col("turn") - 1).alias("parent")), ["session"])
+
+
+# Views
+
+
+@query(f"""
+    WITH l AS (SELECT conv_id, turn, UNNEST(string_split(text, chr(10))) AS line, UNNEST(range(0, LENGTH(text) - LENGTH(REPLACE(text, chr(10), '')) + 1)) AS block FROM conversations)
+    SELECT conv_id AS session, turn AS pos, CAST(block AS INTEGER) AS block_no, CAST(CEIL(LENGTH(line) / 4.0) AS BIGINT) AS tokens FROM l WHERE line <> ''""")
+def steps(t: Tables) -> DataFrame:
+    each = t.transcript().select("session", "pos", F.posexplode(F.split("text", "\n")).alias("block_no", "line")).where("line <> ''")
+    return each.select("session", "pos", "block_no", X.estimate_tokens(F.col("line")).alias("tokens"))
+
+
+@query("""
+    SELECT conv_id AS session, CASE WHEN COUNT(CASE WHEN role = 'assistant' THEN 1 END) > 0 THEN 'text' WHEN COUNT(CASE WHEN role = 'user' THEN 1 END) > 0 THEN 'tool_result' END AS kind,
+        COALESCE(arg_max(text, turn) FILTER (role = 'assistant'), arg_max(text, turn) FILTER (role = 'user')) AS text FROM conversations GROUP BY conv_id""")
+def last_output(t: Tables) -> DataFrame:
+    rows = t.transcript().select("session", "pos", F.when(F.col("category") == "ai", "output").when(F.col("category") == "user", "tool_result").otherwise("other").alias("step"), F.lit("").alias("tool"), F.col("text").alias("body"), F.lit(False).alias("is_ongoing"))
+    return views.last_output(rows, ["session"], "pos")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(l_shipdate) AS BIGINT) AS e, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    b AS (SELECT o_orderkey AS session, 'chunk' AS kind, 'o' || o_orderkey AS id, 0 AS level, CAST(epoch(o_orderdate) AS BIGINT) AS start, CAST(epoch(o_orderdate) AS BIGINT) AS "end" FROM orders
+        UNION ALL SELECT l_orderkey, 'tool', 'l' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 1, s, e FROM l)
+    SELECT session, kind, id, level, start, start - MIN(start) OVER (PARTITION BY session) AS offset_s, MAX("end") OVER (PARTITION BY session) - MIN(start) OVER (PARTITION BY session) AS total_s FROM b""")
+def waterfall(t: Tables) -> DataFrame:
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    orders = t.orders.select(F.col("o_orderkey").alias("session"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.lit(None).cast("string").alias("parent"), at("o_orderdate").alias("start"), at("o_orderdate").alias("end"))
+    lines = t.lineitem.join(orders.select(F.col("session").alias("l_orderkey"), F.col("id").alias("parent"), "start"), "l_orderkey")
+    tools = lines.select(F.col("l_orderkey").alias("session"), F.concat(F.lit("l"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")).alias("id"), "parent", "start", at("l_shipdate").alias("end"))
+    out = views.waterfall(orders, tools, tools.limit(0), ["session"])
+    return out.select("session", "kind", "id", "level", "start", F.col("offset").alias("offset_s"), F.col("total").alias("total_s"))
+
+
+@query("""
+    SELECT user_id AS session, CASE WHEN COUNT(CASE WHEN event_type = 'signup' AND value > 300 THEN 1 END) > 0 THEN 'interrupted' WHEN COUNT(CASE WHEN event_type = 'error' AND value > 200 THEN 1 END) > 0 THEN 'error'
+        WHEN COUNT(CASE WHEN event_type <> 'purchase' THEN 1 END) > 0 THEN 'in_progress' ELSE 'complete' END AS status FROM events GROUP BY user_id""")
+def status(t: Tables) -> DataFrame:
+    step = F.when((F.col("event_type") == "signup") & (F.col("value") > 300), "interruption").otherwise("output")
+    return views.group_status(t.stream().select("session", step.alias("step"), ((F.col("event_type") == "error") & (F.col("value") > 200)).alias("is_error"), (F.col("event_type") == "purchase").alias("has_end")), ["session"])
+
+
+@query("""
+    WITH c AS (SELECT user_id, COUNT(CASE WHEN event_type = 'view' THEN 1 END) AS t, COUNT(CASE WHEN event_type = 'click' THEN 1 END) AS c, COUNT(CASE WHEN event_type = 'purchase' THEN 1 END) AS o, COUNT(CASE WHEN event_type = 'signup' THEN 1 END) AS s, COUNT(CASE WHEN event_type = 'error' THEN 1 END) AS e FROM events GROUP BY user_id)
+    SELECT user_id AS session, concat_ws(', ', CASE WHEN t > 0 THEN t || ' thinking' END, CASE WHEN c > 0 THEN c || CASE WHEN c = 1 THEN ' tool call' ELSE ' tool calls' END END, CASE WHEN o > 0 THEN o || CASE WHEN o = 1 THEN ' message' ELSE ' messages' END END,
+        CASE WHEN s > 0 THEN s || CASE WHEN s = 1 THEN ' subagent' ELSE ' subagents' END END, CASE WHEN e > 0 THEN e || CASE WHEN e = 1 THEN ' compaction' ELSE ' compactions' END END) AS summary FROM c""")
+def summary(t: Tables) -> DataFrame:
+    item = _when(F.col("event_type"), view=F.lit("thinking"), click=F.lit("tool"), purchase=F.lit("output"), signup=F.lit("subagent"), error=F.lit("compact_boundary"))
+    return views.summary(t.stream().select("session", item.alias("item")), ["session"])
+
+
+@query("""
+    WITH m AS (SELECT user_id, event_type, COUNT(*) AS n, MIN(event_id) AS first FROM events GROUP BY user_id, event_type)
+    SELECT user_id AS session, event_type AS main_model, n FROM m QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY n DESC, first) = 1""")
+def main_model(t: Tables) -> DataFrame:
+    return views.main_model(t.stream(), ["session"], "event_type", "pos")
+
+
+@query("SELECT user_id AS session, arg_max(CAST(FLOOR(value) AS BIGINT), event_id) FILTER (event_type = 'view') AS last_usage, COUNT(CASE WHEN event_type = 'view' THEN 1 END) AS turns FROM events GROUP BY user_id")
+def last_usage(t: Tables) -> DataFrame:
+    return views.last_usage(t.stream().select("session", "pos", F.when(F.col("event_type") == "view", F.col("n")).alias("usage")), ["session"], "pos", "usage")
+
+
+@query("""
+    SELECT conv_id AS session, turn AS pos, u AS user_pos FROM (SELECT *, LAST_VALUE(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM conversations) WHERE role = 'assistant'""")
+def preceding(t: Tables) -> DataFrame:
+    return search.preceding(t.transcript()).select("session", "pos", "user_pos")
+
+
+@query("""
+    SELECT conv_id AS session, string_agg(CASE role WHEN 'system' THEN '[COMPACTED] ' WHEN 'user' THEN 'USER: ' ELSE 'ASSISTANT: ' END || text, chr(10) || chr(10) ORDER BY turn) AS export FROM conversations GROUP BY conv_id""")
+def export_text(t: Tables) -> DataFrame:
+    return views.export_text(t.transcript().withColumnRenamed("category", "kind"), ["session"], "pos")
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id, turn, {TOKENS} AS tokens, CASE role WHEN 'system' THEN '---' || chr(10) || chr(10) || '*Context compacted*' WHEN 'user' THEN '## User' ELSE '## Assistant' END || chr(10) || chr(10) || text AS part FROM conversations),
+    s AS (SELECT conv_id, COUNT(*) AS n, CAST(SUM(tokens) AS BIGINT) AS k, string_agg(part, chr(10) || chr(10) ORDER BY turn) AS body FROM c GROUP BY conv_id)
+    SELECT conv_id AS session, '# Session' || chr(10) || chr(10) || '| Messages | Tokens |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n || ' | ' ||
+        CASE WHEN k < 1000 THEN CAST(k AS VARCHAR) WHEN k < 10000 THEN CAST(CAST(ROUND(CAST(k AS DECIMAL(30, 6)) / 1000, 1) AS DECIMAL(10, 1)) AS VARCHAR) || 'k' ELSE CAST(CAST(FLOOR(k / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 'k' END || ' |' || chr(10) || chr(10) || body AS export FROM s""")
+def export_markdown(t: Tables) -> DataFrame:
+    return views.export_markdown(t.transcript().withColumnRenamed("category", "kind"), ["session"], "pos")
+
+
+@query()
+def line_diff(t: Tables) -> DataFrame:
+    """Each document against the one before it."""
+    d = t.documents.select("doc_id", F.col("text").alias("new"))
+    before = t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("old"))
+    return diff.line_diffs(d.join(before, "doc_id"), "doc_id")
+
+
+# Context
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id, turn, {KIND} AS category, {TOKENS} AS tokens, 1 + SUM(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS phase FROM conversations)
+    SELECT conv_id AS session, turn AS pos, CAST(phase AS BIGINT) AS phase, category, CAST(SUM(tokens) OVER w AS BIGINT) AS total_tokens, COUNT(*) OVER w AS total_count FROM c WINDOW w AS (PARTITION BY conv_id, phase, category ORDER BY turn)""")
+def context_cumulative(t: Tables) -> DataFrame:
+    rows = context.with_phase(t.transcript().withColumn("compact", F.col("category") == "compact"))
+    return context.cumulative(rows).select("session", "pos", "phase", "category", "total_tokens", "total_count")
+
+
+@query(f"SELECT conv_id AS session, {KIND} AS category, CAST(SUM({TOKENS}) AS BIGINT) AS tokens, COUNT(*) AS n FROM conversations GROUP BY 1, 2")
+def context_totals(t: Tables) -> DataFrame:
+    return context.by_category(t.transcript())
+
+
+@query("""
+    WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS folder FROM pages)
+    SELECT host, folder, page_id FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY host, folder ORDER BY page_id) = 1""")
+def first_seen(t: Tables) -> DataFrame:
+    p = t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/([^/?#]*)", 1).alias("folder"))
+    return context.first_seen(p, ["host"], "folder", ["page_id"]).select("host", "folder", "page_id")
+
+
+@query("""
+    WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+:/(/[^?#]+)', 1), '/') AS parts FROM pages), n AS (SELECT page_id, parts, UNNEST(range(1, len(parts))) AS n FROM p)
+    SELECT page_id, array_to_string(parts[1:n], '/') AS folder FROM n WHERE array_to_string(parts[1:n], '/') <> ''""")
+def path_ancestors(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.explode(paths.ancestors(F.regexp_extract("url", "^[a-z]+:/(/[^?#]+)", 1))).alias("folder"))
+
+
+@query("""
+    WITH p AS (SELECT string_split(regexp_extract(url, '^[a-z]+:/(/[^?#]+)', 1), '/') AS parts, CAST(CEIL(LENGTH(html) / 4.0) AS BIGINT) AS tokens FROM pages), n AS (SELECT parts, tokens, UNNEST(range(1, len(parts))) AS n FROM p)
+    SELECT array_to_string(parts[1:n], '/') AS folder, COUNT(*) AS files, CAST(SUM(tokens) AS BIGINT) AS tokens FROM n WHERE array_to_string(parts[1:n], '/') <> '' GROUP BY 1""")
+def folder_tree(t: Tables) -> DataFrame:
+    return context.folder_tree(t.pages.select(F.regexp_extract("url", "^[a-z]+:/(/[^?#]+)", 1).alias("path"), X.estimate_tokens(F.col("html")).alias("tokens")))
+
+
+@query("""
+    WITH s AS (SELECT event_type, CAST(SUM(FLOOR(value)) AS BIGINT) AS n FROM events GROUP BY 1), a AS (SELECT SUM(n) AS total FROM s)
+    SELECT event_type, n, CAST(CAST(ROUND(CAST(n * 100.0 / total AS DECIMAL(30, 6)), 1) AS DECIMAL(10, 1)) AS VARCHAR) AS percent FROM s, a""")
+def percentages(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    s = t.stream().groupBy("event_type").agg(F.sum("n").alias("n"))
+    return s.withColumn("percent", formats.percentage(F.col("n"), F.sum("n").over(Window.partitionBy())))
+
+
+# Text
+
+
+@query("""
+    SELECT doc_id, trim(regexp_replace(x, '<system-reminder>.*?</system-reminder>', '', 'gs'), chr(10) || ' ') AS shown FROM (SELECT doc_id, text || ' <system-reminder>note ' || lang || '</system-reminder>' || chr(10) || source || ' ' AS x FROM documents)""")
+def sanitize(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.sanitize(F.concat("text", F.lit(" <system-reminder>note "), "lang", F.lit("</system-reminder>\n"), "source", F.lit(" "))).alias("shown"))
+
+
+@query("SELECT doc_id, source AS name, lang AS args, '/' || source || ' ' || lang AS shown FROM documents")
+def slash_info(t: Tables) -> DataFrame:
+    c = F.concat(F.lit("<command-name>/"), "source", F.lit("</command-name><command-args> "), "lang", F.lit("</command-args>"))
+    return t.documents.select("doc_id", X.slash_name(c).alias("name"), X.slash_args(c).alias("args"), X.sanitize(c).alias("shown"))
+
+
+@query("SELECT page_id, 'src/' || page_id || '.ts' AS ref FROM pages UNION ALL SELECT page_id, './' || page_id FROM pages")
+def file_refs(t: Tables) -> DataFrame:
+    c = F.concat(F.lit("see @src/"), "page_id", F.lit(".ts and @./"), "page_id", F.lit(" but not @name"))
+    return t.pages.select("page_id", F.explode(X.file_references(c)).alias("ref"))
+
+
+@query("SELECT doc_id, source AS teammate_id, lang AS color, 'hello ' || doc_id AS content FROM documents")
+def teammate(t: Tables) -> DataFrame:
+    c = F.concat(F.lit('<teammate-message teammate_id="'), "source", F.lit('" color="'), "lang", F.lit('">\nhello '), "doc_id", F.lit("\n</teammate-message>"))
+    return t.documents.select("doc_id", F.explode(X.teammate_messages(c)).alias("m")).select("doc_id", "m.teammate_id", "m.color", "m.content")
+
+
+@query("SELECT doc_id, 'd' || doc_id AS task_id, lang AS status, source || ' done' AS summary FROM documents")
+def notifications(t: Tables) -> DataFrame:
+    c = F.concat(F.lit("x <task-notification><task-id>d"), "doc_id", F.lit("</task-id><status>"), "lang", F.lit("</status><summary> "), "source", F.lit(" done </summary></task-notification> y"))
+    return t.documents.select("doc_id", F.explode(X.task_notifications(c)).alias("m")).select("doc_id", "m.task_id", "m.status", "m.summary")
+
+
+@query("""
+    SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'sonnet' WHEN 1 THEN 'opus' ELSE 'haiku' END AS family, CAST(3 + p_size % 2 AS INTEGER) AS major, CAST(p_size % 6 AS INTEGER) AS minor,
+        CASE p_size % 3 WHEN 0 THEN 'sonnet' WHEN 1 THEN 'opus' ELSE 'haiku' END || (3 + p_size % 2) || '.' || (p_size % 6) AS name FROM part""")
+def model_parse(t: Tables) -> DataFrame:
+    family = F.when(F.col("p_size") % 3 == 0, "sonnet").when(F.col("p_size") % 3 == 1, "opus").otherwise("haiku")
+    major, minor = (3 + F.col("p_size") % 2).cast("string"), (F.col("p_size") % 6).cast("string")
+    model = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("-", F.lit(formats.MODEL_PREFIX), family, major, minor, F.lit("20250929"))).otherwise(F.concat_ws("-", F.lit(formats.MODEL_PREFIX), major, minor, family, F.lit("20241022")))
+    return t.part.select("p_partkey", formats.parse_model(model).alias("m")).select("p_partkey", "m.family", "m.major", "m.minor", "m.name")
+
+
+def _dec(x: str) -> str:
+    return f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(30, 6)), 1) AS DECIMAL(20, 1)) AS VARCHAR)"
+
+
+@query(f"""
+    WITH n AS (SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN {_dec("n / 1000.0")} || 'k' ELSE CAST(CAST(FLOOR(n / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 'k' END AS tokens,
+        CASE WHEN n >= 1000000 THEN {_dec("n / 1000000.0")} || 'M' WHEN n >= 1000 THEN {_dec("n / 1000.0")} || 'k' ELSE CAST(n AS VARCHAR) END AS compact FROM n""")
+def format_tokens(t: Tables) -> DataFrame:
+    n = F.floor("o_totalprice").cast("long")
+    return t.orders.select("o_orderkey", formats.format_tokens(n).alias("tokens"), formats.format_tokens_compact(n).alias("compact"))
+
+
+@query(f"""
+    WITH n AS (SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN {_dec("n / 1000.0")} || 's' ELSE CAST(FLOOR(n / 60000.0) AS BIGINT) || 'm ' || CAST(FLOOR((n % 60000) / 1000.0 + 0.5) AS BIGINT) || 's' END AS shown,
+        CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN (n // 1000) || 's' ELSE (n // 60000) || 'm ' || ((n // 1000) % 60) || 's' END AS whole FROM n""")
+def format_duration(t: Tables) -> DataFrame:
+    n = F.floor("o_totalprice").cast("long")
+    return t.orders.select("o_orderkey", formats.format_duration(n).alias("shown"), formats.format_duration_whole(n).alias("whole"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN l_partkey || '.py' WHEN 1 THEN CASE WHEN LENGTH('run the job for part ' || l_partkey || ' and for supplier ' || l_suppkey) > 40 THEN SUBSTR('run the job for part ' || l_partkey || ' and for supplier ' || l_suppkey, 1, 50) END ELSE '"' || 'p' || l_partkey || '"' END AS summary
+    FROM lineitem""")
+def tool_summary(t: Tables) -> DataFrame:
+    k = F.col("l_linenumber") % 3
+    name = F.when(k == 0, "Read").when(k == 1, "Bash").otherwise("Grep")
+    text = F.concat(F.lit("run the job for part "), "l_partkey", F.lit(" and for supplier "), "l_suppkey")
+    one = lambda key, v: F.concat(F.lit(f'{{"{key}":"'), v, F.lit('"}'))
+    input_json = F.when(k == 0, one("file_path", F.concat(F.lit("/src/"), "l_partkey", F.lit(".py")))).when(k == 1, one("description", text)).otherwise(one("pattern", F.concat(F.lit("p"), "l_partkey")))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.tool_summary(name, input_json).alias("summary"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[/]', '-', 'g') AS encoded FROM pages")
+def encode_path(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", paths.encode_path(F.regexp_replace("url", "^[a-z]+:/", "")).alias("encoded"))
+
+
+# Search
+
+
+SEARCHABLE = f"""{CHUNKS},
+    s AS (SELECT conv_id AS session, turn AS pos, 'user' AS kind, text FROM r WHERE kind = 'user'
+        UNION ALL SELECT conv_id, MAX(turn), 'ai', arg_max(text, turn) FROM r WHERE kind = 'ai' AND text <> '' GROUP BY conv_id, run)"""
+
+
+@query(f"{SEARCHABLE} SELECT session, pos, kind, LENGTH(text) AS n FROM s WHERE text <> ''")
+def search_entries(t: Tables) -> DataFrame:
+    return search.searchable(t.transcript()).select("session", "pos", "kind", F.length("text").cast("long").alias("n"))
+
+
+HITS = """
+    WITH d AS (SELECT doc_id, source, text, string_split(LOWER(text), 'the') AS parts FROM documents WHERE contains(LOWER(text), 'the')),
+    m AS (SELECT doc_id, source, text, UNNEST(range(0, len(parts) - 1)) AS match_no, parts FROM d),
+    h AS (SELECT doc_id, source, text, match_no, CAST(list_sum(list_transform(parts[1:match_no + 1], lambda p: LENGTH(p))) + 3 * match_no AS INTEGER) AS pos FROM m)"""
+
+
+@query(f"""{HITS} SELECT doc_id, CAST(match_no AS INTEGER) AS match_no, pos AS start, SUBSTR(text, pos + 1, 3) AS matched,
+    CASE WHEN pos > 50 THEN '...' ELSE '' END || SUBSTR(text, GREATEST(pos - 50, 0) + 1, LEAST(pos + 53, LENGTH(text)) - GREATEST(pos - 50, 0)) || CASE WHEN pos + 53 < LENGTH(text) THEN '...' ELSE '' END AS context FROM h""")
+def search_hits(t: Tables) -> DataFrame:
+    return search.hits(t.documents, " The ").select("doc_id", "match_no", F.col("offset").alias("start"), "matched", "context")
+
+
+@query(f"{HITS} SELECT doc_id, source, CAST(match_no AS INTEGER) AS match_no, pos AS start FROM h ORDER BY source, doc_id DESC, match_no LIMIT 50")
+def search_topk(t: Tables) -> DataFrame:
+    return search.top_hits(search.hits(t.documents, "the"), ["source", F.desc("doc_id"), "match_no"]).select("doc_id", "source", "match_no", F.col("offset").alias("start"))
+
+
+# Rules and alerts
+
+
+RULES = [
+    rules.Rule("r1", "nine", "tool_use", pattern='"k": 9', ignore=["99"]),
+    rules.Rule("r2", "one click", "tool_use", tool="click", pattern='"k": 1[0-9]'),
+    rules.Rule("r3", "errors", "tool_result", require_error=True, ignore=["7"]),
+    rules.Rule("r4", "views", "tool_result", tool="view", pattern="5"),
+    rules.Rule("r5", "large", "token_threshold", threshold=150),
+    rules.Rule("r6", "broken", "tool_use", pattern="((a+)+"),
+]
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS project, event_id AS message, 'r1' AS rule_id, event_type AS tool FROM events WHERE regexp_matches(props, '"k": 9') AND NOT regexp_matches(props, '99')
+    UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 'r2', event_type FROM events WHERE event_type = 'click' AND regexp_matches(props, '"k": 1[0-9]')""")
+def triggers_use(t: Tables) -> DataFrame:
+    calls = t.events.select(F.col("user_id").cast("string").alias("project"), F.col("event_id").alias("message"), F.lit(0).alias("pos"), F.col("event_type").alias("tool"), F.col("props").alias("input"))
+    return rules.match_uses(calls, rules.rule_table(t.spark, RULES)).select("project", "message", "rule_id", "tool")
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS project, event_id AS message, 'r3' AS rule_id FROM events WHERE event_type = 'error' AND NOT regexp_matches(props, '7')
+    UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 'r4' FROM events WHERE event_type = 'view' AND regexp_matches(props, '5')""")
+def triggers_result(t: Tables) -> DataFrame:
+    results = t.events.select(F.col("user_id").cast("string").alias("project"), F.col("event_id").alias("message"), F.lit(0).alias("pos"), F.col("event_type").alias("tool"), F.col("props").alias("content"), (F.col("event_type") == "error").alias("is_error"))
+    return rules.match_results(results, rules.rule_table(t.spark, RULES)).select("project", "message", "rule_id")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS project, event_id AS message, 'r5' AS rule_id, CAST(FLOOR(value) AS BIGINT) + CAST(json_extract(props, '$.k') AS BIGINT) AS tokens FROM events WHERE CAST(FLOOR(value) AS BIGINT) + CAST(json_extract(props, '$.k') AS BIGINT) > 150")
+def triggers_tokens(t: Tables) -> DataFrame:
+    calls = t.events.select(F.col("user_id").cast("string").alias("project"), F.col("event_id").alias("message"), F.col("event_type").alias("tool"), F.floor("value").cast("long").alias("input_tokens"), F.get_json_object("props", "$.k").cast("long").alias("output_tokens"))
+    return rules.match_tokens(calls, rules.rule_table(t.spark, RULES)).select("project", "message", "rule_id", "tokens")
+
+
+def _alerts(t: Tables) -> DataFrame:
+    e = t.stream()
+    key = F.concat_ws("-", "session", F.get_json_object("props", "$.k"))
+    return e.select(F.col("pos").alias("id"), F.col("session").alias("project"), key.alias("tool_use_id"), (F.col("event_type") == "signup").alias("from_subagent"), F.col("pos").alias("arrival"), F.nullif("event_type", F.lit("view")).alias("rule_name"), (F.col("value") > 50).alias("is_read"), "ts", "ts_ms", F.col("event_type").alias("message"))
+
+
+@query("SELECT event_id AS id FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, json_extract(props, '$.k') ORDER BY CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END, event_id) = 1")
+def alert_upsert(t: Tables) -> DataFrame:
+    return rules.upsert_alerts(_alerts(t)).select("id")
+
+
+@query("SELECT user_id AS project, COUNT(*) AS total, COUNT(CASE WHEN NOT value > 50 THEN 1 END) AS unread FROM events GROUP BY user_id")
+def alert_stats(t: Tables) -> DataFrame:
+    return rules.alert_stats(_alerts(t), "project")
+
+
+@query("SELECT CASE WHEN event_type = 'view' THEN 'Other' ELSE event_type END AS label, COUNT(*) AS n FROM events GROUP BY 1")
+def chips(t: Tables) -> DataFrame:
+    return rules.chips(_alerts(t))
+
+
+@query("SELECT event_id AS id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def alert_cap(t: Tables) -> DataFrame:
+    return rules.newest(_alerts(t)).select("id")
+
+
+@query(f"""
+    WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, {MS} AS ms, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY {MS}, event_id) AS rn FROM events),
+    g AS (SELECT user_id, event_type, event_id, ms, rn, ms AS anchor, true AS shown FROM o WHERE rn = 1
+        UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.ms, o.rn, CASE WHEN o.ms - g.anchor >= 86400000 THEN o.ms ELSE g.anchor END, o.ms - g.anchor >= 86400000 FROM g JOIN o ON o.user_id = g.user_id AND o.event_type = g.event_type AND o.rn = g.rn + 1)
+    SELECT event_id AS id, shown AS is_shown FROM g""")
+def alert_throttle(t: Tables) -> DataFrame:
+    return rules.throttled(_alerts(t), 86_400).select("id", "is_shown")
+
+
+# Lists
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' OR (o_orderdate = TIMESTAMP '1998-01-01' AND o_orderkey > 100) ORDER BY o_orderdate DESC, o_orderkey LIMIT 21")
+def page(t: Tables) -> DataFrame:
+    import datetime
+
+    return listing.page(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", (datetime.datetime(1998, 1, 1), 100))
+
+
+@query("""
+    WITH s AS (SELECT user_id AS session, MIN(ts) AS created, MAX(ts) AS updated FROM events WHERE event_type = 'purchase' GROUP BY user_id), a AS (SELECT *, TIMESTAMP '2024-01-31 12:00:00' AS d FROM s)
+    SELECT session, CASE WHEN date_diff('day', CAST(updated AS DATE), CAST(d AS DATE)) = 0 THEN 'Today' WHEN date_diff('day', CAST(updated AS DATE), CAST(d AS DATE)) = 1 THEN 'Yesterday' WHEN (epoch_us(d) - epoch_us(updated)) // 86400000000 <= 7 THEN 'Previous 7 Days' ELSE 'Older' END AS bucket FROM a""")
+def date_buckets(t: Tables) -> DataFrame:
+    s = t.events.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("created"), F.max("ts").alias("updated"))
+    return listing.by_date(s, "created", "updated", F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")).select("session", "bucket")
+
+
+@query("""
+    WITH p AS (SELECT user_id, ROW_NUMBER() OVER (ORDER BY SUM(value) DESC, user_id) AS pin_pos FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT user_id AS c_custkey, CAST(pin_pos AS INTEGER) AS pin_pos, c_name FROM p JOIN customer ON c_custkey = user_id WHERE pin_pos <= 40""")
+def pinned(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    sums = t.events.where("event_type = 'error'").groupBy(F.col("user_id").alias("c_custkey")).agg(F.sum("value").alias("v")).orderBy(F.desc("v"), "c_custkey").limit(40)
+    pins = sums.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("v"), "c_custkey")).alias("pin_pos"))
+    return listing.pinned(t.customer.select("c_custkey", "c_name"), pins, "c_custkey").select("c_custkey", "pin_pos", "c_name")
+
+
+@query(f"{PHASES} SELECT session, CAST(SUM(contribution) AS BIGINT) AS consumption FROM r GROUP BY session ORDER BY consumption DESC, session LIMIT 20")
+def top_context(t: Tables) -> DataFrame:
+    return listing.most_context(context_consumption(t).drop("compactions"), "consumption", "session").limit(20)
+
+
+@query("""
+    WITH w AS (SELECT n_nationkey, n_regionkey, n_name, COUNT(*) AS sessions, CAST(MAX(c_custkey) AS BIGINT) AS recent FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)
+    SELECT r_name AS repo, COUNT(*) AS worktrees, CAST(SUM(sessions) AS BIGINT) AS total_sessions, MAX(recent) AS recent, string_agg(n_name, ',' ORDER BY CASE WHEN n_nationkey < 5 THEN 0 ELSE 1 END, recent DESC, n_name) AS names FROM w JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""")
+def repo_groups(t: Tables) -> DataFrame:
+    per = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("sessions"), F.max("c_custkey").alias("recent"))
+    named = per.join(t.nation, per["c_nationkey"] == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return listing.repository_groups(named.select(F.col("n_nationkey").cast("string").alias("project"), F.col("r_name").alias("repo"), F.col("n_name").alias("name"), "sessions", "recent", (F.col("n_nationkey") < 5).alias("is_main")))
+
+
+@query("""
+    WITH s AS (SELECT CAST(c_nationkey % 5 AS VARCHAR) AS project, CASE WHEN c_nationkey % 5 = 4 THEN '/w/only' WHEN c_nationkey % 5 = 3 AND c_mktsegment = 'BUILDING' THEN NULL ELSE '/w/' || lower(c_mktsegment) END AS cwd, c_custkey FROM customer),
+    g AS (SELECT project, cwd, COUNT(*) AS sessions FROM s GROUP BY 1, 2),
+    k AS (SELECT *, COUNT(cwd) OVER (PARTITION BY project) AS known, MIN(CASE WHEN cwd IS NOT NULL THEN LENGTH(cwd) || cwd END) OVER (PARTITION BY project) AS root FROM g),
+    n AS (SELECT project, CASE WHEN known > 1 AND cwd IS NOT NULL THEN project || '::' || SUBSTR(sha256(cwd), 1, 8) ELSE project END AS project_id, CASE WHEN known <= 1 OR cwd IS NULL OR LENGTH(cwd) || cwd = root THEN 'base' ELSE 'base (' || SUBSTR(cwd, 4) || ')' END AS name, sessions FROM k)
+    SELECT project, project_id, name, CAST(SUM(sessions) AS BIGINT) AS sessions FROM n GROUP BY 1, 2, 3""")
+def cwd_split(t: Tables) -> DataFrame:
+    k = F.col("c_nationkey") % 5
+    cwd = F.when(k == 4, "/w/only").when((k == 3) & (F.col("c_mktsegment") == "BUILDING"), None).otherwise(F.concat(F.lit("/w/"), F.lower("c_mktsegment")))
+    s = t.customer.select(k.cast("string").alias("project"), F.lit("base").alias("base"), F.col("c_custkey").alias("session"), cwd.alias("cwd"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    return listing.split_by_cwd(s).drop("recent")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphans(t: Tables) -> DataFrame:
+    return listing.orphans(t.documents.select("doc_id"), t.labels, "doc_id")

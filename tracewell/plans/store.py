@@ -1,0 +1,23 @@
+"""Where a plan cuts its lineage."""
+
+from __future__ import annotations
+
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the folder in spark.checkpoint.dir (a temporary one where it is unset, in tests) and reads it again."""
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
