@@ -17,8 +17,8 @@ No group is paired with itself:
    verified if the collision-corrected estimate comes near the threshold, and
    kept if the full sets pass.
 3. Only for band values whose documents still lie in different components the
-   remaining pairs across components are verified too: no link that could join
-   two components is lost, and pairs inside a component need no check.
+   pairs across components are looked at too, block by block: no link that could
+   join two components is lost, and pairs inside a component need no check.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from tracewell.llm.store import is_empty, keep
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 SMALL = 256
+#: Documents of one band value that meet in one group at most, twice.
+BLOCK = 1024
 EMPTY = 0xFFFF
 U = np.uint64
 
@@ -179,6 +181,62 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
     return keep(likely.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "s_u", "s_v").mapInArrow(check, "u long, v long"), "links")
 
 
+def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between different components among the documents of each band value: loose has (key, doc_id, c, blocks).
+
+    A value's documents are dealt to blocks by hash, and each two blocks meet in a
+    group of their own, so none grows with the value; inside a group all pairs are
+    looked at, but only links are given out. A pair that shares several values is
+    looked at for the least of them.
+    """
+    percent = int(round(threshold * 100))
+    margin = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+
+    def run(key, table):
+        own = key[0].as_py()
+        ids, c, n, block = (np.asarray(table.column(k).combine_chunks()) for k in ("doc_id", "c", "n_shingles", "block"))
+        flat = table.column("bands").combine_chunks().flatten()
+        regs = np.asarray(flat).view(np.uint16).reshape(len(ids), REGISTERS)
+        tokens = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles")]
+        every, starts = np.concatenate(tokens), np.concatenate([[0], np.cumsum(n)])[:-1]
+        lists = table.column("keys").combine_chunks()
+        values, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
+        less = values < own
+        _, column = np.unique(values[less], return_inverse=True)
+        held = np.zeros((len(ids), int(column.max(initial=-1)) + 1), np.float32)
+        held[owner[less], column] = 1
+        out_u, out_v = [], []
+        for i in range(len(ids)):
+            ok = (ids > ids[i]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if key[1].as_py() != key[2].as_py():
+                ok &= block != block[i]
+            some = np.flatnonzero(ok)
+            some = some[held[some] @ held[i] == 0] if held.shape[1] else some
+            if not len(some):
+                continue
+            used = ((regs[some] != EMPTY) | (regs[i] != EMPTY)).sum(1)
+            some = some[(estimate(regs[some], regs[i][None], n[some], n[i]) >= margin) | (used < REGISTERS // 2)]
+            if not len(some):
+                continue
+            there = np.minimum(np.searchsorted(tokens[i], every), len(tokens[i]) - 1) if len(some) > 8 else None
+            if there is None:
+                both = np.array([len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) for j in some])
+            else:
+                both = np.add.reduceat((tokens[i][there] == every).astype(np.int64), starts)[some]
+            linked = some[100 * both >= percent * (n[i] + n[some] - both)]
+            out_u += [ids[i]] * len(linked)
+            out_v += ids[linked].tolist()
+        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+
+    docs = loose.groupBy("doc_id").agg(F.first("c").alias("c"), F.collect_list(F.struct("key", "blocks")).alias("open"))
+    docs = docs.join(reps.select("doc_id", "n_shingles", "bands"), "doc_id").join(sets, "doc_id")
+    each = docs.select("doc_id", "c", "n_shingles", "bands", "shingles", F.transform("open", lambda x: x["key"]).alias("keys"), F.explode("open").alias("k"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("k.blocks")).cast("int")
+    met = each.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k.blocks") - 1)).alias("other"))
+    grouped = met.select(F.col("k.key").alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "c", "n_shingles", "bands", "shingles", "keys", "block")
+    return grouped.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, kept) for each row of documents (doc_id, text).
 
@@ -227,17 +285,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     component = connected_components(links)
     placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     placed = keep(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     loose = keep(placed.join(open_keys, "key"), "loose")
     if not is_empty(loose):
-        # Of two components on one band value, every pair across them; the ones with the leader are known.
-        sized = loose.join(reps.select("doc_id", "n_shingles"), "doc_id")
-        left = sized.select("key", F.col("doc_id").alias("u"), F.col("c").alias("cu"), F.col("n_shingles").alias("nu"))
-        right = sized.select("key", F.col("doc_id").alias("v"), F.col("c").alias("cv"), F.col("n_shingles").alias("nv"))
-        percent = int(round(threshold * 100))
-        across = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent))
-        across = across.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-        more = _verified(keep(across, "across"), reps, sets, threshold)
+        more = keep(_across(loose, reps, sets, threshold), "more")
         links = links.unionByName(more)
         if not is_empty(more):
             component = connected_components(links)
