@@ -75,8 +75,12 @@ def compaction_phases(rows: DataFrame, by: tuple[str, ...] = ("session",), pos:
     only if that post is above 0 (guard). Sessions without any reading give no row.
     """
     ctx = F.when(F.col("ctx") > 0, F.col("ctx"))
-    island = rows.withColumn("_c", F.when(F.col("compact"), None).otherwise(ctx)).withColumn("island", F.coalesce(F.sum(F.col("compact").cast("int")).over(_order(*by, pos=pos)), F.lit(0)))
+    island = rows.withColumn("_c", F.when(F.col("compact"), None).otherwise(ctx).cast("long")).withColumn("island", F.coalesce(F.sum(F.col("compact").cast("int")).over(_order(*by, pos=pos)), F.lit(0)))
     per = island.groupBy(*by, "island").agg(F.min_by("_c", F.when(F.col("_c").isNotNull(), F.col(pos))).alias("first_ctx"), F.max_by("_c", F.when(F.col("_c").isNotNull(), F.col(pos))).alias("last_ctx"))
+    # A session that begins with a compaction has an empty first island.
+    own = F.struct("island", "first_ctx", "last_ctx")
+    none = F.struct(F.lit(0).cast("long").alias("island"), F.lit(None).cast("long").alias("first_ctx"), F.lit(None).cast("long").alias("last_ctx"))
+    per = per.withColumn("_least", F.min("island").over(Window.partitionBy(*by))).select(*by, F.explode(F.when((F.col("island") == 1) & (F.col("_least") == 1), F.array(none, own)).otherwise(F.array(own))).alias("_i")).select(*by, "_i.*")
     w = Window.partitionBy(*by).orderBy("island")
     so_far = F.last("last_ctx", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     per = per.withColumn("peak", F.coalesce(so_far, F.lit(0))).withColumn("_last", F.row_number().over(w.orderBy(F.desc("island"))) == 1).withColumn("_any", F.max("last_ctx").over(Window.partitionBy(*by)))

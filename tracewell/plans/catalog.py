@@ -108,7 +108,8 @@ def first_message(t: Tables) -> DataFrame:
 PHASES = """
     WITH e AS (SELECT user_id, event_id, event_type = 'error' AS compact, CASE WHEN event_type <> 'error' AND FLOOR(value) > 0 THEN CAST(FLOOR(value) AS BIGINT) END AS ctx FROM events),
     i AS (SELECT *, SUM(CASE WHEN compact THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e),
-    p AS (SELECT user_id, island, arg_min(ctx, event_id) FILTER (ctx IS NOT NULL) AS first_ctx, arg_max(ctx, event_id) FILTER (ctx IS NOT NULL) AS last_ctx FROM i GROUP BY user_id, island),
+    p AS (SELECT user_id, island, arg_min(ctx, event_id) FILTER (ctx IS NOT NULL) AS first_ctx, arg_max(ctx, event_id) FILTER (ctx IS NOT NULL) AS last_ctx FROM i GROUP BY user_id, island
+        UNION ALL SELECT user_id, 0, NULL, NULL FROM i GROUP BY user_id HAVING MIN(island) = 1),
     q AS (SELECT *, COALESCE(LAST_VALUE(last_ctx IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY island ROWS UNBOUNDED PRECEDING), 0) AS peak,
         CASE WHEN island = 0 THEN 0 ELSE COALESCE(first_ctx, 0) END AS post, island = MAX(island) OVER (PARTITION BY user_id) AS is_last, MAX(last_ctx) OVER (PARTITION BY user_id) AS any_ctx FROM p),
     r AS (SELECT user_id AS session, CAST(island + 1 AS BIGINT) AS phase, CAST(CASE WHEN is_last AND island > 0 AND post = 0 THEN 0 ELSE peak - post END AS BIGINT) AS contribution, CAST(peak AS BIGINT) AS peak, CAST(post AS BIGINT) AS post FROM q WHERE any_ctx IS NOT NULL)"""
