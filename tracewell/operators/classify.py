@@ -71,3 +71,21 @@ def type_counts(m: DataFrame, by: str = "session") -> DataFrame:
         F.count_if(m["type"] == "assistant").alias("assistants"), F.count_if(m["type"] == "system").alias("systems"),
         F.count_if(~m["type"].isin("user", "assistant", "system")).alias("others"), F.count_if(m["is_sidechain"]).alias("sidechain"),
     )
+
+
+def is_displayable(m: DataFrame) -> Column:
+    """Whether a row alone makes its session worth a place in the list; sidechains never do, and what is meta always does."""
+    t = X.js_trim(m["text"])
+    wrapped = F.lit(False)
+    for tag in X.NOISE_TAGS:
+        wrapped = wrapped | (t.startswith(tag) & t.endswith(tag.replace("<", "</")))
+    noisy = _any_text(m["blocks"], lambda b: F.coalesce(*[F.when(b.startswith(tag) & X.js_trim(b).endswith(tag.replace("<", "</")), True) for tag in X.NOISE_TAGS], F.lit(False)))
+    has = lambda *kinds: F.exists(m["blocks"], lambda b: b["type"].isin(*kinds))
+    array = has("tool_result") | (has("text", "image") & (_interrupted(m["blocks"]) | ~noisy))
+    user = m["is_meta"] | F.when(m["content_kind"] == "string", ~wrapped & (F.length(t) > 0)).otherwise(array)
+    return ~m["is_sidechain"] & F.coalesce(((m["type"] == "assistant") & ~m["model"].eqNullSafe(F.lit("<synthetic>"))) | ((m["type"] == "user") & user), F.lit(False))
+
+
+def displayable_sessions(m: DataFrame, by: str = "session") -> DataFrame:
+    """The sessions with anything to show."""
+    return m.where(is_displayable(m)).select(by).distinct()
