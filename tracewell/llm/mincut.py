@@ -142,8 +142,8 @@ def content_score(block: TextBlock) -> float:
         score += 1.0
     if text[-1] in ".!?…:;\"'”»":
         score += 0.6
-    if text[:1] == "©" or "all rights reserved" in text.lower():
-        score -= 5.0
+    if node.weight < 2 and (text[:1] == "©" or "all rights reserved" in text.lower()):
+        score -= 5.0  # inside an article it is part of the text
     return score
 
 
