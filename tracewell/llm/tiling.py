@@ -33,29 +33,31 @@ class Tests:
     least: int
 
     def __post_init__(self):
-        found = defaultdict(list)
+        parts: dict[int, list] = {}
         for i, t in enumerate(self.tokens):
-            n = min(self.least, len(t))
-            g, at = W.grams(t, np.zeros(len(t), np.int64), n) if n else ((), ())
-            for h, a in zip(g, at, strict=True):
-                found[n, int(h)].append((i, int(a)))
-        self.spots = dict(found)
+            if n := min(self.least, len(t)):
+                g, at = W.grams(t, np.zeros(len(t), np.int64), n)
+                parts.setdefault(n, []).append((g, np.full(len(g), i, np.int32), at.astype(np.int32)))
+        # Of each seed length: sorted hashes with the item and the place of each, and a table of the first bits.
         self.seeds, self.maybe = {}, {}
-        for n in sorted({n for n, _ in found}):
-            self.seeds[n] = np.array(sorted(h for k, h in found if k == n), W.U)
+        for n, found in sorted(parts.items()):
+            g, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(g, kind="stable")
+            self.seeds[n] = g[order], item[order], at[order]
             self.maybe[n] = np.zeros(1 << _FILTER_BITS, bool)
-            self.maybe[n][self.seeds[n] >> W.U(64 - _FILTER_BITS)] = True
+            self.maybe[n][g >> W.U(64 - _FILTER_BITS)] = True
 
     def matches(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """(text, item): pairs of places where a seed of the item stands in the item and in the texts."""
         out = defaultdict(list)
-        for n, seeds in self.seeds.items():
+        for n, (seeds, item, place) in self.seeds.items():
             g, at = W.grams(h, doc, n)
             some = np.flatnonzero(self.maybe[n][g >> W.U(64 - _FILTER_BITS)])
-            where = np.minimum(np.searchsorted(seeds, g[some]), len(seeds) - 1)
-            for k in some[seeds[where] == g[some]]:
-                for item, p in self.spots[n, int(g[k])]:
-                    out[int(doc[at[k]]), item].append((p, int(at[k])))
+            lo, hi = (np.searchsorted(seeds, g[some], side) for side in ("left", "right"))
+            for k in np.flatnonzero(lo < hi):
+                t = int(at[some[k]])
+                for j in range(lo[k], hi[k]):
+                    out[int(doc[t]), int(item[j])].append((int(place[j]), t))
         return out
 
 
@@ -114,7 +116,7 @@ def _item_blocks(tests: DataFrame, least: int, block_bytes: int):
         yield Tests(part.column("item_id").to_pylist(), found, least)
 
 
-def contamination(docs: DataFrame, tests: DataFrame, threshold: float = 0.8, least: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
+def contamination(docs: DataFrame, tests: DataFrame, threshold: float = 0.8, least: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, tiles) of each document and test item whose tiles cover the threshold of the item's tokens or more.
 
     tests is (item_id, text). It is broadcast if it has block_bytes at most, and in

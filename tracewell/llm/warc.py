@@ -78,8 +78,10 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head, F.lit("\r\n\r\n"), body).alias("record"))
 
 
-def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, per_file: int = 5_000) -> None:
-    """Writes archives of per_file records at most; Spark's text writer puts the two blank lines after each record, so any store of Spark's will do."""
+def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: int = 32_000_000) -> None:
+    """Writes archives of about file_bytes at most, by the mean size of a record; Spark's text writer puts the two blank lines after each record, so any store of Spark's will do."""
+    size = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
+    per_file = max(1, file_bytes * max(1, size[1]) // ((size[0] or 0) + 600 * max(1, size[1])))
     records(pages, min_revisit_bytes).write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -185,8 +187,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
     Columns: file, offset, length, gap (why the bytes were quarantined, null for
     records), record_type, page_id, refers_to, url, payload_bytes, payload_digest,
-    payload (null unless asked for). A file is one task's; archives are small by
-    custom, and those of write() hold per_file records. Empty files have no rows.
+    payload (null unless asked for). A file is one task's; archives are of a
+    gigabyte at most by custom, and those of write() smaller. Empty files have no rows.
     """
     kinds = [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
 
