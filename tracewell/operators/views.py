@@ -91,3 +91,14 @@ def export_markdown(rows: DataFrame, by: list[str], pos: str) -> DataFrame:
 
 def write_export(exports: DataFrame, path: str, by: list[str]) -> None:
     exports.select(*by, F.col("export").alias("value")).write.partitionBy(*by).option("lineSep", "\n").text(path)
+
+
+def export_json(rows: DataFrame, by: list[str], pos: str) -> DataFrame:
+    """A session as JSON: its turns in order, with their kind, text and tokens."""
+    turn = F.struct(F.col(pos).alias("pos"), "kind", "text", "tokens")
+    return rows.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(turn))).alias("export"))
+
+
+def highlights(marks: DataFrame, key: str = "tool_use_id") -> DataFrame:
+    """(key, color): the latest colour of each marked call; marks (key, color, pos)."""
+    return marks.groupBy(key).agg(F.max_by("color", "pos").alias("color"))
