@@ -104,3 +104,12 @@ class TailSource(DataSource):
 def read_tail(spark, path: str, suffix: str = ".jsonl"):
     spark.dataSource.register(TailSource)
     return spark.readStream.format("tail").option("path", path).option("suffix", suffix).load()
+
+
+def route(path):
+    """What a changed file is, by its path: session, subagent, memory, todo or other."""
+    from pyspark.sql import functions as F
+
+    return (
+        F.when(path.rlike(r"/subagents/agent-[^/]+\.jsonl$"), "subagent").when(path.rlike(r"/memory/.*\.md$"), "memory").when(path.rlike(r"/todos/[^/]+\.json$"), "todo").when(path.rlike(r"\.jsonl$"), "session").otherwise("other")
+    )
