@@ -52,7 +52,8 @@ def _first_reaching(words: Column, least: int) -> Column:
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc, th, pos_from, pos_to, lines): the later copies of repeated runs of lines, merged where they touch or overlap; th is the hash of the text."""
     every = _lines(docs)
-    repeated = every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join below has two plain exchanges: a line that stands everywhere is then split over tasks.
+    repeated = keep(every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     # A row that repeats both id and text has each line twice; it is one document here.
     own = Window.partitionBy(*PLACE, "seq").orderBy("pos")
     some = keep(every.join(repeated, ["a", "b"], "left_semi"), "lines")
