@@ -145,3 +145,48 @@ def subagent_models(rows: DataFrame, main: DataFrame, by: list[str], pos: str) -
     """The distinct first models of a session's subagents (.., agent, model) that aren't its main model."""
     first = rows.where("model is not null").groupBy(*by, "agent").agg(F.min_by("model", pos).alias("model"))
     return first.select(*by, "model").distinct().join(main.select(*by, F.col("main_model").alias("model")), [*by, "model"], "left_anti")
+
+
+def slash_follow_ups(slashes: DataFrame, rows: DataFrame, by: list[str], pos: str) -> DataFrame:
+    """slashes (.., uuid, name) with the instructions that follow: the last meta row (.., parent_uuid, is_meta, source_tool_use_id, text) below each that no tool wrote."""
+    below = rows.where("is_meta and source_tool_use_id is null and text is not null").groupBy(*by, F.col("parent_uuid").alias("uuid")).agg(F.max_by("text", pos).alias("instructions"))
+    return slashes.join(below, [*by, "uuid"], "left").withColumn("instruction_tokens", X.estimate_tokens(F.col("instructions")))
+
+
+def team_colors(agents: DataFrame, spawned: DataFrame, by: list[str]) -> DataFrame:
+    """agents (.., agent_id, task) with team, member and color of the last spawn result (.., task, team, member, color, pos) of their task."""
+    last = spawned.groupBy(*by, "task").agg(F.max_by(F.struct("team", "member", "color"), "pos").alias("t"))
+    return agents.join(last, [*by, "task"], "left").select(*agents.columns, "t.team", "t.member", "t.color")
+
+
+def display_items(steps: DataFrame, last: DataFrame, slashes: DataFrame, teammates: DataFrame, by: list[str]) -> DataFrame:
+    """What a group shows, in order of time: steps (.., step_id, kind, ts, pos) but for the one that is its last output (.., step_id), results apart from their calls, slashes and teammates (.., ts, pos)."""
+    shown = steps.join(last.select(*by, "step_id"), [*by, "step_id"], "left_anti").where("kind <> 'tool_result'")
+    item = lambda df, kind: df.select(*by, kind.alias("item"), "ts", "pos")
+    every = item(shown, F.when(F.col("kind") == "tool_call", "tool").otherwise(F.col("kind"))).unionByName(item(slashes, F.lit("slash"))).unionByName(item(teammates, F.lit("teammate_message")))
+    return every.withColumn("index", F.row_number().over(Window.partitionBy(*by).orderBy("ts", "pos", "item")) - 1)
+
+
+def with_stale_guard(sessions: DataFrame, as_of, minutes: int = 5) -> DataFrame:
+    """is_ongoing only where the file (modified) was touched in the minutes before as_of."""
+    return sessions.withColumn("is_ongoing", F.col("is_ongoing") & (F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("modified").cast("timestamp")) <= minutes * 60))
+
+
+def by_ids(sessions: DataFrame, ids: list[str], most: int = 50) -> DataFrame:
+    """The asked sessions, those with a valid id, most at most."""
+    import re
+
+    from tracewell.functions.guards import ID
+
+    valid = [i for i in dict.fromkeys(ids) if re.fullmatch(ID, i)][:most]
+    return sessions.where(F.col("session").isin(valid))
+
+
+def first_project_of(sessions: DataFrame, session: str) -> DataFrame:
+    """The first project that holds a session."""
+    return sessions.where(F.col("session") == session).orderBy("project").limit(1)
+
+
+def tool_status(tools: DataFrame) -> DataFrame:
+    """status of linked tools (is_orphan, result_is_error): orphaned, error or ok."""
+    return tools.withColumn("status", F.when(F.col("is_orphan"), "orphaned").when(F.col("result_is_error"), "error").otherwise("ok"))
