@@ -23,7 +23,7 @@ def duck():
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
     number = lambda x: round(x, 6) if isinstance(x, float) else x
-    plain = lambda x: "null" if x is None or x != x else str(int(x)) if isinstance(x, float) and x == int(x) else str(number(x))
+    plain = lambda x: "null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else str(number(x))
     return sorted(tuple(plain(x) for x in r) for r in df.astype(object).itertuples(index=False))
 
 
