@@ -138,6 +138,21 @@ def test_near_duplicates(docs, data, empty, n, percent):
     assert hyperminhash.near_duplicates(empty).count() == 0
 
 
+def test_components(spark):
+    from tracewell.llm.components import connected_components
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 250 + i) for i in range(20)] + [(7, 7), (None, 3)]
+    label = {n: n for e in edges for n in e if None not in e and e[0] != e[1]}
+    for _ in range(100):
+        for a, b in edges:
+            if a is not None and a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == label
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_large_group_of_near_copies(spark):
     """Copies that differ from a hidden centre, most of them from each other as well: no link is lost across blocks."""
     rng = random.Random(3)

@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     placed = keep(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_keys = keep(open_keys, "open")
     loose = keep(placed.join(open_keys, "key"), "loose")
     if not is_empty(loose):
         more = keep(_across(loose, reps, sets, threshold), "more")
@@ -293,8 +294,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
         if not is_empty(more):
             component = connected_components(links)
 
-    class_of = found.join(classes, set_id, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     per_rep = keep(component.withColumnRenamed("node", "rep").join(degree, "rep", "left"), "per_rep")
-    out = class_of.join(per_rep, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    # Copies get the label of their class with it, by the set; the others have their own id's. So no join has a class as its key.
+    labelled = keep(classes.join(per_rep, "rep", "left").select(*set_id, F.coalesce("component", "rep").alias("class_label"), F.col("n_links").alias("class_links")), "labelled")
+    own = per_rep.select(F.col("rep").alias("doc_id"), "component", F.col("n_links").alias("own_links"))
+    out = found.drop("bands", "keys").join(labelled, set_id, "left").join(own, "doc_id", "left")
+    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_label", "component", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("class_links", "own_links", F.lit(0)).alias("n_links"), (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
