@@ -186,8 +186,9 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
 
     A value's documents are dealt to blocks by hash, and each two blocks meet in a
     group of their own, so none grows with the value; inside a group all pairs are
-    looked at, but only links are given out. A pair that shares several values is
-    looked at for the least of them.
+    looked at, but only likely links are given out. A pair that shares several
+    values is looked at for the least of them. The groups hold the upper halves of
+    the hashes, which can only overrate a pair; the full sets decide at the end.
     """
     percent = int(round(threshold * 100))
     margin = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
@@ -197,7 +198,7 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
         ids, c, n, block = (np.asarray(table.column(k).combine_chunks()) for k in ("doc_id", "c", "n_shingles", "block"))
         flat = table.column("bands").combine_chunks().flatten()
         regs = np.asarray(flat).view(np.uint16).reshape(len(ids), REGISTERS)
-        tokens = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles")]
+        tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("halves")]
         every, starts = np.concatenate(tokens), np.concatenate([[0], np.cumsum(n)])[:-1]
         lists = table.column("keys").combine_chunks()
         values, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
@@ -220,7 +221,7 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
                 continue
             there = np.minimum(np.searchsorted(tokens[i], every), len(tokens[i]) - 1) if len(some) > 8 else None
             if there is None:
-                both = np.array([len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) for j in some])
+                both = np.array([np.isin(tokens[j], tokens[i]).sum() for j in some])
             else:
                 both = np.add.reduceat((tokens[i][there] == every).astype(np.int64), starts)[some]
             linked = some[100 * both >= percent * (n[i] + n[some] - both)]
@@ -229,12 +230,20 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
         return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
     docs = loose.groupBy("doc_id").agg(F.first("c").alias("c"), F.collect_list(F.struct("key", "blocks")).alias("open"))
+
+    def halve(batches):
+        for batch in batches:
+            short = [(np.frombuffer(x.as_buffer(), U) >> U(32)).astype(np.uint32).tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.binary()), *batch.columns[1:]], ["halves", *batch.schema.names[1:]])
+
     docs = docs.join(reps.select("doc_id", "n_shingles", "bands"), "doc_id").join(sets, "doc_id")
-    each = docs.select("doc_id", "c", "n_shingles", "bands", "shingles", F.transform("open", lambda x: x["key"]).alias("keys"), F.explode("open").alias("k"))
+    docs = docs.select("shingles", "doc_id", "c", "n_shingles", "bands", "open").mapInArrow(halve, "halves binary, doc_id long, c long, n_shingles long, bands array<long>, open array<struct<key:bigint,blocks:int>>")
+    each = docs.select("doc_id", "c", "n_shingles", "bands", "halves", F.transform("open", lambda x: x["key"]).alias("keys"), F.explode("open").alias("k"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("k.blocks")).cast("int")
     met = each.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k.blocks") - 1)).alias("other"))
-    grouped = met.select(F.col("k.key").alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "c", "n_shingles", "bands", "shingles", "keys", "block")
-    return grouped.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+    grouped = met.select(F.col("k.key").alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "c", "n_shingles", "bands", "halves", "keys", "block")
+    likely = grouped.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+    return _verified(keep(likely.distinct(), "across"), reps, sets, threshold)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -289,7 +298,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     open_keys = keep(open_keys, "open")
     loose = keep(placed.join(open_keys, "key"), "loose")
     if not is_empty(loose):
-        more = keep(_across(loose, reps, sets, threshold), "more")
+        more = _across(loose, reps, sets, threshold)
         links = links.unionByName(more)
         if not is_empty(more):
             component = connected_components(links)
