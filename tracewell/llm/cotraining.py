@@ -13,6 +13,8 @@ from tracewell.llm import words as W
 
 BITS = 18
 SPACE = 1 << BITS
+#: Rows of a fit that must have a feature.
+LEAST_ROWS = 5
 _SYMBOL, _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-"]] = True
 _UPPER[65:91] = True
@@ -87,7 +89,7 @@ def fit_linear(f: np.ndarray, row: np.ndarray, y: np.ndarray, most: int = 4096,
     expected = with_f * good / n
     chi = (good_f - expected) ** 2 / np.maximum(1e-9, expected * (1 - good / n) * (1 - np.minimum(with_f, n - 1) / n))
     chosen = np.argsort(-chi, kind="stable")[:most]
-    chosen = chosen[(chi[chosen] >= least_chi) & (with_f[chosen] >= 5)]
+    chosen = chosen[(chi[chosen] >= least_chi) & (with_f[chosen] >= LEAST_ROWS)]
     place = np.full(SPACE, -1)
     place[chosen] = np.arange(len(chosen))
     inside = place[f] >= 0
@@ -143,10 +145,9 @@ class CoTrained:
 def _rows(features, keep: np.ndarray):
     """The features of the chosen rows, renumbered in their order."""
     f, row = features
-    place = np.full(int(row.max(initial=-1)) + 1 if len(row) else 0, -1)
     keep = np.asarray(keep, np.int64)
-    place = np.full(max(len(place), int(keep.max(initial=-1)) + 1), -1)
-    place[keep] = np.arange(len(keep))
+    place = np.full(max(int(row.max(initial=-1)), int(keep.max(initial=-1))) + 1, -1, np.int32)
+    place[keep] = np.arange(len(keep), dtype=np.int32)
     inside = place[row] >= 0
     return f[inside], place[row[inside]]
 
@@ -226,8 +227,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, pool_rows: i
     y = np.asarray(got.column("y").combine_chunks() if got.num_rows else [], np.int64)
     sides = []
     for name in "tm":
-        parts = [np.frombuffer(x, np.int32) for x in got.column(name).to_pylist()]
-        sides.append((np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
+        parts = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column(name)]
+        # What fewer than LEAST_ROWS rows have gets no weight in any fit: most features of texts go here.
+        seen = np.zeros(SPACE, np.int32)
+        for part in parts:
+            seen[part] += 1
+        parts = [part[seen[part] >= LEAST_ROWS] for part in parts]
+        sides.append((np.concatenate([np.zeros(0, np.int32), *parts]), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])))
     ids = np.asarray(got.column("doc_id").combine_chunks() if got.num_rows else [], np.int64)
     held = W.mix(ids.astype(W.U)) % W.U(5) == 0
     return co_train(*sides, y, held, rounds)

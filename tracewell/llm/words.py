@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed at once; longer texts make a block of their own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
