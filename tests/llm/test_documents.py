@@ -179,6 +179,33 @@ def test_large_group_of_near_copies(spark):
     assert got == label
 
 
+def test_short_nested_sets_share_a_key(monkeypatch):
+    """Each similar pair of small sets has a key in common, also when hash ranges are empty: (threshold, sizes, common)."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cases = [(0.8, 4, 5, 4), (0.8, 5, 6, 5), (0.8, 8, 10, 8), (0.8, 9, 9, 8), (0.8, 12, 15, 12), (0.8, 80, 100, 80), (0.85, 6, 7, 6), (0.85, 17, 20, 17), (0.5, 2, 3, 2), (0.5, 10, 20, 10)]
+    none = np.zeros(0, np.uint64)
+    for cuts, tries, bits in ((hyperminhash.CUTS, 1500, 64), (2, 300, 64), (2, 100, 30), (0, 100, 64)):
+        monkeypatch.setattr(hyperminhash, "CUTS", cuts)
+        for threshold, a, b, both in cases:
+            classes = hyperminhash.size_classes(threshold)
+            for _ in range(tries):
+                u = rng.permutation(np.unique(rng.integers(0, 2**bits, a + b - both, dtype=np.uint64, endpoint=False)))
+                keys = [hyperminhash.candidate_keys(np.sort(x), none, classes, threshold) for x in (u[:a], u[a - both :])]
+                assert len(np.intersect1d(*keys)), (cuts, threshold, a, b, u)
+
+
+def test_short_near_copies_are_linked(spark):
+    """Texts of eight words and the same with a ninth: four of five shingles."""
+    made = []
+    for i in range(1500):
+        t = " ".join(f"p{i}w{k}" for k in range(9))
+        made += [(2 * i, t), (2 * i + 1, t.rsplit(" ", 1)[0])]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 5, 0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in made}
+
+
 def test_estimate_follows_jaccard():
     import numpy as np
 

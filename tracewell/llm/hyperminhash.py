@@ -8,8 +8,12 @@ whose compressed value is exactly one long. Sets that share a band are
 candidates: a pair as similar as the threshold misses all 32 with a probability
 of (1 - 0.8^4)^32 = 5e-8 at 0.8, and 6e-11 at 0.85. Sets of up to SMALL shingles
 leave most registers empty, so a band would say little; similar ones differ in a
-few shingles only, d at most, and are cut by hash range into d + 2 parts instead:
-two of the parts are equal in both, by the pigeonhole principle.
+few shingles only, d at most, and are cut by hash range into d + 2 parts instead.
+A set with more than d parts that aren't empty shares one of them with each
+similar set, by the pigeonhole principle. Sets with fewer are cut once more, by
+another hash; those that no cut has settled give the least of their shingles
+instead, as many as could differ and one more, of which similar sets share one.
+So no candidate of small sets is lost.
 
 No group is paired with itself:
 1. Equal sets are one class; its smallest document stands for it from there on.
@@ -35,6 +39,8 @@ from tracewell.llm.store import is_empty, keep
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 SMALL = 256
+#: Cuts of a small set, each by another hash, before its least shingles are used.
+CUTS = 8
 #: Documents of one band value that meet in one group at most, twice.
 BLOCK = 1024
 EMPTY = 0xFFFF
@@ -101,12 +107,22 @@ def candidate_keys(u: np.ndarray, bands: np.ndarray, classes: list[tuple[int, in
     with np.errstate(over="ignore"):
         for hi, parts in classes if n <= classes[-1][0] else ():
             if n <= hi and reach > below:
-                at = np.searchsorted(u, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(U))
-                total = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(u ^ U(0x5851F42D4C957F2D)))])
-                cut = np.concatenate([[0], at, [n]])
-                full = np.flatnonzero(np.diff(cut))
-                value = total[cut[1:]] - total[cut[:-1]]
-                out.append(W.mix(value[full] + U(hi) * U(0x9E3779B97F4A7C15) + full.astype(U)))
+                # The most shingles in which a set of this size and a similar one of the class differ.
+                differ = int(min((n + hi) / (1 + threshold), n / threshold) * (1 - threshold) + 1e-9)
+                salt = U(hi) * U(0x9E3779B97F4A7C15)
+                for k in range(CUTS):
+                    v = np.sort(W.mix(u + U(k) * U(0xD1342543DE82EF95))) if k else u
+                    at = np.searchsorted(v, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(U))
+                    total = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(v ^ U(0x5851F42D4C957F2D)))])
+                    cut = np.concatenate([[0], at, [n]])
+                    full = np.flatnonzero(np.diff(cut))
+                    value = total[cut[1:]] - total[cut[:-1]]
+                    out.append(W.mix(value[full] + salt + full.astype(U)))
+                    if len(full) > differ:
+                        break
+                else:
+                    # Both sets hold threshold * n shingles of n at least, so the least n - threshold * n + 1 meet.
+                    out.append(W.mix(W.mix(u[: int(n * (1 - threshold) + 1e-9) + 1]) + salt))
             below = hi
         if reach > classes[-1][0]:
             full = bands != np.iinfo(U).max
