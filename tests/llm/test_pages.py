@@ -130,6 +130,28 @@ def test_extraction(spark):
     assert mincut.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+ARTICLE = "<article><p>The article of the page, with words enough to count as its text.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>x</title><body>", "<head><meta charset=utf-8><title>How <body> works</title><style>p{}</style>", "<head><noscript><link><body>", "<head><title>x</title></head><body>",
+        "<div><noscript><img src=x></div>", "<div><select><option>a<option>b</div>", "<div><svg><path d='M0'></div>", "<div><object><param></div>", "<div><iframe src=x></div><div><iframe></iframe></div>",
+        "<p><a href=x><svg><path></a></p>", "<svg><g><a>no</a><title>no</title></g></svg>", "<object><object>no</object>no</object>", "<p>.<noscript><div>no</div>no</noscript></p>",
+        "<script>if (a) x = '<!--';</script>", "<script>if (a <b) t = 'it' + \"'\";</script>", "<style>a:after{content:'<!--'}</style>",
+    ],
+)
+def test_raw_elements_end_where_they_do(before):
+    texts = [b.text for b in mincut.blocks_of(before + ARTICLE + "<p>It's the end.</p>")]
+    assert [t for t in texts if t != "."] == ["The article of the page, with words enough to count as its text.", "It's the end."]
+
+
+def test_text_ends_a_head():
+    assert [b.text for b in mincut.blocks_of("<head><title>x</title>\n<base> Just words")] == ["Just words"]
+    assert [b.text for b in mincut.blocks_of("<head><title>x</title> Just <b>words</b><p>and more")] == ["Just words", "and more"]
+
+
 def test_min_cut_is_least():
     rng = random.Random(6)
     for _ in range(150):

@@ -18,6 +18,9 @@ _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\
 
 #: Elements whose content is never text of a page.
 RAW = frozenset("script style noscript template svg math iframe object embed canvas audio video head textarea select datalist".split())
+#: Those of them whose content is no markup, so that only their own end tag ends them, and the tags that may stand in a head.
+LITERAL = frozenset("script style textarea".split())
+HEAD = frozenset("html head title base basefont bgsound link meta noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 #: What the name of an element, or a word of its class, id or role, says: weights in log-odds of being content.
@@ -64,10 +67,17 @@ def _weight(tag: str, attributes: str) -> float:
 
 
 def blocks_of(page: str) -> list[TextBlock]:
-    """The blocks of text of a page, in order: white space collapsed, character references decoded, raw elements skipped."""
+    """The blocks of text of a page, in order: white space collapsed, character references decoded, raw elements skipped.
+
+    A raw element ends with its own end tag or that of an element around it; a
+    head also ends before text, or a tag that can't stand in it. Without its end
+    tag a script, style or textarea goes on to the end of the page.
+    """
     root = Node("", None, 0, 0.0, False)
     at, out, pos, linked, in_link = root, [], 0, 0, 0
     held: list[str] = []
+    raw: Node | None = None  # the outermost open raw element
+    inline: dict[str, int] = {}
 
     def flush():
         nonlocal linked
@@ -79,28 +89,60 @@ def blocks_of(page: str) -> list[TextBlock]:
         linked = 0
 
     home = root
-    for m in _MARKUP.finditer(page):
-        if m.start() < pos:
-            continue  # inside a raw element
+    scan = _MARKUP.finditer(page)
+    while m := next(scan, None):
         if m.start() > pos:
             piece = page[pos : m.start()]
-            held.append(piece)
-            if in_link:
-                linked += len(piece.strip())
+            if raw and raw.tag == "head" and at is raw and piece.strip():
+                at, raw = raw.parent, None
+            if not raw:
+                held.append(piece)
+                if in_link:
+                    linked += len(piece.strip())
         pos = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1]
-        if tag in RAW:
-            if not closing and not m[3].endswith("/") and tag not in VOID:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
+        opens = not closing and not m[3].endswith("/") and tag not in VOID
+        if tag in LITERAL or (tag == "title" and raw and raw.tag == "head" and at is raw):
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos) if opens else None
+            if end or (opens and tag in LITERAL):
                 pos = end.end() if end else len(page)
-            if tag not in INLINE:
+                scan = _MARKUP.finditer(page, pos)
+            if tag in LITERAL:
                 flush()
+            if tag in LITERAL or end:
+                continue
+        if raw:
+            if raw.tag == "head" and not closing and (tag == "body" or (at is raw and tag not in HEAD)):
+                ends = True
+            elif closing:
+                up = at
+                while up is not raw.parent and up.tag != tag:
+                    up = up.parent
+                if up is not raw.parent:
+                    at, raw = up.parent, None if up is raw else raw
+                    continue
+                while up is not root and up.tag != tag:
+                    up = up.parent
+                ends = inline.get(tag, 0) > 0 if tag in INLINE else up is not root
+            else:
+                ends = False
+            if not ends:
+                if opens:
+                    at = Node(tag, at, at.depth + 1, at.weight, at.strong)
+                continue
+            at, raw = raw.parent, None
+        if tag in RAW:
+            flush()
+            if opens:
+                raw = at = Node(tag, at, at.depth + 1, at.weight, at.strong)
             continue
         if tag == "a":
             in_link = max(0, in_link + (-1 if closing else 1)) if closing else 1
         if tag in INLINE:
+            if opens or closing:
+                inline[tag] = max(0, inline.get(tag, 0) + (-1 if closing else 1))
             if tag == "br":
                 held.append(" ")
             continue
@@ -112,6 +154,7 @@ def blocks_of(page: str) -> list[TextBlock]:
             if up is not root:
                 at = up.parent
             in_link = 0
+            inline.clear()
         elif tag not in VOID:
             if tag in _CLOSES_P or tag == "li":
                 up, kind = at, "li" if tag == "li" else "p"
@@ -126,7 +169,7 @@ def blocks_of(page: str) -> list[TextBlock]:
             weight = min(inside, own) if own <= -6 or at.strong else max(-12.0, min(6.0, inside + own))
             at = Node(tag, at, at.depth + 1, weight, at.strong or own <= -6)
         home = at
-    if pos < len(page):
+    if pos < len(page) and (not raw or (raw.tag == "head" and at is raw)):
         held.append(page[pos:])
     flush()
     return out
