@@ -81,6 +81,41 @@ def test_salvage_of_wrong_digest_and_random_bytes():
     assert list(warc.salvage(b"")) == []
 
 
+def salvaged(data):
+    """Ids of the records, and the reasons of gaps; what is found covers all bytes."""
+    got, at = list(warc.salvage(data)), 0
+    for a, n in sorted({(a, n) for a, n, _, _ in got}):
+        assert not data[at:a].strip(b"\r\n")
+        at = a + n
+    assert not data[at:].strip(b"\r\n")
+    return [int(r["record_id"][10:18], 16) for _, _, r, _ in got if r], [why for _, _, r, why in got if not r]
+
+
+def test_salvage_after_a_writer_died_in_a_payload():
+    ids, gaps = salvaged(record(0) + record(1, b"half of a payload" * 9)[:-70] + record(2) + record(3))
+    assert ids == [0, 2, 3] and len(gaps) == 1
+    ids, gaps = salvaged(gzip.compress(record(0) + record(1, b"half of a payload" * 9)[:-70] + record(2)) + gzip.compress(record(3)))
+    assert ids == [0, 2, 3] and len(gaps) == 1
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_salvage_inside_a_member(level):
+    rng = random.Random(2)
+    parts = [record(n, bytes(rng.randrange(32, 127) for _ in range(3000))) for n in range(40)]
+    zipped = lambda x: gzip.compress(x, level)
+    bad = b"".join(parts[:7]) + record(7, b"abc", b"xyz") + b"".join(parts[8:])
+    ids, gaps = salvaged(zipped(bad) + zipped(record(50)))
+    assert ids == [*range(7), *range(8, 40), 50] and len(gaps) == 1 and "digest" in gaps[0]
+    whole = zipped(b"".join(parts))
+    for what, data in {"cut": whole[: len(whole) * 6 // 10], "crc": whole[:-8] + bytes(8), "no trailer": whole[:-8]}.items():
+        for after in (b"", zipped(record(50)) + record(51), gzip.compress(record(50)) + record(51)):
+            ids, gaps = salvaged(data + after)
+            assert ids == [*range(23 if what == "cut" else 40), *([50, 51] if after else [])], (what, ids)
+            assert len(gaps) == 1 or level == 0 and what == "cut" and gaps
+    ids, gaps = salvaged(zipped(bad)[:-8])
+    assert ids == [*range(7), *range(8, 40)] and len(gaps) == 2
+
+
 def test_archive_with_damage(spark, pages, tmp_path):
     warc.write(pages, str(tmp_path / "w"))
     part = max(tmp_path.glob("w/part*"), key=lambda p: p.stat().st_size)

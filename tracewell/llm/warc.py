@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracewell.llm.store import keep, shared_folder
 
 _VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/[01]\.\d+\r?\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
+_MAGIC = re.compile(rb"\x1f\x8b\x08")
+#: Compressed bytes that are unpacked at once.
+CHUNK = 65536
 _BLANK = re.compile(rb"[\r\n]*")
 END = b"\r\n\r\n"
 _NO_ID = "-4fff-bfff-"
@@ -130,56 +133,129 @@ def _record(data: bytes, pos: int) -> tuple[dict, int]:
     return {"record_type": kind, "record_id": head.get("warc-record-id"), "refers_id": head.get("warc-refers-to"), "url": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest or None, "payload": payload if kind != "revisit" else None}, after + 4
 
 
-def _unit(data: bytes, pos: int) -> tuple[list[dict], int]:
-    """The records of the gzip member, or the plain record, at pos."""
+def _member(data: bytes, pos: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at pos unpacks to, where it ends, and why it can't be unpacked to its end."""
+    member, out, at = zlib.decompressobj(31), [], pos
+    while not member.eof and at < len(data):
+        chunk, before = data[at : at + CHUNK], member.copy()
+        try:
+            out.append(member.decompress(chunk))
+        except zlib.error as e:
+            for k in range(len(chunk)):
+                try:
+                    out.append(before.decompress(chunk[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at + k, f"member: {e}"
+        at += len(chunk)
+    return b"".join(out), at - len(member.unused_data), None if member.eof else "member is cut off"
+
+
+def _reach(data: bytes, pos: int, size: int) -> int:
+    """Where the bytes end from which the gzip member at pos unpacks to its first size bytes."""
+    member, at, n = zlib.decompressobj(31), pos, 0
+    while True:
+        chunk, before = data[at : at + CHUNK], member.copy()
+        try:
+            got = len(member.decompress(chunk))
+        except zlib.error:
+            got = size
+        if n + got >= size:
+            for k in range(len(chunk)):
+                n += len(before.decompress(chunk[k : k + 1]))
+                if n >= size:
+                    return at + k + 1
+        n += got
+        at += len(chunk)
+
+
+def _inside(text: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """(start, end, record, reason) of each record and gap of unpacked text."""
+    at = 0
+    while (at := _BLANK.match(text, at).end()) < len(text):
+        try:
+            found, after = _record(text, at)
+        except Bad as e:
+            start, found = at, None
+            for m in _VERSION.finditer(text, at + 1):
+                try:
+                    found, after = _record(text, m.start())
+                except Bad:
+                    continue
+                break
+            at = m.start() if found else len(text)
+            yield start, at, None, str(e)
+            if not found:
+                return
+        yield at, after, found, None
+        at = after
+
+
+def _holds_unit(data: bytes, pos: int) -> bool:
+    try:
+        return bool(_unit(data, pos)[0])
+    except Bad:
+        return False
+
+
+def _unit(data: bytes, pos: int) -> tuple[list[tuple[dict | None, str | None]], int, str | None]:
+    """The records and gaps of the gzip member, or the plain record, at pos, where what gave them ends, and why the member's rest gives none."""
     if data[pos : pos + 2] != b"\x1f\x8b":
         found, after = _record(data, pos)
-        return [found], after
-    member = zlib.decompressobj(31)
-    try:
-        text = member.decompress(data[pos:])
-    except zlib.error as e:
-        raise Bad(f"member: {e}") from None
-    if not member.eof:
-        raise Bad("member is cut off")
-    out, at = [], 0
-    while at < len(text):
-        found, at = _record(text, at)
-        out.append(found)
-    return out, len(data) - len(member.unused_data)
+        return [(found, None)], after, None
+    text, after, bad = _member(data, pos)
+    parts = list(_inside(text))
+    if bad:
+        # A cut block that is stored as it is takes in the members after it; from there on the archive itself is searched.
+        for k, (a, b, r, _) in enumerate(parts):
+            if not r and any(_holds_unit(text, m.start()) for m in _MAGIC.finditer(text, a, b)):
+                del parts[k:]
+                break
+    if not any(r for _, _, r, _ in parts) and (bad or parts):
+        raise Bad(bad or parts[0][3])
+    if bad:
+        if not parts[-1][2]:
+            parts.pop()  # belongs to the rest
+        after = _reach(data, pos, parts[-1][1])
+    return [(r, reason and f"{reason} (bytes {a} to {b} of the unpacked member)") for a, b, r, reason in parts], after, bad
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(offset, length, record, reason) of each record and of each quarantined gap of an archive.
 
-    After a failed check the reader looks for the next gzip member or version line
-    from which a whole, valid unit can be read; all bytes before it are one gap.
+    After a failed check the reader looks for the next gzip member or version line,
+    wherever it stands, from which a whole, valid record can be read; all bytes
+    before it are one gap. A damaged or cut gzip member is unpacked as far as it
+    goes. Records and gaps inside a member have the place of the member, or of its
+    part up to the last whole record; the rest of a damaged one is a gap.
     """
-    pos = 0
-    while pos < len(data):
-        pos = _BLANK.match(data, pos).end()
-        if pos >= len(data):
-            break
-        try:
-            found, after = _unit(data, pos)
-        except Bad as e:
-            reason, at, found = str(e), pos, None
-            while found is None:
-                m = _START.search(data, at + 1)
-                at = m.start() if m else len(data)
-                if not m:
-                    break
+    pos, reason, at = 0, None, 0
+    while True:
+        if reason is None:
+            pos = _BLANK.match(data, pos).end()
+            if pos >= len(data):
+                return
+            try:
+                found, after, rest = _unit(data, pos)
+            except Bad as e:
+                reason, at = str(e), pos + 1
+        if reason is not None:
+            found = None
+            for m in _START.finditer(data, at):
                 try:
-                    found, after = _unit(data, at)
+                    found, after, rest = _unit(data, m.start())
                 except Bad:
                     continue
+                break
+            at = m.start() if found is not None else len(data)
             yield pos, at - pos, None, reason
-            pos = at
             if found is None:
-                break
-        for r in found:
-            yield pos, after - pos, r, None
-        pos = after
+                return
+            pos = at
+        for r, why in found:
+            yield pos, after - pos, r, why
+        pos = at = after
+        reason = rest
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
