@@ -30,3 +30,16 @@ def test_lists(spark):
     assert details.by_ids(s, ["s1", "../x", "s1"]).count() == 2 and details.first_project_of(s, "s1").first().project == "p1"
     tools = spark.createDataFrame([(True, None), (False, True), (False, False)], "is_orphan boolean, result_is_error boolean")
     assert [r.status for r in details.tool_status(tools).collect()] == ["orphaned", "error", "ok"]
+
+
+def test_alerts_without_a_call_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import rules
+
+    made = spark.range(0, 400, 1, 4).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), F.col("id") % 40)).alias("tool_use_id"), (F.col("id") % 3 == 0).alias("from_subagent"), F.col("id").alias("arrival"))
+    got = rules.upsert_alerts(made).withColumn("task", F.spark_partition_id()).collect()
+    calls = {r.tool_use_id: r.id for r in got if r.tool_use_id}
+    assert calls == {"t0": 0, "t10": 90, "t20": 60, "t30": 30}
+    alone = [r for r in got if r.tool_use_id is None]
+    assert len(alone) == 360 and len({r.task for r in alone}) == 4

@@ -101,7 +101,8 @@ def _first(found: DataFrame) -> DataFrame:
 def upsert_alerts(alerts: DataFrame, key: str = "tool_use_id") -> DataFrame:
     """One alert for each call: one from a subagent before others, then the earliest; alerts without a call all stay. Needs from_subagent and arrival."""
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("from_subagent"), "arrival"))
-    return alerts.withColumn("_rank", best).where(F.col(key).isNull() | (F.col("_rank") == 1)).drop("_rank")
+    called = alerts.where(F.col(key).isNotNull()).withColumn("_rank", best).where("_rank = 1").drop("_rank")
+    return called.unionByName(alerts.where(F.col(key).isNull()))  # not ranked: they would all meet in one task
 
 
 def newest(alerts: DataFrame, cap: int = 100) -> DataFrame:
