@@ -192,15 +192,62 @@ def test_min_cut_is_least():
     for _ in range(150):
         n = rng.randint(1, 8)
         unary = [rng.randint(-9, 9) for _ in range(n)]
-        edges = {(i, j): rng.randint(0, 7) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
-        cost = lambda side: sum(-u for u, s in zip(unary, side, strict=True) if u < 0 and s) + sum(u for u, s in zip(unary, side, strict=True) if u > 0 and not s) + sum(c for (i, j), c in edges.items() if side[i] != side[j])  # noqa: B023, E731
+        edges = {(i, j): rng.randint(0, 7) for i in range(n) for j in range(n) if i != j and rng.random() < 0.4}
+        cost = lambda side: sum(-u for u, s in zip(unary, side, strict=True) if u < 0 and s) + sum(u for u, s in zip(unary, side, strict=True) if u > 0 and not s) + sum(c for (i, j), c in edges.items() if side[i] and not side[j])  # noqa: B023, E731
         assert cost(mincut.min_cut(unary, edges)) == min(cost(s) for s in itertools.product((False, True), repeat=n))
 
 
+TEXT = "The quick brown fox jumps over the lazy dog, and then it sleeps for a long time in the sun."
+MENU = "<ul>" + "<li><a href=x>some link</a></li>" * 6 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form id=all><div class=nav>{MENU}</div><article><h1>Title here</h1><p>{TEXT}<p>Ha.</article></form>", ["Title here", TEXT, "Ha."]),
+        (f"<article><p>{TEXT}</p><form><label>Name</label><p>Please fill in the form below with care, all of it.</p></form></article>", [TEXT]),
+        (f"<article><p>{TEXT}</p><section id=comments>" + f"<article><p>{TEXT} I agree.</p></article>" * 9 + "</section></article>", [TEXT]),
+        (f"<article><table><tr><td>1</td><td>ab</td></tr></table><p><a href=x>only link</a></p><p>{TEXT}</p></article>", ["1", "ab", "only link", TEXT]),
+        (f"<article><p>{TEXT}</p>{MENU}<p>{TEXT}</p></article>", [TEXT, TEXT]),
+        (f"<div>{MENU}</div><div><h1>Head</h1><p>{TEXT}</p><p>Ha.</p><p>{TEXT}</p></div><div>Copyright me</div>", ["Head", TEXT, "Ha.", TEXT]),
+        (f'<body class="has-sidebar"><main><p>{TEXT}</p></main><div id=sidebar><p>{TEXT}</p></div></body>', [TEXT]),
+        (f"<header><h1>Site of things.</h1></header><article><header><h1>Real title</h1></header><p class=byline>By me</p><p>{TEXT}</p><footer>By me.</footer></article>", ["Real title", "By me", TEXT]),
+        ("<article>" + "<p>© 2020 x. All rights reserved.</p>" * 4 + "</article>", ["© 2020 x. All rights reserved."] * 4),
+    ],
+)
+def test_the_cut_decides(page, want):
+    assert mincut.main_text(page) == "\n".join(want)
+
+
+def test_the_cut_mends_the_classifier():
+    """On the sample pages, the cut against the sign of the fitted scores; the tags nav, article and footer and the class ad tell what is right."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    pages = [mincut.blocks_of(x.as_py() or "") for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html")]
+    known = [(mincut.features(b), b.node.landmark.kind > 0) for p in pages[::2] for b in p if b.node.landmark]
+    weights = mincut.fit_weights(np.array([x for x, _ in known]), np.array([y for _, y in known], float))
+    changed = by_sign = by_cut = total = 0
+    for page in pages[1::2]:
+        for b, label in zip(page, mincut.labels_of(page, weights=weights), strict=True):
+            right, sign = bool(b.node.landmark and b.node.landmark.kind > 0), mincut.content_score(b, weights) > 0
+            changed, by_sign, by_cut, total = changed + (sign != label), by_sign + (sign == right), by_cut + (label == right), total + 1
+    assert changed > 0.01 * total and by_sign < by_cut == total
+
+
+def test_fit_without_landmarks_keeps_the_prior(spark):
+    pages = spark.createDataFrame([(1, f"<p>{TEXT}</p>"), (2, None), (None, "<article>x</article>"), (1, "<p>again</p>")], "page_id long, html string")
+    assert mincut.fit(pages) == mincut.fit(pages.limit(0)) == mincut.PRIOR
+    more = spark.createDataFrame([(i, f"<article><p>{TEXT}</p></article><nav>{MENU}</nav>") for i in range(40)], "page_id long, html string")
+    assert mincut.fit(more) == mincut.fit(more.repartition(7)) != mincut.PRIOR
+
+
 def test_long_page_takes_its_time_in_proportion():
     import time
 
     began = time.time()
     text = mincut.main_text("<div>" + "".join(f"<p>Short {i}</p>" for i in range(20_000)) + "</div>")
-    assert time.time() - began < 60
     assert text is not None
+    for page in ("<div>" * 100_000 + "x" + "</div>" * 100_000, "<x>" * 50_000 + "</y>" * 50_000, "<svg>" + "<x>" * 50_000 + "</y>" * 50_000, "<div><p><section>" + "<x>" * 20_000 + "<h1>" * 20_000, f"<article>{f'<p>{TEXT}' * 20_000}"):
+        mincut.main_text(page)
+    assert time.time() - began < 30
