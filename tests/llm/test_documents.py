@@ -253,6 +253,17 @@ def test_line_dedup(docs, data, empty):
     assert line_runs.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_clashing_names(spark):
+    lines = "\n".join(f"a line of seven words with {i}" for i in range(9))
+    names = ["doc", "th", "_spans", "spans", "removed", "row", "n_lines_removed", "a", "b", "seq", "pos", "N"]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate([lines, f"x\n{lines}\ny", None, ""])], ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in names]]))
+    got = line_runs.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines_removed_1"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [(rows[i].text, rows[i].n_lines_removed_1) for i in range(4)] == [(lines, 0), ("x\ny", 9), (None, 0), ("", 0)]
+    assert all(rows[i][c] == f"{c}{i}" for i in range(4) for c in names)
+
+
 def test_decontamination(spark, docs, data):
     item = [f"t{i}" for i in range(40)]
     tests = spark.createDataFrame([(1, " ".join(item)), (2, "Short, one here"), (3, None), (4, ""), (None, "w1 w2"), (5, " ".join(item[:20]) + " " + sentence(30))], "item_id long, text string")
@@ -390,11 +401,71 @@ def test_classifier_on_held_out_rows(spark, empty):
     found = {r.doc_id: r.quality_kept for r in got.collect()}
     assert len(found) == len(rows)
     assert sum(found[i] == (i % 4 != 0) for i in range(600, 900)) >= 285
-    assert cotraining.fit(docs, known, fit_rows=300, pool_rows=200).exchanged[0] != (0, 0)
+    model = cotraining.fit(docs, known, fit_rows=300)
+    assert len(model.held_out_loss) == len(model.exchanged) + 1 and 0 < model.threshold <= 0.5
     assert cotraining.classify(empty, known).count() == 0
     assert cotraining.classify(docs, known.limit(0)).count() == len(rows)
 
 
+def test_views_exchange_labels_both_ways_and_it_helps(spark):
+    """Few labels, two reasons for bad rows, each seen by one view: what the exchange adds, on rows without labels."""
+    rng = random.Random(11)
+    rows, bad = [], {}
+    for i in range(4000):
+        bad[i] = i % 5 == 0
+        mark = f" rude{rng.randint(1, 8)} rude{rng.randint(1, 8)}" if bad[i] else f" kind{rng.randint(1, 8)}"
+        rows.append((i, sentence(rng.randint(20, 40)) + mark, "en", f"spam{i % 3}" if bad[i] else f"s{i % 7}", 100, None, None, None))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    known = spark.createDataFrame([(i, int(not bad[i]), 0) for i in range(0, 4000, 16)], "doc_id long, quality int, toxic int")
+    alone, both = (cotraining.fit(docs, known, rounds=k, grow=100) for k in (0, 2))
+    assert alone.exchanged == [] and both.exchanged and min(map(max, zip(*both.exchanged, strict=True))) > 0
+    wrong = []
+    for model in (alone, both):
+        found = cotraining._scored(docs, ["lang", "source", "n_chars"], [model.text, model.meta]).collect()
+        wrong.append(sum((r.t < 0) != bad[r.doc_id] for r in found))
+    assert wrong[1] <= wrong[0]
+
+
+def test_exchange_on_sample_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    model = cotraining.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert all(n > 0 for n in model.exchanged[0]) and model.held_out_loss[-1] < 0.1
+
+
+def test_classifier_bounds_repeats_and_keeps_own_columns(spark):
+    rows = [(i, sentence(30) + (" awful" if i % 3 == 0 else ""), "x", i) for i in range(120)] + [(7, f"again {i}", "x", i) for i in range(300)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality_kept string, m0 long")
+    known = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    ids, y, features = cotraining._fetch(docs, known.where("quality = 1").select("doc_id", "quality").distinct().withColumnRenamed("quality", "y"), ["m0"])
+    assert len(ids) == len(set(ids.tolist())) == 40 and len(features[0]) == 40
+    got = cotraining.classify(docs, known)
+    assert got.columns == [*docs.columns, "text_logit", "meta_logit", "quality_score", "quality_kept_1"]
+    assert collections.Counter((r.doc_id, r.text, r.quality_kept, r.m0) for r in got.collect()) == collections.Counter(rows)
+
+
+def test_threshold_costs_least():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        p, y = rng.random(30), rng.integers(0, 2, 30)
+        cost = lambda t: 5 * (y[p < t] == 1).sum() + (y[p >= t] == 0).sum()  # noqa: B023, E731
+        t = cotraining.best_threshold(p, y)
+        if 0.02 < t < 0.5:
+            assert cost(t) == min(cost(x) for x in [0, *p + 1e-9])
+
+
+def test_combination_leans_on_the_lesser_view():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t, m = rng.normal(0, 3, 3000), rng.normal(0, 3, 3000)
+    y = ((t > 0) & (m > 0)).astype(float)
+    w = cotraining.fit_combination(t, m, y)
+    assert ((cotraining.combined(w, t, m) > 0) == y).mean() > 0.97 > ((t + m > 0) == y).mean()
+    assert cotraining.fit_combination(t, m, y * 0).tolist() == [0, 0, 0, 1]
+
+
 def test_tuned_sample_does_not_depend_on_partitions(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     a, b = (sorted((str(r.doc_id), round(r.quality_score, 9)) for r in cotraining.classify(d, labels).collect()) for d in (docs, docs.repartition(7)))

@@ -34,8 +34,8 @@ def test_names():
 def test_classifier_stage(spark, stages):
     _, before, after = stages[0]
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
-    own = {r.doc_id: r.quality_score for r in cotraining.classify(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels).collect()}
-    assert {r.doc_id for r in after} == {d for d, s in own.items() if s >= 0.35}
+    own = {r.doc_id: r.quality_kept for r in cotraining.classify(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels).collect()}
+    assert {r.doc_id for r in after} == {d for d, kept in own.items() if kept}
     good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
     bad = {r.doc_id for r in labels.where("quality = 0 or toxic = 1").collect()}
     kept = {r.doc_id for r in after}

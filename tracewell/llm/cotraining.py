@@ -1,15 +1,28 @@
-"""Quality classifier by co-training of a text view and a metadata view."""
+"""Quality classifier by co-training of a text view and a metadata view.
+
+The text view sees which words a document has, and its shares of repeats, marks and
+capitals; the metadata view never sees a word: it has language, source, size, and
+the shape of the page (shares of repeated lines and words, of marks, digits and
+capitals, lengths of lines and words). In each
+round both score every document without a label, and the surest of each class,
+picked from all of them by an exact top-k, teach the other view. A document is bad
+for one reason or another, each of which one view may see alone, so a view's sure
+"bad" always teaches, its "good" only where the other one doesn't say "bad"; and the
+combination of the calibrated views leans on the lesser of the two.
+"""
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tracewell.llm import words as W
+from tracewell.llm.store import free_name, keep as write
 
 BITS = 18
 SPACE = 1 << BITS
@@ -22,39 +35,63 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _TOKEN = _LETTER.copy()
 _TOKEN[128:] = True
 _TOKEN[48:58] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 
 
-def text_features(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each text, and the text of each: words, first five bytes of longer words, and shares of repeats, marks and capitals in steps."""
-    n, data = len(block), block.data
-    starts, ends, doc = block.pieces(_TOKEN[data])
+def text_features(block: W.Block, shape: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of each text, and the text of each: words, the first five bytes of longer words, and four measures of shape."""
+    starts, ends, doc = block.pieces(_TOKEN[block.data])
     sums = block.sums(lower=True)
-    word = W.span(sums, starts, ends)
     long = ends - starts > 5
     stem = W.mix(W.span(sums, starts[long], starts[long] + 5) + W.U(77))
-    total = np.bincount(doc, minlength=n)
-    own = np.unique(W.mix(word + doc.astype(W.U) * W.U(0x9E3779B97F4A7C15)), return_index=True)[1]
-    distinct = np.bincount(doc[own], minlength=n)
-    count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask[data])])[block.offsets])
-    step = lambda a, b, k: np.minimum(15, k * a // np.maximum(1, b))
-    shares = [step(distinct, total, 10), step(count(_SYMBOL), total, 10), step(count(_UPPER), count(_LETTER), 10), np.minimum(15, np.log2(total + 1).astype(np.int64))]
-    extra = [W.mix(np.full(n, 1000 * (k + 1), W.U) + s.astype(W.U)) for k, s in enumerate(shares)]
-    every = np.concatenate([word, stem, *extra]) >> W.U(64 - BITS)
-    owner = np.concatenate([doc, doc[long], *[np.arange(n)] * len(extra)])
-    both = np.unique(owner.astype(np.int64) * SPACE + every.astype(np.int64))
+    own = [_steps(k, shape[k]) for k in (0, 2, 4, 6)]
+    every = np.concatenate([(np.concatenate([W.span(sums, starts, ends), stem]) >> W.U(64 - BITS)).astype(np.int64), *own])
+    both = np.unique(np.concatenate([doc, doc[long], *[np.arange(len(block))] * len(own)]).astype(np.int64) * SPACE + every)
     return both % SPACE, both // SPACE
 
 
-def metadata_features(columns: list[list], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """One hashed feature for each metadata column and row; numbers count by their power of two, null is a value of its own."""
-    import zlib
+def _steps(k: int, steps: np.ndarray) -> np.ndarray:
+    """The hashed features of measure k in steps."""
+    return (W.mix(steps.astype(W.U) + W.U(1000 * (k + 1))) >> W.U(64 - BITS)).astype(np.int64)
 
-    out = np.zeros((n, len(columns)), np.int64)
-    for k, column in enumerate(columns):
-        for i, v in enumerate(column):
-            v = int(math.log2(abs(v) + 1)) if isinstance(v, int | float) and math.isfinite(v) else v
-            out[i, k] = zlib.crc32(f"{k}:{v}".encode()) % SPACE
-    return out.ravel(), np.repeat(np.arange(n), len(columns))
+
+def shape_of(block: W.Block) -> list[np.ndarray]:
+    """For each text in steps: words, lines, shares of distinct words and lines, of marks, digits and capitals, words a line, bytes a word."""
+    n, data = len(block), block.data
+    sums = block.sums(lower=True)
+
+    def distinct(starts, ends, doc):
+        own = np.unique(W.mix(W.span(sums, starts, ends) + doc.astype(W.U) * W.U(0x9E3779B97F4A7C15)), return_index=True)[1]
+        return np.bincount(doc, minlength=n), np.bincount(doc[own], minlength=n)
+
+    words, own_words = distinct(*block.words())
+    lines, own_lines = distinct(*block.lines())
+    size = np.diff(block.offsets)
+    count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask[data])])[block.offsets])
+    step = lambda a, b, k: np.minimum(31, k * a // np.maximum(1, b))
+    log = lambda x: np.log2(x + 1).astype(np.int64)
+    return [log(words), log(lines), step(own_words, words, 10), step(own_lines, lines, 10), step(count(_SYMBOL), words, 10), step(count(_DIGIT), words, 10), step(count(_UPPER), count(_LETTER), 20), log(words // np.maximum(1, lines)), step(size, words, 1)]
+
+
+def metadata_features(columns: list[list], shape: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One hashed feature for each metadata column, each measure of shape, and all columns of text together, of each row; numbers count by their power of two, null is a value of its own."""
+    out = np.zeros((n, len(columns) + len(shape) + 1), np.int64)
+    seen: dict[str, int] = {}
+
+    def at(key: str) -> int:
+        if key not in seen:
+            seen[key] = zlib.crc32(key.encode()) % SPACE
+        return seen[key]
+
+    for i in range(n):
+        named = [c[i] for c in columns]
+        values = [int(math.log2(abs(v) + 1)) if isinstance(v, int | float) and math.isfinite(v) else v for v in named]
+        out[i, : len(columns)] = [at(f"{k}:{v}") for k, v in enumerate(values)]
+        out[i, -1] = at("both:" + ":".join(str(v) for v in named if v is None or isinstance(v, str)))
+    for k, steps in enumerate(shape):
+        out[:, len(columns) + k] = _steps(k, steps)
+    return out.ravel(), np.repeat(np.arange(n), out.shape[1])
 
 
 @dataclass
@@ -77,15 +114,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_linear(f: np.ndarray, row: np.ndarray, y: np.ndarray, most: int = 4096, least_chi: float = 12.0, rounds: int = 300) -> Linear:
-    """Fits on rows 0..len(y)-1; only the features of the largest chi-squares (least_chi or more, most at most) get a weight."""
-    n, good = len(y), float(y.sum())
+def fit_linear(f: np.ndarray, row: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, most: int = 4096, least_chi: float = 12.0, rounds: int = 300) -> Linear:
+    """Fits on rows 0..len(y)-1, which count as much as counts says; only the features of the largest chi-squares (least_chi or more, most at most) get a weight."""
+    counts = np.ones(len(y)) if counts is None else counts
+    n, good = float(counts.sum()), float(counts @ y)
     weight = np.zeros(SPACE)
     bias = math.log((good + 0.5) / (n - good + 0.5))
     if not 0 < good < n:
         return Linear(weight, bias)
-    with_f = np.bincount(f, minlength=SPACE).astype(float)
-    good_f = np.bincount(f, y[row], SPACE)
+    with_f = np.bincount(f, counts[row], SPACE)
+    good_f = np.bincount(f, (counts * y)[row], SPACE)
     expected = with_f * good / n
     chi = (good_f - expected) ** 2 / np.maximum(1e-9, expected * (1 - good / n) * (1 - np.minimum(with_f, n - 1) / n))
     chosen = np.argsort(-chi, kind="stable")[:most]
@@ -96,14 +134,14 @@ def fit_linear(f: np.ndarray, row: np.ndarray, y: np.ndarray, most: int = 4096,
     col, row = place[f][inside], row[inside]
     w, b, vw, vb = np.zeros(len(chosen)), bias, np.zeros(len(chosen)), 0.0
     # Accelerated gradient steps, scaled for each feature by how many rows have it.
-    per = np.bincount(row, minlength=n).max(initial=0) + 1
+    per = np.bincount(row, minlength=len(y)).max(initial=0) + 1
     rate = 4.0 / (per * np.maximum(1, with_f[chosen]) * 0.5 + 4.0)
     pw, pb = w, b
     for k in range(rounds):
         m = k / (k + 3)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
-        p = _sigmoid(np.bincount(row, vw[col], n) + vb)
-        g = p - y
+        p = _sigmoid(np.bincount(row, vw[col], len(y)) + vb)
+        g = counts * (p - y)
         pw, pb = w, b
         w = vw - rate * (np.bincount(col, g[row], len(chosen)) + 0.02 * vw)
         b = vb - 4.0 * g.sum() / (n * per)
@@ -130,16 +168,36 @@ def calibrate(view: Linear, f: np.ndarray, row: np.ndarray, y: np.ndarray) -> No
     view.slope, view.shift = float(a), float(b)
 
 
+def combined(w: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Log-odds from those of both views."""
+    return w[0] + w[1] * t + w[2] * m + w[3] * np.minimum(t, m)
+
+
+def fit_combination(t: np.ndarray, m: np.ndarray, y: np.ndarray, hold: float = 4.0) -> np.ndarray:
+    """Weights of combined(), by Newton steps on held-out rows, held to the lesser of both views as by `hold` rows."""
+    start = np.array([0.0, 0.0, 0.0, 1.0])
+    if not len(y) or not 0 < y.sum() < len(y):
+        return start
+    x, w = np.stack([np.ones(len(y)), t, m, np.minimum(t, m)], 1), start.copy()
+    for _ in range(50):
+        p = _sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(4), x.T @ (p - y) + hold * (w - start))
+        w = w - step * min(1.0, 2.0 / max(1e-9, abs(step).max()))
+        if abs(step).max() < 1e-9:
+            break
+    return w
+
+
 @dataclass
 class CoTrained:
+    """exchanged: how many labels the text view and the metadata view gave away in each round that was kept; threshold: of the score, from held-out rows."""
+
     text: Linear
     meta: Linear
-    prior: float
+    weights: np.ndarray
+    threshold: float
     exchanged: list[tuple[int, int]]
-
-    def logit(self, text, meta, n: int) -> np.ndarray:
-        """The calibrated views combined: their log-odds add up, less the prior that both hold."""
-        return self.text.logit(*text, n) + self.meta.logit(*meta, n) - self.prior
+    held_out_loss: list[float]
 
 
 def _rows(features, keep: np.ndarray):
@@ -152,66 +210,85 @@ def _rows(features, keep: np.ndarray):
     return f[inside], place[row[inside]]
 
 
-def co_train(text, meta, y: np.ndarray, held: np.ndarray, rounds: int = 3, confident: float = 0.97, grow: int = 400) -> CoTrained:
-    """y: 1 good, 0 bad, -1 without a label (the pool). Each round, either view gives the other its most confident pool rows, grow at most of each class."""
-    train, test = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held)
-    pool = y < 0
-    given = [{}, {}]
-    views: list[Linear] = []
-    exchanged = []
-    sides = (text, meta)
-    for k in range(rounds + 1):
+def best_threshold(p: np.ndarray, y: np.ndarray, cost: float = 5.0) -> float:
+    """The score from which documents stay, where held-out rows cost least: a good one that goes counts cost times a bad one that stays. The middle of the widest such stretch; 0.5 without rows of both classes."""
+    if not len(y) or not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(p, kind="stable")
+    # Laplace's rule for what no held-out row shows: in both classes one more row, of the class's mean.
+    cuts = np.concatenate([[0.0], p[order], [1.0]])
+    lost = np.concatenate([[0.0], np.cumsum(y[order])]) * cost
+    stays = (1 - y).sum() - np.concatenate([[0.0], np.cumsum(1 - y[order])])
+    total = lost + stays
+    wide = np.where(total <= total.min() + 1e-9, np.diff(cuts), -1.0)
+    k = int(wide.argmax())
+    return float(min(0.5, max(0.02, (cuts[k] + cuts[k + 1]) / 2)))
+
+
+class Trainer:
+    """Both views, the labelled rows with their features, and what the views gave each other so far."""
+
+    def __init__(self, text, meta, y: np.ndarray, held: np.ndarray, weight: float) -> None:
+        self.sides, self.y, self.weight = (text, meta), y.astype(float), weight
+        self.train, self.test = np.flatnonzero(~held), np.flatnonzero(held)
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        #: For each view, what it learnt from the other one: features, rows, labels.
+        self.given = [(empty, np.zeros(0)), (empty, np.zeros(0))]
+
+    def fit(self, rounds: int) -> list[Linear]:
         views = []
-        for side, extra in zip(sides, given, strict=True):
-            own = np.concatenate([train, np.array(list(extra), np.int64)])
-            labels = np.concatenate([y[train], np.array(list(extra.values()))]).astype(float)
-            view = fit_linear(*_rows(side, own), labels, rounds=300 if k == rounds else 100)
-            calibrate(view, *_rows(side, test), y[test].astype(float))
+        for side, ((f, row), labels) in zip(self.sides, self.given, strict=True):
+            own_f, own_row = _rows(side, self.train)
+            n = len(self.train)
+            y = np.concatenate([self.y[self.train], labels])
+            counts = np.concatenate([np.ones(n), np.full(len(labels), self.weight)])
+            view = fit_linear(np.concatenate([own_f, f]), np.concatenate([own_row, row + n]), y, counts, rounds=rounds)
+            calibrate(view, *_rows(side, self.test), self.y[self.test])
             views.append(view)
-        if k == rounds or not pool.any():
-            break
-        rest, sent = np.flatnonzero(pool), []
-        for i, (side, view) in enumerate(zip(sides, views, strict=True)):
-            p = _sigmoid(view.logit(*_rows(side, rest), len(rest)))
-            new = {}
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:grow]
-                new |= {int(rest[j]): label for j in best if sure[j] >= confident}
-            given[1 - i] |= new
-            sent.append(len(new))
-            pool[list(new)] = False
-        exchanged.append(tuple(sent))
-        if not any(sent):
-            break
-    good = y[test].mean() if len(test) and 0 < y[test].mean() < 1 else 0.5
-    return CoTrained(*views, math.log(good / (1 - good)), exchanged)
+        return views
+
+    def combination(self, views: list[Linear]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weights, scores, labels) on the held-out rows."""
+        t, m = (view.logit(*_rows(side, self.test), len(self.test)) for side, view in zip(self.sides, views, strict=True))
+        y = self.y[self.test]
+        w = fit_combination(t, m, y)
+        return w, _sigmoid(combined(w, t, m)), y
+
+    def losses(self, views: list[Linear]) -> np.ndarray:
+        """The log-loss of each held-out row."""
+        _, p, y = self.combination(views)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+
+def _mean(x: np.ndarray) -> float:
+    return float(x.mean()) if len(x) else 0.0
+
+
+def is_worse(after: np.ndarray, before: np.ndarray) -> bool:
+    """Whether the held-out losses rose by more than one standard error of their differences."""
+    d = after - before
+    return len(d) > 1 and d.mean() > d.std() / math.sqrt(len(d)) + 1e-9
 
 
 def _features(batch: pa.RecordBatch, first_meta: int):
     for block in W.blocks(batch.column(1)):
         n = len(block)
         meta = [batch.column(k).slice(block.first, n).to_pylist() for k in range(first_meta, batch.num_columns)]
-        yield block, text_features(block), metadata_features(meta, n)
+        shape = shape_of(block)
+        yield block, text_features(block, shape), metadata_features(meta, shape, n)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -> DataFrame:
-    """(doc_id, y) of the labelled rows and of the pool: those with the least hashes of their ids."""
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, y): 1 for quality 1 and not toxic; of repeated labels the worst counts."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("y"))
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(known, "doc_id", "left_anti").distinct()
-    return first(known, fit_rows).unionByName(first(rest, pool_rows).select("doc_id", F.lit(-1).alias("y")))
+    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, pool_rows: int = 4_000, metadata: tuple[str, ...] = ("lang", "source", "n_chars"), rounds: int = 3) -> CoTrained:
-    """Co-trains both views on at most fit_rows labelled documents and pool_rows others (documented bounds).
-
-    Good means quality 1 and not toxic. A fifth of the labelled rows is held out to
-    calibrate. The sample's features come to the driver: at most 2^18 numbers for a
-    row, a few hundred for usual texts.
-    """
-    there = [c for c in metadata if c in docs.columns]
-    chosen = _sample(docs, labels, fit_rows, pool_rows)
+def _fetch(docs: DataFrame, chosen: DataFrame, metadata: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+    """(ids, y, features of both views) of the chosen (doc_id, y), a bounded table. Of rows that repeat an id the one with the least hash of its text counts, picked before anything reaches the driver."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("text").alias("text"), *[F.col(f"`{c}`").alias(f"m{k}") for k, c in enumerate(metadata)]).alias("row"))
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.min("y").alias("y"))
 
     def run(batches):
         for batch in batches:
@@ -222,51 +299,147 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, pool_rows: i
                     t, m = (f[a[i] : a[i + 1]] for (f, _), a in zip((text, meta), at, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()]), pa.array([batch.column(2)[k].as_py()], pa.int32()), pa.array([t.astype(np.int32).tobytes()]), pa.array([m.astype(np.int32).tobytes()])], ["doc_id", "y", "t", "m"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"meta_{c}") for c in there]).join(F.broadcast(chosen), "doc_id")
-    got = joined.select("doc_id", "text", "y", *[f"meta_{c}" for c in there]).mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow().sort_by("doc_id")
-    y = np.asarray(got.column("y").combine_chunks() if got.num_rows else [], np.int64)
-    sides = []
-    for name in "tm":
-        parts = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column(name)]
-        # What fewer than LEAST_ROWS rows have gets no weight in any fit: most features of texts go here.
-        seen = np.zeros(SPACE, np.int32)
-        for part in parts:
-            seen[part] += 1
-        parts = [part[seen[part] >= LEAST_ROWS] for part in parts]
-        sides.append((np.concatenate([np.zeros(0, np.int32), *parts]), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])))
+    got = one.select("doc_id", "row.text", "y", *[f"row.m{k}" for k in range(len(metadata))]).mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow().sort_by("doc_id")
     ids = np.asarray(got.column("doc_id").combine_chunks() if got.num_rows else [], np.int64)
+    y = np.asarray(got.column("y").combine_chunks() if got.num_rows else [], np.int64)
+    return ids, y, [[np.frombuffer(x.as_buffer(), np.int32) for x in got.column(name)] for name in "tm"]
+
+
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *parts]), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+
+
+def _scored(docs: DataFrame, metadata: list[str], views: list[Linear]) -> DataFrame:
+    """(doc_id, h, t, m): the log-odds of both views for every document; h is the hash of the row that _fetch goes by."""
+    shared = docs.sparkSession.sparkContext.broadcast(views)
+    named = [F.col(f"`{c}`").alias(f"m{k}") for k, c in enumerate(metadata)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.struct(F.col("text").alias("text"), *named)).alias("h"), *named)
+
+    def run(batches):
+        text_view, meta_view = shared.value
+        for batch in batches:
+            for block, text, meta in _features(batch, 3):
+                n = len(block)
+                part = batch.slice(block.first, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(text_view.logit(*text, n)), pa.array(meta_view.logit(*meta, n))], ["doc_id", "h", "t", "m"])
+
+    return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, h long, t double, m double")
+
+
+def _surest(pool: DataFrame, grow: int, confident: float) -> list[tuple[str, int, int]]:
+    """(view, doc_id, label): of the pool (doc_id, t, m) the grow surest documents of each view and class, if confident; ties by the hash of the id."""
+    least = math.log(confident / (1 - confident))
+    lists = []
+    for view, other in ("tm", "mt"):
+        for label, sure in ((1, F.col(view)), (0, -F.col(view))):
+            top = pool.where((sure >= least) & ((F.col(other) >= 0) | F.lit(label == 0))).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(grow)
+            lists.append(top.select(F.lit(view).alias("view"), "doc_id", F.lit(label).alias("label")))
+    every = lists[0]
+    for other in lists[1:]:
+        every = every.unionByName(other)
+    return [(r["view"], r["doc_id"], r["label"]) for r in every.collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, metadata: tuple[str, ...] = ("lang", "source", "n_chars"), rounds: int = 2, confident: float = 0.9, grow: int = 400, weight: float = 0.25) -> CoTrained:
+    """Co-trains both views on at most fit_rows labelled documents (a documented bound), those of the least hashes of their ids.
+
+    Good means quality 1 and not toxic. A fifth of the labelled rows is held out, to
+    calibrate the views and to set the threshold. Each of the rounds scores every
+    document without a label in Spark; the grow surest of each view and class
+    (confident or more) teach the other view, counting weight of a labelled row each,
+    so that rounds * grow * 2 rows at most join a view's sample. What a view learnt in
+    a round is undone if the held-out loss is worse with it, by more than a standard
+    error. Only the features of
+    the labelled sample and of what is exchanged come to the driver: at most 2^18
+    numbers for a row, a few hundred for usual texts.
+    """
+    there = [c for c in metadata if c in docs.columns]
+    known = _known(labels)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    ids, y, parts = _fetch(docs, chosen, there)
     held = W.mix(ids.astype(W.U)) % W.U(5) == 0
-    return co_train(*sides, y, held, rounds)
+    # What fewer than LEAST_ROWS rows have gets no weight in any fit: most features of texts go here.
+    seen = [np.bincount(np.concatenate([np.zeros(0, np.int32), *side]), minlength=SPACE) for side in parts]
+    sides = [_flat([p[s[p] >= LEAST_ROWS] for p in side]) for side, s in zip(parts, seen, strict=True)]
+    trainer = Trainer(*sides, y, held, weight)
+    views = trainer.fit(300)
+    lost, exchanged, taken = [trainer.losses(views)], [], {}
+    for k in range(rounds if 0 < y.sum() < len(y) else 0):
+        scored = _scored(docs, there, views).groupBy("doc_id").agg(F.min_by(F.struct("t", "m"), "h").alias("x"))
+        pool = write(scored.join(known, "doc_id", "left_anti").select("doc_id", "x.t", "x.m"), "pool")
+        if taken:
+            gone = docs.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")
+            pool = pool.join(F.broadcast(gone), "doc_id", "left_anti")
+        found = _surest(pool, grow, confident)
+        says: dict[str, dict[int, int]] = {v: {d: label for view, d, label in found if view == v} for v in "tm"}
+        new = {d for own in says.values() for d in own}
+        if not new:
+            break
+        got, _, features = _fetch(docs, docs.sparkSession.createDataFrame([(d, 0) for d in sorted(new)], "doc_id long, y int"), there)
+        before = list(trainer.given)
+        for side, teacher in ((0, "m"), (1, "t")):
+            rows = [i for i, d in enumerate(got.tolist()) if d in says[teacher]]
+            more_f, more_row = _flat([features[side][i] for i in rows])
+            (f, row), own = trainer.given[side]
+            labels_of = np.array([says[teacher][int(got[i])] for i in rows], float)
+            trainer.given[side] = ((np.concatenate([f, more_f]), np.concatenate([row, more_row + len(own)])), np.concatenate([own, labels_of]))
+        after = list(trainer.given)
+        for kept in ((True, True), (False, True), (True, False)):
+            trainer.given = [now if k else was for k, now, was in zip(kept, after, before, strict=True)]
+            tried = trainer.fit(300)
+            loss = trainer.losses(tried)
+            if not is_worse(loss, lost[-1]):
+                break
+        else:
+            trainer.given = before
+            break
+        views = tried
+        lost.append(loss)
+        exchanged.append((len(says["t"]) if kept[1] else 0, len(says["m"]) if kept[0] else 0))
+        taken |= dict.fromkeys(new)
+    w, p, held_y = trainer.combination(views)
+    return CoTrained(*views, w, best_threshold(p, held_y), exchanged, [_mean(x) for x in lost])
+
+
+SCORES = ("text_logit", "meta_logit", "quality_score", "quality_kept")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, metadata: tuple[str, ...] = ("lang", "source", "n_chars"), **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float | None = None, metadata: tuple[str, ...] = ("lang", "source", "n_chars"), **options) -> DataFrame:
     """All columns of docs, with text_logit, meta_logit, quality_score and quality_kept (score >= threshold) for each row.
 
-    Every document is scored, over its whole text. Null and empty texts have only
-    their shares as text features and are scored too; rows that repeat are scored
-    each; missing metadata columns are left out. Without labels of both classes all
-    scores lie at the prior.
+    Every document is scored, over its whole text; the threshold is that of the
+    held-out labels unless one is given. Null and empty texts have no words and the
+    shape of an empty page and are scored too; rows that repeat are scored each;
+    missing metadata columns are left out. Without labels of both classes all scores
+    lie at the prior. Columns of docs pass unchanged: if one has a name of SCORES,
+    the new column has the name that added_columns() says.
     """
     there = [c for c in metadata if c in docs.columns]
     model = fit(docs, labels, metadata=metadata, **options)
+    limit = model.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scores = ["text_logit", "meta_logit", "quality_score"]
-    docs = docs.drop(*scores, "quality_kept")
+    names = added_columns(docs.columns)
     at = [docs.columns.index(c) for c in there]
+    first, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            view = pa.RecordBatch.from_arrays([batch.column(0), batch.column(docs_text), *[batch.column(k) for k in at]], [f"c{k}" for k in range(2 + len(at))])
+            view = pa.RecordBatch.from_arrays([batch.column(first), batch.column(text_at), *[batch.column(k) for k in at]], [f"c{k}" for k in range(2 + len(at))])
             for block, text, meta in _features(view, 2):
                 n = len(block)
                 t, m = own.text.logit(*text, n), own.meta.logit(*meta, n)
-                p = _sigmoid(t + m - own.prior)
+                p = _sigmoid(combined(own.weights, t, m))
                 part = batch.slice(block.first, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t), pa.array(m), pa.array(p), pa.array(p >= threshold)], [*part.schema.names, *scores, "quality_kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t), pa.array(m), pa.array(p), pa.array(p >= limit)], [*part.schema.names, *names])
 
-    docs_text = docs.columns.index("text")
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in scores], T.StructField("quality_kept", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names[:3]], T.StructField(names[3], T.BooleanType())])
     return docs.mapInArrow(run, schema)
+
+
+def added_columns(columns: list[str]) -> list[str]:
+    """The names under which classify() adds its four columns to those."""
+    names: list[str] = []
+    for name in SCORES:
+        names.append(free_name([*columns, *names], name))
+    return names

@@ -22,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewell.llm.store import keep
+from tracewell.llm.store import free_name, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 PLACE = ["doc", "th"]
@@ -110,12 +110,16 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     (doc_id, number of the line) stays, null ids first; the others lose it, with the
     blank lines inside. A text that loses all lines becomes empty. Null texts stay
     null; rows that repeat both id and text are decided once and treated alike; rows
-    that share an id only are told apart by their text.
+    that share an id only are told apart by their text. Columns of any other names
+    pass unchanged; if docs has a n_lines_removed of its own, the count is the last
+    column, under store.free_name(). An empty table gives an empty one.
     """
-    spans = repeated_runs(docs, min_words).groupBy(*PLACE).agg(F.collect_list(F.struct("pos_from", "pos_to")).alias("_spans"), F.sum("lines").cast("long").alias("_removed"))
-    docs = docs.drop("n_lines_removed")
-    out = docs.withColumn("_doc", _doc()).withColumn("_th", F.xxhash64("text"))
-    out = out.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_spans", lambda s: (i >= s["pos_from"]) & (i <= s["pos_to"])))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
-    return out.select(*[text if c == "text" else F.col(c) for c in docs.columns], F.coalesce("_removed", F.lit(0)).cast("long").alias("n_lines_removed"))
+    count = free_name(docs.columns, "n_lines_removed")
+    spans = repeated_runs(docs, min_words).groupBy(*PLACE).agg(F.collect_list(F.struct("pos_from", "pos_to")).alias("spans"), F.sum("lines").cast("long").alias("removed"))
+    # The row travels whole in one column, so no name of its can clash with those used here.
+    rows = docs.select(_doc(), F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(spans, PLACE, "left")
+    own = lambda c: F.col("row").getField(c)
+    left = F.filter(F.split(own("text"), "\n", -1), lambda x, i: ~F.exists("spans", lambda s: (i >= s["pos_from"]) & (i <= s["pos_to"])))
+    text = F.when(F.col("spans").isNull(), own("text")).otherwise(F.array_join(left, "\n"))
+    return out.select(*[(text if c == "text" else own(c)).alias(c) for c in docs.columns], F.coalesce("removed", F.lit(0)).cast("long").alias(count))
