@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.llm import cotraining, hyperminhash, line_runs, packing, tiling
-from tracewell.llm.store import keep
+from tracewell.llm.store import free_name, keep
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cotraining.classify(docs, labels).where("quality_kept").select(*docs.columns)
+    kept = cotraining.added_columns(docs.columns)[-1]
+    return cotraining.classify(docs, labels).where(kept).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; one that had nothing else goes."""
-    done = line_runs.dedup_lines(docs)
-    return done.where("n_lines_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    removed = free_name(docs.columns, "n_lines_removed")
+    left = (F.col(removed) == 0) | F.col("text").rlike(line_runs.WORD)
+    return line_runs.dedup_lines(docs).where(left).select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
