@@ -153,8 +153,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_large_group_of_near_copies(spark):
-    """Copies that differ from a hidden centre, most of them from each other as well: no link is lost across blocks."""
+def components_of(made, n, percent):
+    sets = {i: shingles(t, n) for i, t in made}
+    label = {d: d for d in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0]
+    for _ in range(len(made)):
+        before = dict(label)
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+    return label
+
+
+@pytest.mark.parametrize("centres", [1, 4])
+def test_large_group_of_near_copies(spark, monkeypatch, centres):
+    """Copies that differ from a hidden centre, most of them from each other as well: no link is lost across components."""
     rng = random.Random(3)
     centre = [f"c{i}" for i in range(150)]
     made = []
@@ -163,37 +177,48 @@ def test_large_group_of_near_copies(spark):
         for _ in range(rng.randint(1, 9)):
             t[rng.randrange(len(t))] = f"x{rng.random()}"
         made.append((i, " ".join(t)))
+    monkeypatch.setattr(hyperminhash, "CENTRES", centres)
     docs = spark.createDataFrame(made, "doc_id long, text string")
-    old, hyperminhash.BLOCK = hyperminhash.BLOCK, 16
-    try:
-        got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs, 3, 0.85).collect()}
-    finally:
-        hyperminhash.BLOCK = old
-    sets = {i: shingles(t, 3) for i, t in made}
-    label = {d: d for d in sets}
-    for _ in range(20):
-        for a in sets:
-            for b in sets:
-                if a != b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
-    assert got == label
+    assert {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs, 3, 0.85).collect()} == components_of(made, 3, 85)
+
 
+def test_links_beside_a_shared_passage(spark):
+    """20,000 documents that share a passage but are no copies, with some true pairs among them: band values of thousands, and no pairs of all of them."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    made = [(i, f"{passage} " + " ".join(f"d{i}x{k}" for k in range(24))) for i in range(20_000)]
+    made += [(100_000 + i, made[i][1] + " more") for i in range(0, 20_000, 400)]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(8), 5, 0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i % 100_000 for i, _ in made}
 
-def test_short_nested_sets_share_a_key(monkeypatch):
-    """Each similar pair of small sets has a key in common, also when hash ranges are empty: (threshold, sizes, common)."""
+
+def test_recall_by_size_and_similarity():
+    """The share of pairs that have a band in common, for sets of 4 to 2,000 shingles just above the threshold."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    cases = [(0.8, 4, 5, 4), (0.8, 5, 6, 5), (0.8, 8, 10, 8), (0.8, 9, 9, 8), (0.8, 12, 15, 12), (0.8, 80, 100, 80), (0.85, 6, 7, 6), (0.85, 17, 20, 17), (0.5, 2, 3, 2), (0.5, 10, 20, 10)]
-    none = np.zeros(0, np.uint64)
-    for cuts, tries, bits in ((hyperminhash.CUTS, 1500, 64), (2, 300, 64), (2, 100, 30), (0, 100, 64)):
-        monkeypatch.setattr(hyperminhash, "CUTS", cuts)
-        for threshold, a, b, both in cases:
-            classes = hyperminhash.size_classes(threshold)
+    for threshold, sizes in ((0.8, (4, 8, 12, 40, 120, 300, 2000)), (0.85, (6, 17, 60, 200, 2000))):
+        for n in sizes:
+            both = int(np.ceil(n * threshold - 1e-9)) if n < 20 else int(np.ceil(2 * n * threshold / (1 + threshold)))
+            m = n + 1 if n < 20 else n
+            both = n if n < 20 else both
+            if n < 20 and n / m < threshold:
+                continue
+            found, tries = 0, 400 if n < 500 else 60
             for _ in range(tries):
-                u = rng.permutation(np.unique(rng.integers(0, 2**bits, a + b - both, dtype=np.uint64, endpoint=False)))
-                keys = [hyperminhash.candidate_keys(np.sort(x), none, classes, threshold) for x in (u[:a], u[a - both :])]
-                assert len(np.intersect1d(*keys)), (cuts, threshold, a, b, u)
+                u = rng.permutation(rng.integers(0, 2**64 - 1, n + m - both, dtype=np.uint64))
+                a, b = (np.ascontiguousarray(hyperminhash.registers([np.sort(x)])).view(np.uint64) for x in (u[:n], u[n - both :]))
+                found += bool((hyperminhash.band_keys(a) == hyperminhash.band_keys(b)).any())
+            assert found >= 0.995 * tries, (threshold, n)
+
+
+def test_dense_registers():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 50, 5000):
+        regs = hyperminhash.registers([np.sort(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))])
+        assert (regs != hyperminhash.EMPTY).all() and len(set(regs[0].tolist())) <= n
+    assert (hyperminhash.registers([np.zeros(0, np.uint64)]) == hyperminhash.EMPTY).all()
 
 
 def test_short_near_copies_are_linked(spark):
@@ -216,6 +241,12 @@ def test_estimate_follows_jaccard():
         regs = hyperminhash.registers([np.unique(u[:size]), np.unique(u[size - both :])])
         got = hyperminhash.estimate(regs[:1], regs[1:], np.array([size]), np.array([size]))[0]
         assert abs(got - j) < 0.15
+        for small in (5, 20, 80):
+            both = int(small * 2 * j / (1 + j))
+            v = rng.integers(0, 2**64 - 1, 2 * small - both, dtype=np.uint64)
+            regs = hyperminhash.registers([np.sort(v[:small]), np.sort(v[small - both :])])
+            got = hyperminhash.estimate(regs[:1], regs[1:], np.array([small]), np.array([small]))[0]
+            assert got >= hyperminhash.margin(np.array([small]), both / (2 * small - both))[0]
 
 
 def test_line_dedup(docs, data, empty):

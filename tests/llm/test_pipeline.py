@@ -115,3 +115,29 @@ def test_packing_stage(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, FOLDER).count() == len(stages[-1][2])
+
+
+ODD = ["doc", "th", "row", "rep", "key", "c", "u", "v", "s", "h", "m0", "y", "n_shingles", "component_id", "kept", "members", "quality_kept", "n_lines_removed", "count", "item_id", "coverage", "tiles"]
+
+
+def test_odd_rows_through_each_stage(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, an empty table, and extra columns with names of the operators' own."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).collect()]
+    rows += [dict.fromkeys(rows[0]), {**rows[0], "doc_id": 900_001, "text": None}, {**rows[0], "doc_id": 900_002, "text": ""}, {**rows[0], "doc_id": 900_003, "text": " ".join(f"w{i}" for i in range(60_000))}]
+    rows += [rows[5]] * 3 + [{**rows[6], "text": "another text of the same id"}]
+    names = list(rows[0])
+    schema = ", ".join([f"{n} {t}" for n, t in spark.read.parquet(f"{FOLDER}/documents.parquet").dtypes] + [f"`{n}` string" for n in ODD])
+    docs = spark.createDataFrame([(*[r[n] for n in names], *[f"{n} of {r['doc_id']}" for n in ODD]) for r in rows], schema).repartition(3)
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, some, FOLDER)
+            got = done.collect()
+            if name == "packing":
+                assert {r.doc_id for r in got} == {r.doc_id for r in some.collect()}
+                continue
+            assert done.columns == docs.columns, name
+            assert all(r[n] == f"{n} of {r.doc_id}" for r in got for n in ODD), name
+            kept = {r.doc_id for r in got}
+            assert not some.limit(1).count() or {900_001, 900_002} <= kept or name == "quality classifier", name
+            if name == "MinHash near-dedup" and got:
+                assert sum(r.doc_id == rows[5]["doc_id"] for r in got) <= 1

@@ -3,26 +3,26 @@
 A document's set holds its distinct n-word shingles, hashed to 64 bits. Of each
 hash the top 7 bits choose one of 128 registers; the least rest in a register is
 kept as its leading-zero count (6 bits) and the next 10 bits (mantissa), so a
-sketch takes 256 bytes at any length. Four neighbouring registers make a band,
-whose compressed value is exactly one long. Sets that share a band are
-candidates: a pair as similar as the threshold misses all 32 with a probability
-of (1 - 0.8^4)^32 = 5e-8 at 0.8, and 6e-11 at 0.85. Sets of up to SMALL shingles
-leave most registers empty, so a band would say little; similar ones differ in a
-few shingles only, d at most, and are cut by hash range into d + 2 parts instead.
-A set with more than d parts that aren't empty shares one of them with each
-similar set, by the pigeonhole principle. Sets with fewer are cut once more, by
-another hash; those that no cut has settled give the least of their shingles
-instead, as many as could differ and one more, of which similar sets share one.
-So no candidate of small sets is lost.
+sketch takes 256 bytes at any length. A register that no shingle chose takes over
+the value of another one that is in use, the first in an order of its own (one
+permutation hashing, made dense), so sets of any size have 128 registers, each of
+which two sets share with a probability of about their similarity. Four
+neighbouring registers make a band, whose compressed value is exactly one long.
+Sets that share a band are candidates: a pair as similar as the threshold misses
+all 32 with a probability of (1 - 0.8^4)^32 = 5e-8 at 0.8, and 6e-11 at 0.85.
 
 No group is paired with itself:
 1. Equal sets are one class; its smallest document stands for it from there on.
 2. Each band value links its documents to its most central one only. A pair is
    verified if the collision-corrected estimate comes near the threshold, and
    kept if the full sets pass.
-3. Only for band values whose documents still lie in different components the
-   pairs across components are looked at too, block by block: no link that could
-   join two components is lost, and pairs inside a component need no check.
+3. Only band values whose documents still lie in different components matter any
+   more. A document of theirs that has a link to another component shares enough
+   of its shingles with documents of other components; one that doesn't is done
+   (an exact bound, from counts of shingles). What is left meets more central
+   documents of its band values, four times as many in each round, until no value
+   is open or each of its documents was a centre. So no link between components is
+   lost.
 """
 
 from __future__ import annotations
@@ -38,13 +38,12 @@ from tracewell.llm.components import connected_components
 from tracewell.llm.store import is_empty, keep
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
-SMALL = 256
-#: Cuts of a small set, each by another hash, before its least shingles are used.
-CUTS = 8
-#: Documents of one band value that meet in one group at most, twice.
-BLOCK = 1024
+#: Centres of each open band value in the first round of step 3, about; there are four times as many from round to round.
+CENTRES = 8
 EMPTY = 0xFFFF
 U = np.uint64
+#: _RANK[i, j]: which place register j has in the order in which an empty register i looks for a value.
+_RANK = W.mix(np.arange(REGISTERS * REGISTERS, dtype=U) + U(1)).reshape(REGISTERS, REGISTERS).argsort(1).argsort(1)
 
 
 def shingle_sets(column, n: int) -> Iterator[np.ndarray]:
@@ -65,74 +64,49 @@ def shingle_sets(column, n: int) -> Iterator[np.ndarray]:
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 128 16-bit registers for each sorted set."""
+    """A row of 128 16-bit registers for each sorted set, none empty unless the set is."""
     least = np.full((len(sets), REGISTERS), np.iinfo(U).max, U)
-    edges = np.arange(REGISTERS, dtype=U) << U(57)
-    for row, u in zip(least, sets, strict=True):
-        at = np.searchsorted(u, edges)
+    there = np.zeros(least.shape, bool)
+    numbers = np.arange(REGISTERS, dtype=U)
+    for row, own, u in zip(least, there, sets, strict=True):
+        at = np.searchsorted(u, numbers << U(57))
         full = at < len(u)
         row[full] = u[at[full]]
-    there = (least >> U(57)) == np.arange(REGISTERS, dtype=U)
-    there &= np.array([len(u) > 0 for u in sets], bool)[:, None] if len(sets) else True
+        own[full] = (row[full] >> U(57)) == numbers[full]
     rest = (least & U((1 << 57) - 1)) + U(1)
     bits = rest.astype(np.float64).view(U)
     zeros = U(57 + 1023) - (bits >> U(52))
     packed = (zeros << U(MANTISSA)) | ((bits >> U(52 - MANTISSA)) & U((1 << MANTISSA) - 1))
-    return np.where(there, packed, U(EMPTY)).astype(np.uint16)
+    out = np.where(there, packed, U(EMPTY)).astype(np.uint16)
+    for row, own in zip(out, there, strict=True):
+        if not own.all() and own.any():
+            full = np.flatnonzero(own)
+            row[~own] = row[full[_RANK[~own][:, full].argmin(1)]]
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of rows of registers, for sets of n and m elements: equal registers less the expected chance collisions, over those in use."""
-    used = (a != EMPTY) | (b != EMPTY)
-    same = ((a == b) & used).sum(1)
+    """Jaccard estimates of rows of registers, for sets of n and m elements: the share of equal registers less the expected chance collisions."""
+    same = ((a == b) & (a != EMPTY)).sum(1)
     ratio = np.maximum(n, m) / np.maximum(1, np.minimum(n, m))
     chance = 0.169919487159739093975 * 2.0 ** (7 - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    return np.maximum(0, same - chance) / np.maximum(1, used.sum(1))
+    return np.maximum(0, same - chance) / REGISTERS
 
 
-def size_classes(threshold: float) -> list[tuple[int, int]]:
-    """(largest size, parts) of the classes up to SMALL; sizes of a similar pair lie in one class or in neighbours."""
-    out, hi = [], 1
-    while hi <= SMALL:
-        differ = int(2 * hi * (1 - threshold) / (1 + threshold) + 1e-9)
-        out.append((hi, differ + 2 if differ else 1))
-        hi = max(hi + 1, int(hi / threshold))
-    return out
+def margin(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The estimate from which a pair whose smaller set has n elements is looked at in full: five standard deviations below the threshold. Where fewer registers have a value of their own, the estimate is coarser."""
+    own = REGISTERS * (1 - (1 - 1 / REGISTERS) ** n)
+    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / own * (2 - own / REGISTERS))
 
 
-def candidate_keys(u: np.ndarray, bands: np.ndarray, classes: list[tuple[int, int]], threshold: float) -> np.ndarray:
-    """Values of which similar sets share one. The class of the larger set of a pair decides, so a set has the keys of each class in reach."""
-    n, reach, out = len(u), int(len(u) / threshold + 1e-9), []
-    below = 0
+def band_keys(bands: np.ndarray) -> np.ndarray:
+    """A value for each band (rows of 32 longs) that says its place as well."""
     with np.errstate(over="ignore"):
-        for hi, parts in classes if n <= classes[-1][0] else ():
-            if n <= hi and reach > below:
-                # The most shingles in which a set of this size and a similar one of the class differ.
-                differ = int(min((n + hi) / (1 + threshold), n / threshold) * (1 - threshold) + 1e-9)
-                salt = U(hi) * U(0x9E3779B97F4A7C15)
-                for k in range(CUTS):
-                    v = np.sort(W.mix(u + U(k) * U(0xD1342543DE82EF95))) if k else u
-                    at = np.searchsorted(v, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(U))
-                    total = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(v ^ U(0x5851F42D4C957F2D)))])
-                    cut = np.concatenate([[0], at, [n]])
-                    full = np.flatnonzero(np.diff(cut))
-                    value = total[cut[1:]] - total[cut[:-1]]
-                    out.append(W.mix(value[full] + salt + full.astype(U)))
-                    if len(full) > differ:
-                        break
-                else:
-                    # Both sets hold threshold * n shingles of n at least, so the least n - threshold * n + 1 meet.
-                    out.append(W.mix(W.mix(u[: int(n * (1 - threshold) + 1e-9) + 1]) + salt))
-            below = hi
-        if reach > classes[-1][0]:
-            full = bands != np.iinfo(U).max
-            out.append(W.mix(W.mix(bands[full]) + np.flatnonzero(full).astype(U)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
-
-
-def sketches(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, bands, keys): two additive fingerprints name the whole set; bands has the registers, four to a long."""
-    classes = size_classes(threshold)
+        return W.mix(W.mix(bands) + np.arange(BANDS, dtype=U))
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, fp1, fp2, bands): two additive fingerprints name the whole set; bands has the registers, four to a long."""
 
     def run(batches):
         for batch in batches:
@@ -150,16 +124,23 @@ def sketches(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         with np.errstate(over="ignore"):
             fp1 = np.array([W.mix(u + U(1)).sum() for u in sets], U).view(np.int64)
             fp2 = np.array([W.mix(u ^ U(0xA5A5A5A5A5A5A5A5)).sum() for u in sets], U).view(np.int64)
-        packed = np.ascontiguousarray(registers(sets)).view(U)
-        flat = packed.view(np.int64).ravel()
-        keys = [candidate_keys(u, b, classes, threshold) for u, b in zip(sets, packed, strict=True)]
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+        flat = np.ascontiguousarray(registers(sets)).view(np.int64).ravel()
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
         size = pa.array(np.array([len(u) for u in sets], np.int64))
-        return pa.RecordBatch.from_arrays([ids, size, pa.array(fp1), pa.array(fp2), bands, keys], ["doc_id", "n_shingles", "fp1", "fp2", "bands", "keys"])
+        return pa.RecordBatch.from_arrays([ids, size, pa.array(fp1), pa.array(fp2), bands], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+
+
+def _banded(reps: DataFrame) -> DataFrame:
+    """(doc_id, key) for each band of each sketch."""
+
+    def run(batches):
+        for batch in batches:
+            bands = np.asarray(batch.column(1).flatten()).view(U).reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(band_keys(bands).ravel().view(np.int64))], ["doc_id", "key"])
+
+    return reps.select("doc_id", "bands").mapInArrow(run, "doc_id long, key long")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -167,8 +148,6 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bands").alias(f"b_{x}"))
     whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
     percent = int(round(threshold * 100))
-    # A sketch errs by 0.03 (one standard deviation) at most near the threshold: five of them below it, no pair that passes is lost.
-    margin = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
     def near(batches):
         for batch in batches:
@@ -177,9 +156,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
             col = {k: batch.column(k) for k in batch.schema.names}
             a, b = (np.asarray(col[f"b_{x}"].flatten()).view(np.uint16).reshape(batch.num_rows, REGISTERS) for x in "uv")
             n, m = (np.asarray(col[f"n_{x}"]) for x in "uv")
-            used = ((a != EMPTY) | (b != EMPTY)).sum(1)
-            # Few registers in use make a coarse estimate; such small sets go on to the full check.
-            ok = (estimate(a, b, n, m) >= margin) | (used < REGISTERS // 2)
+            ok = estimate(a, b, n, m) >= margin(np.minimum(n, m), threshold)
             yield pa.RecordBatch.from_arrays([col["u"].filter(pa.array(ok)), col["v"].filter(pa.array(ok))], ["u", "v"])
 
     def check(batches):
@@ -197,89 +174,76 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
     return keep(likely.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "s_u", "s_v").mapInArrow(check, "u long, v long"), "links")
 
 
-def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (u, v) between different components among the documents of each band value: loose has (key, doc_id, c, blocks).
-
-    A value's documents are dealt to blocks by hash, and each two blocks meet in a
-    group of their own, so none grows with the value; inside a group all pairs are
-    looked at, but only likely links are given out. A pair that shares several
-    values is looked at for the least of them. The groups hold the upper halves of
-    the hashes, which can only overrate a pair; the full sets decide at the end.
-    """
+def _unfinished(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The rows of loose (key, doc_id, c) whose document can still have a link to another component: enough of its shingles stand in documents of other components."""
     percent = int(round(threshold * 100))
-    margin = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-
-    def run(key, table):
-        own = key[0].as_py()
-        ids, c, n, block = (np.asarray(table.column(k).combine_chunks()) for k in ("doc_id", "c", "n_shingles", "block"))
-        flat = table.column("bands").combine_chunks().flatten()
-        regs = np.asarray(flat).view(np.uint16).reshape(len(ids), REGISTERS)
-        tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("halves")]
-        every, starts = np.concatenate(tokens), np.concatenate([[0], np.cumsum(n)])[:-1]
-        lists = table.column("keys").combine_chunks()
-        values, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
-        less = values < own
-        _, column = np.unique(values[less], return_inverse=True)
-        held = np.zeros((len(ids), int(column.max(initial=-1)) + 1), np.float32)
-        held[owner[less], column] = 1
-        out_u, out_v = [], []
-        for i in range(len(ids)):
-            ok = (ids > ids[i]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if key[1].as_py() != key[2].as_py():
-                ok &= block != block[i]
-            some = np.flatnonzero(ok)
-            some = some[held[some] @ held[i] == 0] if held.shape[1] else some
-            if not len(some):
-                continue
-            used = ((regs[some] != EMPTY) | (regs[i] != EMPTY)).sum(1)
-            some = some[(estimate(regs[some], regs[i][None], n[some], n[i]) >= margin) | (used < REGISTERS // 2)]
-            if not len(some):
-                continue
-            there = np.minimum(np.searchsorted(tokens[i], every), len(tokens[i]) - 1) if len(some) > 8 else None
-            if there is None:
-                both = np.array([np.isin(tokens[j], tokens[i]).sum() for j in some])
-            else:
-                both = np.add.reduceat((tokens[i][there] == every).astype(np.int64), starts)[some]
-            linked = some[100 * both >= percent * (n[i] + n[some] - both)]
-            out_u += [ids[i]] * len(linked)
-            out_v += ids[linked].tolist()
-        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
-    docs = loose.groupBy("doc_id").agg(F.first("c").alias("c"), F.collect_list(F.struct("key", "blocks")).alias("open"))
-
-    def halve(batches):
+    def run(batches):
         for batch in batches:
-            short = [(np.frombuffer(x.as_buffer(), U) >> U(32)).astype(np.uint32).tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(short, pa.binary()), *batch.columns[1:]], ["halves", *batch.schema.names[1:]])
+            for doc_id, c, data in zip(*batch.columns, strict=True):
+                u = np.frombuffer(data.as_buffer(), np.int64)
+                for part in range(0, len(u), 100_000):
+                    s = u[part : part + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc_id.as_py())), pa.array(np.full(len(s), c.as_py()))], ["s", "doc_id", "c"])
+
+    docs = loose.select("doc_id", "c").distinct()
+    each = keep(docs.join(sets, "doc_id").select("doc_id", "c", "shingles").mapInArrow(run, "s long, doc_id long, c long"), "shingles")
+    met = keep(each.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("s"), "met")
+    shared = each.join(met, "s").groupBy("doc_id").agg(F.count("*").alias("shared")).join(reps.select("doc_id", "n_shingles"), "doc_id")
+    return loose.join(shared.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select("doc_id"), "doc_id", "left_semi")
+
 
-    docs = docs.join(reps.select("doc_id", "n_shingles", "bands"), "doc_id").join(sets, "doc_id")
-    docs = docs.select("shingles", "doc_id", "c", "n_shingles", "bands", "open").mapInArrow(halve, "halves binary, doc_id long, c long, n_shingles long, bands array<long>, open array<struct<key:bigint,blocks:int>>")
-    each = docs.select("doc_id", "c", "n_shingles", "bands", "halves", F.transform("open", lambda x: x["key"]).alias("keys"), F.explode("open").alias("k"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("k.blocks")).cast("int")
-    met = each.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k.blocks") - 1)).alias("other"))
-    grouped = met.select(F.col("k.key").alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "c", "n_shingles", "bands", "halves", "keys", "block")
-    likely = grouped.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
-    return _verified(keep(likely.distinct(), "across"), reps, sets, threshold)
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, c) of keys with more than one component, and how many rows their key has."""
+    found = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members")).where("c0 < c1")
+    return rows.select("key", "doc_id", "c").join(keep(found.select("key", "members"), "open"), "key")
+
+
+def _link_components(members: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """links, with those that join components of documents which share a band value; members has (key, doc_id).
+
+    In each round about `centres` documents of each open value, chosen by hash, are
+    compared with the others of other components, and are done then; the next round
+    has four times as many. The last round's are all that are left.
+    """
+    component = connected_components(links)
+    placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    rows, centres = keep(_open(keep(placed, "placed")), "loose"), CENTRES
+    if not is_empty(rows):
+        rows = keep(_open(keep(_unfinished(rows, reps, sets, threshold), "unfinished")), "loose")
+    while not is_empty(rows):
+        # By document, so that a pair with many values in common is looked at once.
+        widest = rows.groupBy("doc_id").agg(F.max("members").alias("widest"))
+        central = keep(widest.where(F.pmod(F.xxhash64("doc_id", F.lit(centres)), F.col("widest")) < centres).select(F.col("doc_id").alias("v")), "central")
+        some = keep(rows.join(central, F.col("doc_id") == F.col("v")).select("key", "v", F.col("c").alias("cv")), "centres")
+        pairs = rows.select("key", "doc_id", "c").join(some, "key").where("c <> cv").select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v"))
+        more = _verified(keep(pairs.distinct(), "pairs"), reps, sets, threshold)
+        left = rows.join(central, F.col("doc_id") == F.col("v"), "left_anti").select("key", "doc_id", "c")
+        if not is_empty(more):
+            links = links.unionByName(more)
+            new = connected_components(links)
+            left = left.drop("c").join(new.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        rows, centres = keep(_open(keep(left, "left")), "loose"), centres * 4
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, kept) for each row of documents (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for each row of documents (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of the threshold or
-    more, itself included; n_links counts the verified links of its class that
-    were needed for that; kept is doc_id = component_id. Texts without words
-    (null and empty ones) have no set and link with nothing. Rows that repeat a
-    doc_id are one document with the set of each row; a null doc_id is its own
-    component (null) and is kept. Other columns are ignored.
+    more, itself included; kept is doc_id = component_id. Texts without words (null
+    and empty ones) have no set and link with nothing. Rows that repeat a doc_id are
+    one document with the set of each row; a null doc_id is its own component (null)
+    and is kept. Other columns are ignored. An empty table gives an empty one.
     """
-    found = keep(sketches(docs, n, threshold), "sketches")
+    found = keep(sketches(docs, n), "sketches")
     real = found.where("n_shingles > 0 and doc_id is not null")
     set_id = ["fp1", "fp2", "n_shingles"]
     classes = keep(real.groupBy(*set_id).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
-    reps = real.join(classes, set_id, "left").where("rep is null or rep = doc_id").select("doc_id", "n_shingles", "bands", "keys")
+    reps = real.join(classes, set_id, "left").where("rep is null or rep = doc_id").select("doc_id", "n_shingles", "bands")
     reps = keep(reps, "reps")
 
-    banded = reps.select("doc_id", F.explode("keys").alias("key"))
+    banded = _banded(reps)
     shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     shared = keep(shared.where("a < b").select("key", "members"), "shared")
     members = keep(banded.join(shared, "key"), "members")
@@ -306,24 +270,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(asked, "doc_id", "left_semi")
     sets = keep(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
 
-    links = _verified(pairs, reps, sets, threshold)
-    component = connected_components(links)
-    placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    placed = keep(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_keys = keep(open_keys, "open")
-    loose = keep(placed.join(open_keys, "key"), "loose")
-    if not is_empty(loose):
-        more = _across(loose, reps, sets, threshold)
-        links = links.unionByName(more)
-        if not is_empty(more):
-            component = connected_components(links)
-
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    per_rep = keep(component.withColumnRenamed("node", "rep").join(degree, "rep", "left"), "per_rep")
+    links = _link_components(members.select("key", "doc_id").distinct(), _verified(pairs, reps, sets, threshold), reps, sets, threshold)
+    component = keep(connected_components(links), "components")
     # Copies get the label of their class with it, by the set; the others have their own id's. So no join has a class as its key.
-    labelled = keep(classes.join(per_rep, "rep", "left").select(*set_id, F.coalesce("component", "rep").alias("class_label"), F.col("n_links").alias("class_links")), "labelled")
-    own = per_rep.select(F.col("rep").alias("doc_id"), "component", F.col("n_links").alias("own_links"))
-    out = found.drop("bands", "keys").join(labelled, set_id, "left").join(own, "doc_id", "left")
-    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_label", "component", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("class_links", "own_links", F.lit(0)).alias("n_links"), (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    labelled = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = keep(labelled.select(*set_id, F.coalesce("component", "rep").alias("class_label")), "labelled")
+    out = found.drop("bands").join(labelled, set_id, "left").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.withColumn("component_id", F.when(linked, F.coalesce("class_label", "component", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
