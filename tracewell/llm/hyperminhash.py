@@ -19,10 +19,9 @@ No group is paired with itself:
 3. Only band values whose documents still lie in different components matter any
    more. A document of theirs that has a link to another component shares enough
    of its shingles with documents of other components; one that doesn't is done
-   (an exact bound, from counts of shingles). What is left meets more central
-   documents of its band values, four times as many in each round, until no value
-   is open or each of its documents was a centre. So no link between components is
-   lost.
+   (an exact bound, from counts of shingles). What is left is compared across
+   components, in groups of bounded size, and gives out likely links only: no link
+   that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -38,8 +37,8 @@ from tracewell.llm.components import connected_components
 from tracewell.llm.store import is_empty, keep
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
-#: Centres of each open band value in the first round of step 3, about; there are four times as many from round to round.
-CENTRES = 8
+#: Documents of one band value that meet in one group at most, twice.
+BLOCK = 1024
 EMPTY = 0xFFFF
 U = np.uint64
 #: _RANK[i, j]: which place register j has in the order in which an empty register i looks for a value.
@@ -199,32 +198,78 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.select("key", "doc_id", "c").join(keep(found.select("key", "members"), "open"), "key")
 
 
-def _link_components(members: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """links, with those that join components of documents which share a band value; members has (key, doc_id).
+def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between different components among the unfinished documents of each band value: loose has (key, doc_id, c, members).
 
-    In each round about `centres` documents of each open value, chosen by hash, are
-    compared with the others of other components, and are done then; the next round
-    has four times as many. The last round's are all that are left.
+    A value's documents are dealt to blocks by hash, and each two blocks meet in a
+    group of their own, so none grows with the value; inside a group all pairs are
+    looked at, but only likely links are given out. A pair that shares several
+    values is looked at for the least of them. The groups hold the upper halves of
+    the hashes, which can only overrate a pair; the full sets decide at the end.
     """
+    percent = int(round(threshold * 100))
+
+    def run(key, table):
+        own = key[0].as_py()
+        ids, c, n, block = (np.asarray(table.column(k).combine_chunks()) for k in ("doc_id", "c", "n_shingles", "block"))
+        flat = table.column("bands").combine_chunks().flatten()
+        regs = np.asarray(flat).view(np.uint16).reshape(len(ids), REGISTERS)
+        tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("halves")]
+        every, starts = np.concatenate(tokens), np.concatenate([[0], np.cumsum(n)])[:-1]
+        lists = table.column("keys").combine_chunks()
+        values, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
+        less = values < own
+        _, column = np.unique(values[less], return_inverse=True)
+        held = np.zeros((len(ids), int(column.max(initial=-1)) + 1), np.float32)
+        held[owner[less], column] = 1
+        out_u, out_v = [], []
+        for i in range(len(ids)):
+            ok = (ids > ids[i]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if key[1].as_py() != key[2].as_py():
+                ok &= block != block[i]
+            some = np.flatnonzero(ok)
+            some = some[held[some] @ held[i] == 0] if held.shape[1] else some
+            if not len(some):
+                continue
+            some = some[estimate(regs[some], regs[i][None], n[some], n[i]) >= margin(np.minimum(n[some], n[i]), threshold)]
+            if not len(some):
+                continue
+            there = np.minimum(np.searchsorted(tokens[i], every), len(tokens[i]) - 1) if len(some) > 8 else None
+            if there is None:
+                both = np.array([np.isin(tokens[j], tokens[i]).sum() for j in some])
+            else:
+                both = np.add.reduceat((tokens[i][there] == every).astype(np.int64), starts)[some]
+            linked = some[100 * both >= percent * (n[i] + n[some] - both)]
+            out_u += [ids[i]] * len(linked)
+            out_v += ids[linked].tolist()
+        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+
+    docs = loose.groupBy("doc_id").agg(F.first("c").alias("c"), F.collect_list(F.struct("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))).alias("open"))
+
+    def halve(batches):
+        for batch in batches:
+            short = [(np.frombuffer(x.as_buffer(), U) >> U(32)).astype(np.uint32).tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.binary()), *batch.columns[1:]], ["halves", *batch.schema.names[1:]])
+
+    docs = docs.join(reps.select("doc_id", "n_shingles", "bands"), "doc_id").join(sets, "doc_id")
+    docs = docs.select("shingles", "doc_id", "c", "n_shingles", "bands", "open").mapInArrow(halve, "halves binary, doc_id long, c long, n_shingles long, bands array<long>, open array<struct<key:bigint,blocks:int>>")
+    each = docs.select("doc_id", "c", "n_shingles", "bands", "halves", F.transform("open", lambda x: x["key"]).alias("keys"), F.explode("open").alias("k"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("k.blocks")).cast("int")
+    met = each.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k.blocks") - 1)).alias("other"))
+    grouped = met.select(F.col("k.key").alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "c", "n_shingles", "bands", "halves", "keys", "block")
+    likely = grouped.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+    return _verified(keep(likely.distinct(), "across"), reps, sets, threshold)
+
+
+def _link_components(members: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """links, with those that join components of documents which share a band value; members has (key, doc_id)."""
     component = connected_components(links)
     placed = members.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    rows, centres = keep(_open(keep(placed, "placed")), "loose"), CENTRES
-    if not is_empty(rows):
-        rows = keep(_open(keep(_unfinished(rows, reps, sets, threshold), "unfinished")), "loose")
-    while not is_empty(rows):
-        # By document, so that a pair with many values in common is looked at once.
-        widest = rows.groupBy("doc_id").agg(F.max("members").alias("widest"))
-        central = keep(widest.where(F.pmod(F.xxhash64("doc_id", F.lit(centres)), F.col("widest")) < centres).select(F.col("doc_id").alias("v")), "central")
-        some = keep(rows.join(central, F.col("doc_id") == F.col("v")).select("key", "v", F.col("c").alias("cv")), "centres")
-        pairs = rows.select("key", "doc_id", "c").join(some, "key").where("c <> cv").select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v"))
-        more = _verified(keep(pairs.distinct(), "pairs"), reps, sets, threshold)
-        left = rows.join(central, F.col("doc_id") == F.col("v"), "left_anti").select("key", "doc_id", "c")
-        if not is_empty(more):
-            links = links.unionByName(more)
-            new = connected_components(links)
-            left = left.drop("c").join(new.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        rows, centres = keep(_open(keep(left, "left")), "loose"), centres * 4
-    return links
+    rows = keep(_open(keep(placed, "placed")), "loose")
+    if is_empty(rows):
+        return links
+    rows = keep(_open(keep(_unfinished(rows, reps, sets, threshold), "unfinished")), "loose")
+    return links if is_empty(rows) else links.unionByName(_across(rows, reps, sets, threshold))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
