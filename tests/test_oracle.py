@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracewell.plans import catalog, more  # noqa: F401
+from tracewell.plans import catalog, meta, more  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -68,3 +68,15 @@ def parse_model(model: Column) -> Column:
     ok = (at(F.lit(0)).startswith(MODEL_PREFIX)) & (F.size(parts) >= F.when(first, 4).otherwise(3)) & family.isNotNull() & major.isNotNull()
     version = F.concat(major.cast("string"), F.coalesce(F.concat(F.lit("."), minor.cast("string")), F.lit("")))
     return F.when(ok, F.struct(family.alias("family"), major.alias("major"), minor.alias("minor"), F.concat(family, version).alias("name")))
+
+
+def format_seconds(ms: Column) -> Column:
+    """12.3s"""
+    return F.concat(one_decimal(ms / 1000), F.lit("s"))
+
+
+def format_duration_short(ms: Column) -> Column:
+    """999ms, 1.5s, 2m, 2m 3s: whole seconds from a minute on, rounded down."""
+    minutes, rest = F.floor(ms / 60_000).cast("string"), F.floor(ms / 1000) % 60
+    long = F.concat(minutes, F.lit("m"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit("s"))).otherwise(""))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60_000, format_seconds(ms)).otherwise(long)

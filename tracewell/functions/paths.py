@@ -56,16 +56,23 @@ def repository_id(identity: Column) -> Column:
     return F.substr(F.sha2(F.lower(F.trim(identity)), 256), F.lit(1), F.lit(12))
 
 
-#: File kinds by extension.
+# Kinds of files by extension.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "rb": "ruby", "go": "go", "rs": "rust", "java": "java",
-    "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "sql": "sql",
-    "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "html": "html", "css": "css", "scss": "scss", "md": "markdown",
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "pyw": "python", "pyx": "python",
+    "html": "html", "htm": "html", "css": "css", "scss": "scss", "sass": "sass", "less": "less",
+    "json": "json", "jsonl": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml",
+    "sh": "bash", "bash": "bash", "zsh": "zsh", "fish": "fish",
+    "rs": "rust", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "hpp", "java": "java", "kt": "kotlin", "swift": "swift",
+    "env": "env", "gitignore": "gitignore", "dockerignore": "dockerignore", "md": "markdown", "mdx": "mdx",
+    "sql": "sql", "graphql": "graphql", "gql": "graphql", "vue": "vue", "svelte": "svelte", "rb": "ruby", "php": "php", "lua": "lua", "r": "r",
 }
 
 
 def language_of(path: Column) -> Column:
+    """The kind of a file by its name, else by its extension in any case of letters; text if unknown."""
     name = basename(path)
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return F.when(name == "Dockerfile", "dockerfile").when(name == "Makefile", "makefile").when(name.startswith(".env"), "bash").otherwise(F.coalesce(F.try_element_at(known, kind), F.lit("text")))
+    kind = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+    named = F.when(name == "Dockerfile", "dockerfile").when(name == "Makefile", "makefile").when(name.startswith(".env"), "env")
+    return named.otherwise(F.coalesce(F.try_element_at(known, kind), F.lit("text")))

@@ -151,3 +151,60 @@ def tool_summary(name: Column, input_json: Column) -> Column:
         .otherwise(truncate(rest, 50)),
         name,
     )
+
+
+#: The fields of inputs that tool_line() reads.
+_INPUT = (
+    "file_path string, old_string string, new_string string, limit long, offset long, content string, command string, description string, pattern string, path string, glob string, "
+    "prompt string, subagentType string, operation string, filePath string, url string, query string, todos array<string>, notebook_path string, edit_mode string, team_name string, "
+    "subject string, taskId string, status string, owner string, type string, recipient string, summary string, name string, file string"
+)
+
+
+def tool_line(name: Column, input_json: Column) -> Column:
+    """The longer line about a tool call: names of files with counts of lines, ranges, places, recipients. The input is parsed once."""
+    parsed = F.from_json(input_json, _INPUT)
+    get = lambda k: parsed[k]
+    some = lambda c: F.when(F.length(c) > 0, c)
+    base = lambda k: F.regexp_extract(some(get(k)), r"([^/\\]*)$", 1)
+    lines = lambda k: F.size(F.split(some(get(k)), "\n", -1))
+    text = lambda c: c.cast("string")
+    join = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    quoted = lambda k, n: join('"', truncate(some(get(k)), n), '"')
+    old, new = lines("old_string"), lines("new_string")
+    both = some(get("old_string")).isNotNull() & some(get("new_string")).isNotNull()
+    edited = F.when(both & (old == new), join(base("file_path"), " - ", text(old), F.when(old > 1, " lines").otherwise(" line")))
+    edited = F.coalesce(edited, F.when(both, join(base("file_path"), " - ", text(old), " -> ", text(new), " lines")), base("file_path"))
+    start = F.coalesce(get("offset"), F.lit(1))
+    read = F.coalesce(F.when(get("limit") != 0, join(base("file_path"), " - lines ", text(start), "-", text(start + get("limit") - 1))), base("file_path"))
+    written = F.coalesce(join(base("file_path"), " - ", text(lines("content")), " lines"), base("file_path"))
+    place = lambda *where: F.coalesce(*[join(quoted("pattern", 30), " in ", w) for w in where], quoted("pattern", 30))
+    kind, told = some(get("subagentType")), F.coalesce(get("description"), get("prompt"))
+    site = join(F.parse_url(get("url"), F.lit("HOST")), F.coalesce(some(F.parse_url(get("url"), F.lit("PATH"))), F.lit("/")))
+    count = F.size(get("todos"))
+    todos = F.when(get("todos").isNotNull(), join(text(count), F.when(count == 1, " item").otherwise(" items")))
+    team = join(some(get("team_name")), F.coalesce(join(" - ", truncate(some(get("description")), 30)), F.lit("")))
+    update = F.concat_ws(" ", join("#", some(get("taskId"))), some(get("status")), join("-> ", some(get("owner"))))
+    note = truncate(F.coalesce(get("summary"), F.lit("")), 30)
+    to = some(get("recipient"))
+    sent = (
+        F.when((get("type") == "shutdown_request") & to.isNotNull(), join("Shutdown ", to)).when(get("type") == "shutdown_response", "Shutdown response")
+        .when(get("type") == "broadcast", join("Broadcast: ", note)).when(to.isNotNull(), join("To ", to, ": ", note)).otherwise("Send message")
+    )
+    by_name = {
+        "Edit": edited, "Read": read, "Write": written, "Bash": F.coalesce(truncate(some(get("description")), 50), truncate(some(get("command")), 50)),
+        "Grep": place(some(get("glob")), base("path")), "Glob": place(base("path")),
+        "Task": F.coalesce(join(F.coalesce(join(kind, " - "), F.lit("")), truncate(some(told), 40)), kind),
+        "LSP": F.coalesce(join(some(get("operation")), " - ", base("filePath")), some(get("operation"))),
+        "WebFetch": F.coalesce(truncate(site, 50), truncate(some(get("url")), 50)), "WebSearch": quoted("query", 40), "TodoWrite": todos,
+        "NotebookEdit": F.coalesce(join(some(get("edit_mode")), " - ", base("notebook_path")), base("notebook_path")),
+        "TeamCreate": F.coalesce(team, F.lit("Create team")), "TaskCreate": F.coalesce(truncate(some(get("subject")), 50), F.lit("Create task")),
+        "TaskUpdate": F.coalesce(some(update), F.lit("Update task")), "TaskList": F.lit("List tasks"),
+        "TaskGet": F.coalesce(join("Get task #", some(get("taskId"))), F.lit("Get task")), "SendMessage": sent, "TeamDelete": F.lit("Delete team"),
+    }
+    first = F.element_at(F.map_values(F.from_json(input_json, "map<string,string>")), 1)
+    other = F.coalesce(truncate(F.coalesce(*[get(k) for k in ("name", "path", "file", "query", "command")]), 50), truncate(F.when(F.size(F.json_object_keys(input_json)) > 0, first), 40))
+    out = F.when(F.lit(False), name)
+    for tool, line in by_name.items():
+        out = out.when(name == tool, line)
+    return F.coalesce(out.otherwise(other), name)

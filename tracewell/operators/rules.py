@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
-from dataclasses import asdict, dataclass, field
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-#: Shapes that make a pattern slow on some text: a repeat inside a repeat, alternatives that repeat, and the like.
-_RISKY = (r"\([^)]*[+*][^)]*\)[+*{]", r"\([^)]*\|[^)]*\)[+*]{2}", r"[+*]{2,}", r"\{\d{3,}", r"\(\.\*\)[+*]", r"\.\*\.\*\.\*")
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+
+from tracewell.functions import formats
+from tracewell.functions import text as X
+
+# Shapes that make a pattern slow on some text, so that it isn't used.
+_RISKY = (
+    r"\([^)]{0,50}[+*][^)]{0,50}\)[+*]",  # a repeat inside a repeat
+    r"\([^)|]{0,50}\|[^)]{0,50}\)[+*]",  # alternatives that repeat
+    r"[+*]\{",
+    r"\}[+*]",
+    r"\\[1-9][+*]",  # a reference back that repeats
+    r"\[[^\]]{20}\][+*]",
+)
 
 
 @dataclass
@@ -20,12 +32,16 @@ class Rule:
     mode: str = "tool_result"
     tool: str | None = None
     pattern: str | None = None
-    ignore: list[str] = field(default_factory=list)
+    ignore: list[str] = dataclasses.field(default_factory=list)
     require_error: bool = False
     token_kind: str = "total"
     threshold: int = 0
-    projects: list[str] = field(default_factory=list)
+    projects: list[str] = dataclasses.field(default_factory=list)
     enabled: bool = True
+    #: The field of a call's input that is looked at; without one, the whole input.
+    field: str | None = None
+    #: Repositories that the rule is meant for; none means all.
+    repositories: list[str] = dataclasses.field(default_factory=list)
 
 
 # The rules that are there from the start, switched off.
@@ -36,9 +52,18 @@ BUILT_IN = (
 )
 
 
+def _is_balanced(pattern: str) -> bool:
+    """Whether brackets pair up; those after a backslash or inside a class are plain characters."""
+    bare = re.sub(r"\[(?:\\.|[^\]\\])*\]", "", re.sub(r"\\[^\[\]]", "", pattern))
+    bare = re.sub(r"\\.", "", bare)
+    while (less := re.sub(r"\(\)|\{\}", "", re.sub(r"[^(){}\[\]]", "", bare))) != bare:
+        bare = less
+    return not bare
+
+
 def is_safe_pattern(pattern: str) -> bool:
     """At most 100 characters, balanced, free of risky shapes, and it compiles; rules with other patterns never match."""
-    if not pattern or len(pattern) > 100 or any(re.search(p, pattern) for p in _RISKY):
+    if not pattern or len(pattern) > 100 or any(re.search(p, pattern) for p in _RISKY) or not _is_balanced(pattern):
         return False
     try:
         re.compile(pattern)
@@ -48,48 +73,138 @@ def is_safe_pattern(pattern: str) -> bool:
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The enabled rules with usable patterns; a list that people write, so small enough to broadcast."""
+    """The enabled rules with usable patterns; a list that people write, so it is small."""
     rows = []
     for r in rules:
         if r.enabled and (r.pattern is None or is_safe_pattern(r.pattern)):
             ignore = "|".join(f"(?:{p})" for p in r.ignore if is_safe_pattern(p))
             rows.append({**asdict(r), "ignore": ignore or None})
-    schema = "id string, name string, mode string, tool string, pattern string, ignore string, require_error boolean, token_kind string, threshold long, projects array<string>, enabled boolean"
+    schema = (
+        "id string, name string, mode string, tool string, pattern string, ignore string, require_error boolean, token_kind string, threshold long, projects array<string>, "
+        "repositories array<string>, field string"
+    )
     fields = [x.split()[0] for x in schema.split(", ")]
-    return spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], schema).select(*[F.col(f).alias(f"rule_{f}") for f in fields if f != "enabled"])
+    return spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], schema).select(*[F.col(f).alias(f"rule_{f}") for f in fields])
+
+
+def _matches(value: Column, pattern: str | None) -> Column:
+    """Case doesn't count; the pattern is a literal, so it is compiled once."""
+    return F.lit(None).cast("boolean") if pattern is None else value.rlike(f"(?i){pattern}")
+
+
+def _ignored(value: Column, rule: Row) -> Column:
+    return F.coalesce(_matches(value, rule.rule_ignore), F.lit(False))
 
 
-def _matches(value: Column, pattern: Column) -> Column:
-    return F.regexp_like(value, F.concat(F.lit("(?i)"), pattern))
+def _each_match(rows: DataFrame, rules: DataFrame, mode: str, test: Callable[[Row], Column]) -> DataFrame:
+    """rows once for each rule of a mode that is meant for them and whose test they pass, with the rule's columns.
+
+    The rules, which people write, are read to the driver and become literal
+    conditions of one projection; no row is joined with them.
+    """
+    own = rules.where(F.col("rule_mode") == mode).collect()
+    schema = rules.schema
+    repository = F.col("repository") if "repository" in rows.columns else F.lit(None).cast("string")
+    found = []
+    for r in own:
+        fits = test(r)
+        if r.rule_projects:
+            fits = fits & F.col("project").isin(r.rule_projects)
+        if r.rule_repositories:
+            fits = fits & repository.isin(r.rule_repositories)
+        says = F.struct(*[_literal(r[f.name], f.dataType.simpleString()).alias(f.name) for f in schema.fields])
+        found.append(F.when(fits, says))
+    if not found:
+        return rows.crossJoin(rules.limit(0))
+    return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("_rule")).select(*rows.columns, "_rule.*")
 
 
-def _in_scope() -> Column:
-    return (F.size("rule_projects") == 0) | F.array_contains("rule_projects", F.col("project"))
+def _literal(value, kind: str) -> Column:
+    return (F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)).cast(kind)
 
 
-def _ignored(value: Column) -> Column:
-    return F.coalesce(_matches(value, F.col("rule_ignore")), F.lit(False))
+def _is_tool(rule: Row) -> Column:
+    return F.lit(True) if rule.rule_tool is None else F.col("tool") == rule.rule_tool
 
 
 def match_results(results: DataFrame, rules: DataFrame) -> DataFrame:
-    """First match of each message and rule: errors that aren't ignored, or the pattern in a tool's result; results (project, message, pos, tool, content, is_error)."""
-    each = results.join(F.broadcast(rules.where("rule_mode = 'tool_result'")), _in_scope())
-    error = F.col("rule_require_error") & F.col("is_error") & ~_ignored(F.col("content"))
-    by_text = ~F.col("rule_require_error") & (F.col("tool") == F.col("rule_tool")) & _matches(F.col("content"), F.col("rule_pattern")) & ~_ignored(F.col("content"))
-    return _first(each.where(error | by_text))
+    """First match of each message and rule: errors that aren't ignored, or the pattern in a tool's result; results (project, message, pos, tool, content, is_error), and repository where rules ask for it."""
+
+    def test(r: Row) -> Column:
+        value = F.col("content")
+        if r.rule_require_error:
+            return F.col("is_error") & ~_ignored(value, r)
+        return F.lit(r.rule_tool is not None) & _is_tool(r) & _matches(value, r.rule_pattern) & ~_ignored(value, r)
+
+    return _first(_each_match(results, rules, "tool_result", test))
 
 
 def match_uses(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """First match of each message and rule in the inputs of calls (project, message, pos, tool, input)."""
-    each = calls.join(F.broadcast(rules.where("rule_mode = 'tool_use'")), _in_scope())
-    return _first(each.where((F.col("rule_tool").isNull() | (F.col("tool") == F.col("rule_tool"))) & _matches(F.col("input"), F.col("rule_pattern")) & ~_ignored(F.col("input"))))
+    """First match of each message and rule in the inputs of calls (project, message, pos, tool, input), or in one field of them; without a pattern every value matches."""
+
+    def test(r: Row) -> Column:
+        value = F.col("input") if r.rule_field is None else F.get_json_object("input", f"$['{r.rule_field}']")
+        fits = F.lit(True) if r.rule_pattern is None else _matches(value, r.rule_pattern)
+        return _is_tool(r) & (F.length(value) > 0) & fits & ~_ignored(value, r)
+
+    return _first(_each_match(calls, rules, "tool_use", test))
+
+
+def token_message(tool: Column, input_json: Column, tokens: Column, kind: str) -> Column:
+    """What an alert about a call's size says; ignore patterns look at it."""
+    label = "" if kind == "total" else f" {kind}"
+    return F.concat(tool, F.lit(" - "), X.tool_summary(tool, input_json), F.lit(" : ~"), formats.format_tokens(tokens), F.lit(f"{label} tokens"))
 
 
 def match_tokens(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """All calls (project, message, pos, tool, input_tokens, output_tokens) above a threshold."""
-    each = calls.join(F.broadcast(rules.where("rule_mode = 'token_threshold'")), _in_scope())
-    tokens = F.when(F.col("rule_token_kind") == "input", F.col("input_tokens")).when(F.col("rule_token_kind") == "output", F.col("output_tokens")).otherwise(F.col("input_tokens") + F.col("output_tokens"))
-    return each.withColumn("tokens", tokens).where((F.col("rule_tool").isNull() | (F.col("tool") == F.col("rule_tool"))) & (F.col("tokens") > F.col("rule_threshold")))
+    """All calls (project, message, pos, tool, input_tokens, output_tokens) above a threshold, with tokens; where input is there, ignore patterns look at the alert's text."""
+    sizes = {"input": F.col("input_tokens"), "output": F.col("output_tokens")}
+
+    def size(kind: str | None) -> Column:
+        return sizes.get(kind or "total", F.col("input_tokens") + F.col("output_tokens"))
+
+    def test(r: Row) -> Column:
+        fits = _is_tool(r) & (size(r.rule_token_kind) > r.rule_threshold) & F.lit(r.rule_threshold > 0)
+        if r.rule_ignore is not None and "input" in calls.columns:
+            fits = fits & ~_ignored(token_message(F.col("tool"), F.col("input"), size(r.rule_token_kind), r.rule_token_kind), r)
+        return fits
+
+    each = _each_match(calls, rules, "token_threshold", test)
+    kind = F.col("rule_token_kind")
+    return each.withColumn("tokens", F.when(kind == "input", F.col("input_tokens")).when(kind == "output", F.col("output_tokens")).otherwise(F.col("input_tokens") + F.col("output_tokens")))
+
+
+def _string_at(json: Column, key: str) -> Column:
+    """The value at a key if it is a string."""
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.get_json_object(json, f"$.{key}"))
+
+
+def enriched_text(result_json: Column) -> Column:
+    """The text of an enriched result: its error, else what it wrote to stderr, else its content, else its message; empty without any."""
+    stderr = _string_at(result_json, "stderr")
+    written = F.when(F.length(X.js_trim(stderr)) > 0, stderr)
+    return F.coalesce(_string_at(result_json, "error"), written, _string_at(result_json, "content"), _string_at(result_json, "message"), F.lit(""))
+
+
+def error_text(content_json: Column) -> Column:
+    """The text of a result's content: a string, or the text blocks of an array by lines; Unknown error if that is blank."""
+    blocks = F.from_json(content_json, "array<struct<type:string,text:string>>")
+    texts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    plain = F.get_json_object(F.concat(F.lit('{"v":'), content_json, F.lit("}")), "$.v")
+    said = X.js_trim(F.when(F.ltrim(content_json).startswith("["), F.array_join(texts, "\n")).when(F.ltrim(content_json).startswith('"'), plain))
+    return F.when(F.length(said) > 0, said).otherwise("Unknown error")
+
+
+def alert_message(text: Column, most: int = 500) -> Column:
+    return X.truncate(text, most)
+
+
+def trial(found: DataFrame, order: Column, rows: int = 50, most: int = 10_000) -> DataFrame:
+    """The first rows of what a rule found, with how many there are (most at most) and whether there are more than that."""
+    counted = found.limit(most + 1).agg(F.count("*").alias("_n"))
+    out = found.orderBy(order).limit(rows).crossJoin(F.broadcast(counted))
+    return out.withColumn("total", F.least(F.col("_n"), F.lit(most))).withColumn("truncated", F.col("_n") > most).drop("_n")
 
 
 def _first(found: DataFrame) -> DataFrame:
@@ -118,8 +233,29 @@ def chips(alerts: DataFrame, name: str = "rule_name") -> DataFrame:
     return alerts.groupBy(F.coalesce(name, F.lit("Other")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
 
 
-def mark_read(alerts: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    return alerts.withColumn("is_read", F.lit(True) if ids is None else F.col("is_read") | F.col("id").isin(ids))
+def mark_read(alerts: DataFrame, ids: list[str] | DataFrame | None = None) -> DataFrame:
+    """Alerts with those of the ids read, or all of them; many ids come as a table (id)."""
+    if ids is None:
+        return alerts.withColumn("is_read", F.lit(True))
+    if isinstance(ids, DataFrame):
+        chosen = ids.select("id").distinct().withColumn("_chosen", F.lit(True))
+        return alerts.join(chosen, "id", "left").withColumn("is_read", F.col("is_read") | F.coalesce("_chosen", F.lit(False))).drop("_chosen")
+    return alerts.withColumn("is_read", F.col("is_read") | F.col("id").isin(ids))
+
+
+def mark_rule_read(alerts: DataFrame, label: str) -> DataFrame:
+    """Alerts with those of one rule read; Other means those without a rule."""
+    return alerts.withColumn("is_read", F.col("is_read") | (F.coalesce("rule_name", F.lit("Other")) == label))
+
+
+def clear(alerts: DataFrame, label: str | None = None) -> DataFrame:
+    """Alerts without those of one rule, or none."""
+    return alerts.where(F.lit(False)) if label is None else alerts.where(F.coalesce("rule_name", F.lit("Other")) != label)
+
+
+def page_of(alerts: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
+    """One page of alerts, the newest first: an exact top-k."""
+    return alerts.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit)
 
 
 def throttled(alerts: DataFrame, seconds: int = 5) -> DataFrame:

@@ -200,10 +200,10 @@ def path_joins(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'dockerfile' WHEN 3 THEN 'bash' ELSE 'text' END AS language FROM documents""")
+    SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'dockerfile' WHEN 3 THEN 'env' WHEN 4 THEN 'zsh' WHEN 5 THEN 'hpp' WHEN 6 THEN 'javascript' WHEN 7 THEN 'gitignore' ELSE 'text' END AS language FROM documents""")
 def languages(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 5
-    name = F.when(k == 0, "main.PY").when(k == 1, "a.b.ts").when(k == 2, "Dockerfile").when(k == 3, ".env.local").otherwise("notes.unknown")
+    names = ["main.PY", "a.b.ts", "Dockerfile", ".env.local", "x.zsh", "y.HPP", "z.mjs", ".gitignore", "notes.cs"]
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 9 + 1).cast("int"))
     return t.documents.select("doc_id", paths.language_of(F.concat(F.lit("/src/"), name)).alias("language"))
 
 
@@ -214,11 +214,11 @@ def slash_commands(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE h AS (SELECT DISTINCT source, 1 AS i, CAST(0 AS BIGINT) AS h FROM documents
+    WITH RECURSIVE h AS (SELECT DISTINCT p_name AS source, 1 AS i, CAST(0 AS BIGINT) AS h FROM part
         UNION ALL SELECT source, i + 1, ((h * 31 + ascii(SUBSTR(source, i, 1)) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 FROM h WHERE i <= LENGTH(source))
     SELECT source, h AS hash FROM h WHERE i = LENGTH(source) + 1""")
 def string_hashes(t: Tables) -> DataFrame:
-    return t.documents.select("source").distinct().select("source", X.string_hash(F.col("source")).alias("hash"))
+    return t.part.select(F.col("p_name").alias("source")).distinct().select("source", X.string_hash(F.col("source")).alias("hash"))
 
 
 @query(f"""
@@ -235,8 +235,7 @@ def session_titles(t: Tables) -> DataFrame:
 @query("SELECT event_id AS id, value > 50 OR event_id % 10 = 0 AS is_read FROM events")
 def mark_read(t: Tables) -> DataFrame:
     rows = t.stream().select(F.col("pos").alias("id"), (F.col("value") > 50).alias("is_read"))
-    chosen = rows.where("id % 10 = 0").select("id", F.lit(True).alias("_chosen"))
-    return rows.join(chosen, "id", "left").select("id", (F.col("is_read") | F.coalesce("_chosen", F.lit(False))).alias("is_read"))
+    return rules.mark_read(rows, rows.where("id % 10 = 0")).select("id", "is_read")
 
 
 @query("""
