@@ -176,3 +176,33 @@ def test_subagent_files(spark, tmp_path):
     write(tmp_path, "p", "agent-b", [entry(1, sessionId="s2")])
     got = {(r.project, r.session, r.agent_id) for r in jsonl.subagent_files(spark, str(tmp_path)).collect()}
     assert got == {("p", "s1", "a"), ("p", "s2", "b")}
+
+
+def test_safe_patterns():
+    safe = ["hello", "error", "[a-z]+", r"foo\.bar", r"\d+\.\d+", "^test$", "a" * 100, "a+", "a*b+", r"\d{1,3}", "(abc)", "[a-z]", "((a)(b))", r"\(abc\)", r"\[test\]", "[(]", r"[\]]", "/.env"]
+    unsafe = ["", "a" * 101, "(a+)+", "(a*)+", "(a+)*", "(a|a)+", r"(.)\1+", "(abc", "[abc", "*invalid", "a{2,1}", "(a|a)+$", "(x{1,}){2}+", r"(\w)\1+", "a{2}+", "a)(", "([)]", "[aaaaaaaaaaaaaaaaaaaa]+"]
+    assert [p for p in safe if not rules.is_safe_pattern(p)] == []
+    assert [p for p in unsafe if rules.is_safe_pattern(p)] == []
+
+
+def test_rules_without_any_match(spark):
+    rows = spark.createDataFrame([("p", 1, 0, "Bash", "x")], "project string, message long, pos int, tool string, input string")
+    none = rules.rule_table(spark, [])
+    some = rules.rule_table(spark, [rules.Rule("a", "a", "tool_use", pattern="y"), rules.Rule("b", "b", "tool_use", repositories=["r"])])
+    assert rules.match_uses(rows, none).count() == rules.match_uses(rows, some).count() == 0
+    assert rules.match_uses(rows, none).columns == rules.match_uses(rows, some).columns
+
+
+def test_tool_lines(spark):
+    from tracewell.functions import text as X
+
+    cases = {
+        ("Edit", "{}"): "Edit", ("Write", '{"file_path":"/a/b.txt","content":"1\\n2"}'): "b.txt - 2 lines", ("Read", '{"file_path":"c.py"}'): "c.py", ("Bash", '{"command":"' + "x" * 60 + '"}'): "x" * 50 + "...",
+        ("Grep", '{"pattern":"p","glob":"*.py","path":"/z"}'): '"p" in *.py', ("Glob", '{"pattern":"q","path":"/z/y"}'): '"q" in y', ("Task", '{"subagentType":"Explore","prompt":"go"}'): "Explore - go",
+        ("LSP", '{"operation":"hover","filePath":"/k/l.rs"}'): "hover - l.rs", ("WebFetch", '{"url":"https://a.org/b?c=1"}'): "a.org/b", ("TeamCreate", '{"team_name":"t"}'): "t", ("TaskCreate", "{}"): "Create task",
+        ("TaskGet", '{"taskId":"4"}'): "Get task #4", ("SendMessage", '{"type":"shutdown_request","recipient":"al"}'): "Shutdown al", ("SendMessage", '{"type":"broadcast","summary":"s"}'): "Broadcast: s",
+        ("TeamDelete", "{}"): "Delete team", ("Other", '{"zzz":"first","y":"no"}'): "first", ("Other", '{"query":"q"}'): "q", ("Other", "{}"): "Other", ("TaskUpdate", "{}"): "Update task",
+    }
+    rows = spark.createDataFrame(list(cases), "name string, input string")
+    got = {(r.name, r.input): r.line for r in rows.withColumn("line", X.tool_line(rows.name, rows.input)).collect()}
+    assert got == cases
