@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +15,8 @@ from tracewell.llm import words as W
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FILTER_BITS = 20
+#: Pairs of equal seeds that are held at once.
+PAIRS = 1_000_000
 
 
 def tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -47,57 +48,85 @@ class Tests:
             self.maybe[n] = np.zeros(1 << _FILTER_BITS, bool)
             self.maybe[n][g >> W.U(64 - _FILTER_BITS)] = True
 
-    def matches(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(text, item): pairs of places where a seed of the item stands in the item and in the texts."""
-        out = defaultdict(list)
+    def matches(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], Runs]:
+        """(text, item): where runs of seeds of the item stand in the item and in the texts.
+
+        Pairs of places are made PAIRS at a time, in the order of the texts, and joined
+        to runs at once: a repeated token gives as many pairs as text and item have
+        places together, but one run for each diagonal only.
+        """
+        found: list[np.ndarray] = []
         for n, (seeds, item, place) in self.seeds.items():
             g, at = W.grams(h, doc, n)
             some = np.flatnonzero(self.maybe[n][g >> W.U(64 - _FILTER_BITS)])
             lo, hi = (np.searchsorted(seeds, g[some], side) for side in ("left", "right"))
-            for k in np.flatnonzero(lo < hi):
-                t = int(at[some[k]])
-                for j in range(lo[k], hi[k]):
-                    out[int(doc[t]), int(item[j])].append((int(place[j]), t))
-        return out
+            some, lo, size = some[lo < hi], lo[lo < hi], (hi - lo)[lo < hi]
+            to = np.cumsum(size)
+            first = 0
+            while first < len(some):
+                before = int(to[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(to, before + PAIRS, "right")))
+                part = slice(first, last)
+                j = np.arange(int(to[last - 1]) - before) + np.repeat(lo[part] - (to[part] - size[part] - before), size[part])
+                t = np.repeat(at[some[part]], size[part])
+                p = place[j].astype(np.int64)
+                found.append(joined(np.stack([doc[t], item[j], t - p, p, p + n])))
+                first = last
+        if not found:
+            return {}
+        runs = joined(np.concatenate(found, axis=1))
+        cut = np.flatnonzero((np.diff(runs[:2], axis=1) != 0).any(axis=0)) + 1
+        edges = [0, *cut.tolist(), runs.shape[1]] if runs.shape[1] else [0]
+        return {(int(runs[0, a]), int(runs[1, a])): Runs(runs[3, a:b], runs[3, a:b] + runs[2, a:b], runs[4, a:b] - runs[3, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)}
+
+
+@dataclass
+class Runs:
+    """Maximal matches: their starts in the item and in the texts, and their lengths."""
+
+    p: np.ndarray
+    t: np.ndarray
+    n: np.ndarray
+
+
+def joined(runs: np.ndarray) -> np.ndarray:
+    """Rows text, item, diagonal, start, end of matches: those of one diagonal that overlap or touch are joined."""
+    if not runs.shape[1]:
+        return runs
+    runs = runs[:, np.lexsort(runs[3::-1])]
+    new = (np.diff(runs[:3], axis=1) != 0).any(axis=0) | (runs[3, 1:] > runs[4, :-1])
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    return np.concatenate([runs[:4, starts], np.maximum.reduceat(runs[4], starts)[None]])
 
 
-def tile(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+def tile(a: np.ndarray, b: np.ndarray, runs: Runs, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of a by b: (start in a, start in b, length) of each tile.
 
-    seeds are the pairs of starts of equal windows of least tokens, as Karp-Rabin
-    fingerprints find them. Windows that follow each other on a diagonal form one
-    maximal match. The longest match with no marked token becomes a tile, ties by
-    place; one that a tile has cut into is split, and its parts wait for their turn.
+    runs are the maximal matches of a and b, joined from windows of least tokens with
+    equal Karp-Rabin fingerprints. The longest match with no marked token becomes a
+    tile, ties by place; one that a tile has cut into is split, and its parts wait for
+    their turn. Once fewer than least tokens of a are unmarked, no tile is left.
     """
-    runs: list[list[int]] = []
-    last: dict[int, list[int]] = {}
-    for p, t in sorted(seeds):
-        run = last.get(t - p)
-        if run and run[0] + run[2] - least + 1 >= p:
-            run[2] = p + least - run[0]
-        else:
-            last[t - p] = run = [p, t, least]
-            runs.append(run)
-    heap = [(-n, p, t) for p, t, n in runs if np.array_equal(a[p : p + n], b[t : t + n])]
+    heap = [(-n, p, t) for p, t, n in zip(runs.p.tolist(), runs.t.tolist(), runs.n.tolist(), strict=True)]
+    if not heap:
+        return []
     heapq.heapify(heap)
-    in_a, in_b, out = np.zeros(len(a), bool), {}, []
-    while heap:
+    first = int(runs.t.min())
+    in_a, in_b, out = np.zeros(len(a), bool), np.zeros(int((runs.t + runs.n).max()) - first, bool), []
+    left = len(a)
+    while heap and left >= least:
         n, p, t = heapq.heappop(heap)
-        n = -n
-        free = [not in_a[p + k] and t + k not in in_b for k in range(n)]
-        if all(free):
-            in_a[p : p + n] = True
-            in_b.update(dict.fromkeys(range(t, t + n)))
+        n, u = -n, t - first
+        marked = in_a[p : p + n] | in_b[u : u + n]
+        if marked.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]]).astype(np.int8))).tolist()
+            for x, y in zip(edges[::2], edges[1::2], strict=True):
+                if y - x >= least:
+                    heapq.heappush(heap, (x - y, p + x, t + x))
+        elif np.array_equal(a[p : p + n], b[t : t + n]):  # else fingerprints of different windows are equal
+            in_a[p : p + n] = in_b[u : u + n] = True
+            left -= n
             out.append((p, t, n))
-            continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= least:
-                    heapq.heappush(heap, (-(k - start), p + start, t + start))
-                start = None
     return out
 
 
@@ -139,9 +168,10 @@ def contamination(docs: DataFrame, tests: DataFrame, threshold: float = 0.8, lea
                 for block in W.blocks(batch.column(1)):
                     h, doc = tokens(block)
                     at = W.bounds(doc, len(block))
-                    for (d, i), seeds in sorted(own.matches(h, doc).items()):
+                    for (d, i), runs in own.matches(h, doc).items():
                         item, a = own.tokens[i], int(at[d])
-                        found = tile(item, h[a : at[d + 1]], [(p, t - a) for p, t in seeds], min(least, len(item)))
+                        runs.t = runs.t - a
+                        found = tile(item, h[a : at[d + 1]], runs, min(least, len(item)))
                         covered = sum(n for _, _, n in found) / len(item)
                         if covered >= threshold:
                             rows.append((batch.column(0)[block.first + d].as_py(), own.ids[i], covered, len(found), [{"item_start": p, "doc_start": t, "length": n} for p, t, n in sorted(found)]))
