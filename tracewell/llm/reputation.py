@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewell.llm.store import keep
+
 #: Rules of the query: host and path, and what they say.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Suffixes of more than one label under which names are registered.
+#: Suffixes of two labels under which names are registered: a default, to be replaced by the public suffix list's.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za", "com.cn", "com.mx")
 
 
@@ -19,15 +21,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The registered domain: the suffix and one label more; the host itself if it has no more."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -40,35 +42,34 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _level(nodes: DataFrame, key: str, parent: DataFrame | None, parent_key: str | None) -> DataFrame:
-    """(key, mean, strength, n, y): posterior of each node at one level.
+def _posteriors(nodes: DataFrame) -> DataFrame:
+    """nodes (.., n, y, m) with mean and strength of each node's posterior at one level.
 
-    nodes has (key, parent_key, n, y). The prior is a beta distribution round the
-    parent's posterior mean m, whose strength k comes from all nodes by moments:
-    under a beta-binomial, sum of n (y/n - m)^2 / (m (1 - m)) has the mean sum of
-    (1 + (n - 1) r) with r = 1 / (k + 1), r held to [0.001, 0.5].
+    The prior is a beta distribution round the parent's posterior mean m, whose
+    strength k comes from all nodes by moments: under a beta-binomial, sum of
+    n (y/n - m)^2 / (m (1 - m)) has the mean sum of (1 + (n - 1) r) with
+    r = 1 / (k + 1), r held to [0.001, 0.5]. The table is written, so that the level
+    below reads it, and the one number r comes from its sums.
     """
-    with_mean = nodes.crossJoin(parent) if parent_key is None else nodes.join(parent.select(parent_key, F.col("mean").alias("m")), parent_key)
+    nodes = keep(nodes, "nodes")
     n, y, m = F.col("n"), F.col("y"), F.col("m")
     seen = F.when(n > 0, n * F.pow(y / F.when(n > 0, n) - m, 2) / (m * (1 - m)))
-    r = with_mean.agg(F.sum(seen).alias("q"), F.count_if(n > 0).alias("g"), F.sum(F.greatest(n - 1, F.lit(0))).alias("d"))
-    r = r.select(F.round(F.coalesce(F.least(F.greatest((F.col("q") - F.col("g")) / F.when(F.col("d") > 0, F.col("d")), F.lit(0.001)), F.lit(0.5)), F.lit(0.5)), 6).alias("r"))
-    # One row: the estimate for the level.
-    prior = with_mean.crossJoin(F.broadcast(r)).withColumn("k", 1 / F.col("r") - 1)
-    strength = F.col("k") + n
-    kept = [c for c in nodes.columns if c not in ("n", "y")]
-    return prior.select(*kept, "n", "y", ((F.col("k") * m + y) / strength).alias("mean"), strength.alias("strength"))
-
-
-def reputations(hosts: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, mean, strength, lower): posterior of each host from hosts (host, n, y) of labelled pages and good ones, shrunk to its domain, suffix and the whole."""
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "y")
-    domains = hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("y").alias("y"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-    whole = F.broadcast(suffixes.agg(((F.coalesce(F.sum("y"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m")))
-    top = _level(suffixes, "suffix", whole, None)
-    middle = _level(domains, "domain", top, "suffix")
-    out = _level(hosts, "host", middle, "domain")
+    r = nodes.agg(F.sum(seen).alias("q"), F.count_if(n > 0).alias("g"), F.sum(F.greatest(n - 1, F.lit(0))).alias("d"))
+    r = r.select(F.round(F.coalesce(F.least(F.greatest((F.col("q") - F.col("g")) / F.when(F.col("d") > 0, F.col("d")), F.lit(0.001)), F.lit(0.5)), F.lit(0.5)), 6)).first()[0]
+    k = F.lit(1.0) / F.lit(float(r)) - 1
+    return nodes.withColumn("mean", (k * m + y) / (k + n)).withColumn("strength", k + n)
+
+
+def reputations(hosts: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(host, n, mean, strength, lower): posterior of each host from hosts (host, n, y) of labelled pages and good ones, shrunk to its domain, suffix and the whole."""
+    host = F.col("host")
+    hosts = keep(hosts.select("host", domain_of(host, suffixes).alias("domain"), suffix_of(host, suffixes).alias("suffix"), "n", "y"), "hosts")
+    domains = keep(hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("y").alias("y")), "domains")
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    whole = domains.agg((F.coalesce(F.sum("y"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).first()[0]
+    top = _posteriors(tops.withColumn("m", F.lit(float(whole))))
+    middle = _posteriors(domains.join(top.select("suffix", F.col("mean").alias("m")), "suffix"))
+    out = _posteriors(hosts.join(middle.select("domain", F.col("mean").alias("m")), "domain"))
     mean, strength = F.col("mean"), F.col("strength")
     return out.select("host", "n", "mean", "strength", (mean - z * F.sqrt(mean * (1 - mean) / (strength + 1))).alias("lower"))
 
@@ -81,19 +82,20 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return numbered.join(good, "doc_id").select("page_id", "good")
 
 
-def filter_urls(pages: DataFrame, known: DataFrame, threshold: float = 0.5, z: float = 1.645, rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, known: DataFrame, threshold: float = 0.5, z: float = 1.645, rules=RULES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_labelled, mean, lower) for each row of pages (page_id, url).
 
     known is (page_id, good 0/1). A fitting rule decides; else the page is allowed if
     the lower bound of its host's posterior is the threshold or more. Hosts without
     labelled pages have the posterior of their domain; null urls and those without
     "://" have an empty host, a host of its own. Rows that repeat are judged each,
-    and count once for each label; without labels the prior (0.5) decides.
+    and count once for each label; without labels the prior (0.5) decides. suffixes
+    are those of two labels under which names are registered; all others have one.
     """
     at = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = known.where("page_id is not null and good is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.min("good").alias("good"))
     hosts = at.join(labelled, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("y"))
-    found = reputations(hosts, z)
+    found = reputations(hosts, z, suffixes)
     out = at.join(found, "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.when(F.col("rule").isin(*[r for r, v in rules if v == "block"]), "block").otherwise("allow")
     own = F.when(F.col("lower") >= threshold, "allow").otherwise("block")
