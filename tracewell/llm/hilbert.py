@@ -10,13 +10,10 @@ from tracewell.llm.store import keep
 BITS = 6
 
 
-def _code(df: DataFrame, name: str) -> Column:
-    """An order-preserving number of a value: numbers by their logarithm, strings by their first seven bytes; null is null."""
-    c = F.col(name)
-    if isinstance(df.schema[name].dataType, T.NumericType):
-        x = c.cast("double")
-        return F.signum(x) * F.log1p(F.abs(F.when(~F.isnan(x), x)))
-    return F.conv(F.rpad(F.hex(F.encode(F.substr(c.cast("string"), F.lit(1), F.lit(7)), "UTF-8").substr(1, 7)), 14, "0"), 16, 10).cast("double")
+def _log(c: Column) -> Column:
+    """An order-preserving number of a number; null and NaN are null."""
+    x = c.cast("double")
+    return F.signum(x) * F.log1p(F.abs(F.when(~F.isnan(x), x)))
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -50,15 +47,52 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.transform(F.array(both), lambda x: F.aggregate(every, F.lit(0).cast("long"), lambda h, plane: F.aggregate(x, h, lambda k, v: k * 2 + bit(v, plane))))[0]
 
 
+def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """df with each row's number in the given order, from 0, as _n; and the count of rows.
+
+    Needs no single task: rows are dealt by range, sorted in their task and written; a
+    task's rows are then numbered from the sum of the counts before.
+    """
+    placed = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    task, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()  # a row for each task
+    total, starts = 0, []
+    for r in counts:
+        starts.append((r["task"], total))
+        total += r["n"]
+    base = placed.sparkSession.createDataFrame(starts, "_task long, _base long")
+    return placed.join(F.broadcast(base), task == F.col("_task")).withColumn("_n", F.col("_base") + nth).drop("_at", "_task", "_base"), total
+
+
+def _edges(values: DataFrame, steps: int) -> list[str]:
+    """The least value of each cell but the first, where cells hold equal numbers (v) of distinct values: fewer than steps of them."""
+    ranked, total = numbered(values.where("v is not null").distinct(), ["v"])
+    cell = lambda n: f"(({n}) * {steps}L div {max(total, 1)}L)"
+    return sorted(r["v"] for r in ranked.where(f"_n > 0 and {cell('_n')} > {cell('_n - 1')}").select("v").collect())
+
+
 def cells(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
-    """The cell of each row on each dimension: equal steps between the least and the largest code of the table; null lies in cell 0."""
-    codes = [_code(df, d) for d in dims]
+    """The cell of each row on each dimension; null lies in cell 0.
+
+    Numbers: equal steps of the logarithm between the least and the largest of the
+    table. Other values: equal numbers of distinct values, in the order of their
+    text, so up to 2^bits values have a cell each, whatever they begin with.
+    """
+    is_number = {d: isinstance(df.schema[d].dataType, T.NumericType) for d in dims}
+    logs = [_log(F.col(d)).alias(f"c{k}") for k, d in enumerate(dims) if is_number[d]]
     # One row with two numbers for each dimension.
-    ends = df.select(*[c.alias(f"c{k}") for k, c in enumerate(codes)]).agg(*[f(F.col(f"c{k}")).alias(f"{n}{k}") for k in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    out = []
-    for k, c in enumerate(codes):
-        lo, hi = ends[f"lo{k}"], ends[f"hi{k}"]
-        out.append(F.lit(0) if lo is None or hi <= lo else F.coalesce(F.least(F.floor((c - F.lit(lo)) / F.lit(hi - lo) * (1 << bits)).cast("int"), F.lit((1 << bits) - 1)), F.lit(0)))
+    ends = df.select(*logs).agg(*[f(F.col(f"c{k}")).alias(f"{n}{k}") for k, d in enumerate(dims) if is_number[d] for n, f in (("lo", F.min), ("hi", F.max))]).first() if logs else None
+    steps, out = 1 << bits, []
+    for k, d in enumerate(dims):
+        if is_number[d]:
+            lo, hi = ends[f"lo{k}"], ends[f"hi{k}"]
+            cell = F.lit(0) if lo is None or hi <= lo else F.least(F.floor((_log(F.col(d)) - F.lit(lo)) / F.lit(hi - lo) * steps).cast("int"), F.lit(steps - 1))
+        else:
+            value = F.col(d).cast("string")
+            cell = F.lit(0)
+            for at, edge in enumerate(_edges(df.select(value.alias("v")), steps), 1):
+                cell = F.when(value >= edge, at).otherwise(cell)
+        out.append(F.coalesce(cell, F.lit(0)))
     return out
 
 
@@ -71,26 +105,13 @@ def shard_by_hilbert(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source",
     size is the UTF-8 bytes of the text plus 16. Null texts count as empty, null
     metadata as the lowest cell, dimensions that the table lacks are left out; rows
     that repeat have a slot each. An empty table gives no rows.
-
-    Numbering needs no single task: rows are dealt by range, sorted in their task
-    and written; a task's rows are then numbered from the sum of the counts before.
     """
     there = [d for d in dims if d in docs.columns]
     index = hilbert_index(cells(docs, there, bits), bits) if there else F.lit(0).cast("long")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), index.alias("hilbert"))
-    order = ["hilbert", "text_crc32", "size", "doc_id"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = keep(placed, "hilbert")
-    task, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()  # a row for each task
-    total, starts = 0, []
-    for r in counts:
-        starts.append((r["task"], total))
-        total += r["n"]
-    base = placed.sparkSession.createDataFrame(starts, "task long, base long")
-    number = F.col("base") + nth
-    out = placed.join(F.broadcast(base), task == F.col("task")).withColumn("_n", number)
+    # Written first: the range partitioner samples its input, so that texts would be read twice.
+    out, total = numbered(keep(rows, "hilbert"), ["hilbert", "text_crc32", "size", "doc_id"])
     # Whole numbers throughout: shard k begins at number ceil(k * total / shards).
     shard = f"((_n * {shards}L) div {max(total, 1)}L)"
     begin = f"(({shard} * {max(total, 1)}L + {shards - 1}L) div {shards}L)"
