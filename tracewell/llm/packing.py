@@ -42,6 +42,17 @@ _BREAK = _MARK.copy()
 _BREAK[ord("'")] = False
 
 
+def _by_words(tokenizer: str) -> bool:
+    """Whether a tokenizer lower-cases and drops the white space between words."""
+    import json
+
+    spec = json.loads(tokenizer)
+    inner = lambda x, key: x.get(key, [x]) if x else []
+    lower = any(x["type"] == "Lowercase" for x in inner(spec.get("normalizer"), "normalizers"))
+    split = next(iter(inner(spec.get("pre_tokenizer"), "pretokenizers")), {})
+    return lower and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert"))
+
+
 class Ids:
     """Token ids of blocks of texts, with one tokenizer call for each new piece of a word.
 
@@ -49,7 +60,8 @@ class Ids:
     an ASCII mark, save after an apostrophe: the tokenizer's pattern never joins
     across these places, and it lower-cases (the tests compare with whole texts).
     Known pieces are found by hash, all of a block at once. The memory is emptied
-    when it holds a million pieces, so it is bounded.
+    when it holds a million pieces, so it is bounded. Tokenizers of another kind
+    (that keep white space or the case of letters) are given whole texts.
     """
 
     def __init__(self, tokenizer: str, most: int = 1_000_000):
@@ -58,7 +70,7 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_str(tokenizer)
+        self.own, self.by_words = Tokenizer.from_str(tokenizer), _by_words(tokenizer)
         self.most, self.bits = most, (4 * most).bit_length()
         self.clear()
 
@@ -102,6 +114,10 @@ class Ids:
 
     def __call__(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where those of each text begin."""
+        if not self.by_words:
+            raw, at = block.data.tobytes(), block.offsets.tolist()
+            lists = [x.ids for x in self.own.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
         starts, ends, _ = block.words()
         data = block.data
         if len(starts) and b"<|" not in data.tobytes():  # else a special token could stand there, which must not be cut
@@ -174,7 +190,7 @@ def nnls(combos: list[tuple[int, ...]], counts: np.ndarray, sweeps: int = 60) ->
     takes = [dict((c, combo.count(c)) for c in combo) for combo in combos]
     norm = [sum(weight[c] * n * n for c, n in t.items()) for t in takes]
     x, rest = [0.0] * len(combos), [float(v) for v in counts]
-    w = weight.tolist()
+    w, total = weight.tolist(), float(counts.sum())
     for _ in range(sweeps):
         moved = 0.0
         for j, t in enumerate(takes):
@@ -186,7 +202,7 @@ def nnls(combos: list[tuple[int, ...]], counts: np.ndarray, sweeps: int = 60) ->
                     rest[c] -= n * d
                 x[j] = new
                 moved = max(moved, abs(d))
-        if moved < 0.05:
+        if moved < max(0.05, 1e-7 * total):
             break
     return np.array(x)
 
