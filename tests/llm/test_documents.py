@@ -316,12 +316,60 @@ def test_decontamination(spark, docs, data):
     assert tiling.contamination(more.limit(0), tests).count() == 0
 
 
-def test_tiles_are_greedy():
+def plain_tiles(a, b, least):
+    """Greedy string tiling by its definition: of all unmarked matches the longest, ties by place, until none of least tokens is left."""
+    in_a, in_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for t in range(len(b)):
+                n = 0
+                while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n] and p + n not in in_a and t + n not in in_b:
+                    n += 1
+                best = min(best, (-n, p, t))
+        n, p, t = -best[0], best[1], best[2]
+        if n < least or n == 0:
+            return sorted(out)
+        in_a |= set(range(p, p + n))
+        in_b |= set(range(t, t + n))
+        out.append((p, t, n))
+
+
+@pytest.mark.parametrize("pairs", [3, 1_000_000])
+def test_tiles_equal_plain_greedy_tiling(monkeypatch, pairs):
     import numpy as np
 
-    a, b = (np.array([ord(c) for c in s], np.uint64) for s in ("abcdefgXhijkl", "hijklYabcdefgZabcde"))
-    seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()]
-    assert sorted(tiling.tile(a, b, seeds, 3)) == [(0, 6, 7), (8, 0, 5)]
+    monkeypatch.setattr(tiling, "PAIRS", pairs)
+    rng = random.Random(3)
+    some = lambda n, letters: np.array([rng.randrange(letters) for _ in range(n)], np.uint64)
+    for letters in (1, 2, 3, 6):
+        items = [some(rng.randint(1, 14), letters) for _ in range(6)]
+        texts = [some(rng.randint(0, 30), letters) for _ in range(12)] + [np.concatenate([items[0][5:], items[1], items[0][:5]])]
+        own = tiling.Tests(list(range(6)), items, 3)
+        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found = own.matches(np.concatenate(texts), doc)
+        for d, text in enumerate(texts):
+            for i, item in enumerate(items):
+                least, runs = min(3, len(item)), found.get((d, i))
+                got = []
+                if runs:
+                    runs.t = runs.t - at[d]
+                    got = tiling.tile(item, text, runs, least)
+                assert sorted(got) == plain_tiles(item, text, least)
+
+
+def test_repeated_tokens_make_one_run_a_diagonal():
+    import time
+
+    import numpy as np
+
+    own = tiling.Tests([1], [np.full(200, 7, np.uint64)], 5)
+    begin = time.perf_counter()
+    runs = own.matches(np.full(50_000, 7, np.uint64), np.zeros(50_000, np.int64))[0, 0]
+    assert len(runs.p) == 50_000 + 200 - 2 * 5 + 1
+    assert tiling.tile(own.tokens[0], np.full(50_000, 7, np.uint64), runs, 5) == [(0, 0, 200)]
+    assert time.perf_counter() - begin < 20
 
 
 def test_packing(docs, data, empty):
@@ -365,6 +413,31 @@ def test_token_ids_of_odd_texts():
     assert got == [own.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_token_ids_of_tokenizers_that_keep_case_and_space():
+    from tokenizers import Tokenizer
+
+    text = packing.vocabulary("byte_bpe_50k.json")
+    own, ids_of = Tokenizer.from_str(text), packing.Ids(text)
+    odd = ["The Cat  sat", "the cat\n\nSAT", "", "naïve É 日本", " x"]
+    got = []
+    for block in W.blocks(pa.array(odd), 20):
+        ids, at = ids_of(block)
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_least_squares_meet_the_conditions_of_the_least():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    combos, counts = packing.combinations(12), np.concatenate([[0], rng.integers(0, 900, 12)])
+    x = packing.nnls(combos, counts, sweeps=20_000)
+    weight = 1.0 + np.arange(13) / 13
+    takes = np.array([[combo.count(c) for c in range(13)] for combo in combos], float)
+    slope = takes @ (weight * (takes.T @ x - counts))
+    assert (x >= 0).all() and (slope > -2).all() and (np.abs(slope[x > 1]) < 2).all()
+
+
 def test_plan_takes_each_piece_once():
     rng = random.Random(5)
     for counts in ({}, {1: 7}, {256: 3}, {200: 10, 56: 4, 30: 100}, {rng.randint(1, 256): rng.randint(1, 5000) for _ in range(200)}):
@@ -409,6 +482,17 @@ def test_sharding(docs, data, empty):
     assert hilbert.shard_by_hilbert(docs.select("doc_id", "text")).count() == len(data)
 
 
+def test_cells_of_strings_with_a_common_beginning(spark):
+    rows = [(f"https://example.com/{k:03d}",) for k in range(40) for _ in range(1 + 50 * (k == 3))] + [(None,)]
+    df = spark.createDataFrame(rows, "source string")
+    got = {r.source: r.cell for r in df.select("source", hilbert.cells(df, ["source"])[0].alias("cell")).collect()}
+    assert got.pop(None) == 0
+    assert len(set(got.values())) == 40 and sorted(got, key=got.get) == sorted(got)
+    few = {r.cell for r in df.select(hilbert.cells(df, ["source"], 3)[0].alias("cell")).collect()}
+    assert few == set(range(8))
+    assert df.limit(0).select(hilbert.cells(df.limit(0), ["source"])[0]).count() == 0
+
+
 def test_write_shards(docs, data, spark, tmp_path):
     hilbert.write_shards(docs, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(data)
