@@ -12,6 +12,7 @@ each class and looks their places up in the plan.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_right
 
@@ -144,6 +145,12 @@ class Ids:
         return ids, np.concatenate([[0], to])[W.bounds(doc, len(block))]
 
 
+@functools.lru_cache(maxsize=1)
+def _ids(tokenizer: str) -> Ids:
+    """One memory of pieces for each Python worker: later tasks of the worker find what earlier ones learnt."""
+    return Ids(tokenizer)
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The pieces of each document, numbered inside their task and length class."""
     last = np.array([END], "<u4").tobytes()
@@ -152,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), {}
-        ids_of = Ids(tokenizer)
+        ids_of = _ids(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for block in W.blocks(batch.column(1)):
