@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import cotraining, hilbert, hyperminhash, line_runs, mincut, ngram_rules, packing, reputation, tiling, warc
+from tracewell.llm import cotraining, divergence, fingerprints, hilbert, hyperminhash, line_runs, mincut, ngram_rules, packing, reputation, spelling, tiling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_warc, op3_quality_rules, op4_url_filters, op5_line_dedup, op6_quality_classifier, op7_sharding, op8_hyperminhash, op9_html_extraction, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_warc,
+        op3_quality_rules,
+        op4_url_filters,
+        op5_line_dedup,
+        op6_quality_classifier,
+        op7_sharding,
+        op8_hyperminhash,
+        op9_html_extraction,
+        op10_packing,
+        op11_divergence_audit,
+        op12_spelling_variants,
+        op13_exact_dedup,
+    )
 }
 
 _SQL_WARC = """
@@ -128,5 +155,30 @@ _SQL_NEAR = r"""
     SELECT t.doc_id, COALESCE(n.n, 0) AS n_shingles, LEAST(t.doc_id, COALESCE(least, t.doc_id)) AS component_id, t.doc_id = LEAST(t.doc_id, COALESCE(least, t.doc_id)) AS kept
     FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = t.doc_id"""
 
-#: The others rest on hashes, trained weights or a tokenizer that SQL doesn't have; tests/llm compares them with plain versions.
-ORACLES: dict[str, str] = {"op2_warc": _SQL_WARC, "op4_url_filters": _SQL_URLS, "op5_line_dedup": _SQL_LINES, "op8_hyperminhash": _SQL_NEAR}
+_SQL_DIVERGENCE = r"""
+    WITH d AS (SELECT ROW_NUMBER() OVER () AS r, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+        regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, UNNEST(w) AS term FROM d),
+    k AS (SELECT lang, term, COUNT(*) AS n FROM t GROUP BY lang, term HAVING COUNT(DISTINCT r) >= 3),
+    c AS (SELECT t.lang, source, t.term, COUNT(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, source, t.term),
+    s AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, COUNT(*) AS v, SUM(n) AS total FROM k GROUP BY lang),
+    g AS (SELECT s.lang, s.source, ANY_VALUE(v) AS v, ANY_VALUE(v.total) AS whole, COALESCE(SUM(c.n), 0) AS total
+        FROM s JOIN v ON s.lang = v.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY s.lang, s.source),
+    a AS (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n, 1 + (1000000000 * (COALESCE(c.n, 0) + 1)::HUGEINT) // (g.total + v) AS p, 1 + (1000000000 * (k.n + 1)::HUGEINT) // (whole + v) AS q
+        FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    f AS (SELECT x.lang, x.source, y.source AS item, SUM(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+        FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+    r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, COALESCE(value, 0) AS value
+        FROM s x JOIN s y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+        UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM a WHERE n > 0 AND p > q),
+    o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 200"""
+
+_SQL_COPIES = r"""
+    WITH t AS (SELECT doc_id, regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
+    g AS (SELECT x, MIN(doc_id) AS keep_id, COUNT(*) AS group_size FROM t GROUP BY x)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)"""
+
+#: The others rest on hashes (CRC-32 too), trained weights or a tokenizer that SQL doesn't have; tests/llm compares them with plain versions.
+ORACLES: dict[str, str] = {"op2_warc": _SQL_WARC, "op4_url_filters": _SQL_URLS, "op5_line_dedup": _SQL_LINES, "op8_hyperminhash": _SQL_NEAR, "op11_divergence_audit": _SQL_DIVERGENCE, "op13_exact_dedup": _SQL_COPIES}
