@@ -37,6 +37,8 @@ MOST = 8192
 HELD = 300_000
 #: Pairs of a query and a slice that are run at once.
 LANES = 1 << 17
+#: Letters of the blocks that are indexed together (a larger block stands alone): they bound the bit sets and the lanes' states.
+CELLS = 300_000
 U = np.uint64
 
 
@@ -212,7 +214,7 @@ def _links(batches):
         out: list[tuple[str, int, int, str]] = []
         for length in np.unique(m):
             rows = np.flatnonzero(m == length)
-            for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(ends[rows + 1] - ends[rows]) * (int(length) + 1) // 4_000_000)) + 1):
+            for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(ends[rows + 1] - ends[rows]) * (int(length) + 1) // CELLS)) + 1):
                 out += _block_links([words[ends[r] : ends[r + 1]] for r in some], [counts[ends[r] : ends[r + 1]] for r in some], int(length), lo[some], hi[some])
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["word", "n_near", "form_n", "form"])
