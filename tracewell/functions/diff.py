@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+def _rows(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rows of best after row for the lines a; best[i, j] is the longest match of the first i old and j new lines. Each row is a running maximum."""
+    out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    out[0] = row
+    for i, x in enumerate(a):
+        out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], (out[i, :-1] + 1) * (b == x)))
+    return out
+
+
 def diff_lines(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """(kind, line) in order. Equal ends are set apart first; in between, where dropping from either side keeps the longest match, an addition stands last."""
+    """(kind, line) in order. Equal ends are set apart first; in between, where dropping from either side keeps the longest match, an addition stands last.
+
+    Of best only every k-th row is held, with k near the root of the old lines; the way
+    back computes the k rows below each of them once more. So 20,000 against 20,000
+    lines take some 25 MB instead of 1.6 GB, and twice the time.
+    """
     head = 0
     while head < min(len(old), len(new)) and old[head] == new[head]:
         head += 1
     codes: dict[str, int] = {}
     a, b = (np.array([codes.setdefault(x, len(codes)) for x in side[head:]], np.int64) for side in (old, new))
-    # best[i, j]: longest match of the first i old and j new lines; each row is a running maximum.
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, x in enumerate(a):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], (best[i, :-1] + 1) * (b == x)))
+    k = math.isqrt(len(a)) + 1
+    held = [np.zeros(len(b) + 1, np.int32)]
+    for at in range(0, len(a) - k, k):
+        row = held[-1]
+        for x in a[at : at + k]:
+            after = np.zeros_like(row)
+            after[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (b == x)))
+            row = after
+        held.append(row)
     i, j, out = len(a), len(b), []
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("context", old[head + i]))
-        elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
-            j -= 1
-            out.append(("added", new[head + j]))
-        else:
-            i -= 1
-            out.append(("removed", old[head + i]))
+    for n in reversed(range(len(held))):
+        first = n * k
+        best = _rows(held[n][: j + 1], a[first:i], b[:j]) if i > first and j else None
+        while i > first and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("context", old[head + i]))
+            elif best[i - first, j - 1] >= best[i - first - 1, j]:
+                j -= 1
+                out.append(("added", new[head + j]))
+            else:
+                i -= 1
+                out.append(("removed", old[head + i]))
+    out += [("removed", x) for x in reversed(old[head : head + i])] + [("added", x) for x in reversed(new[head : head + j])]
     return [("context", x) for x in old[:head]] + out[::-1]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.functions import text as X
 from tracewell.operators.context import COORDINATION
+from tracewell.operators.links import in_interval
 
 
 def totals(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -73,8 +74,8 @@ def link_processes(chunks: DataFrame, processes: DataFrame, by: list[str]) -> Da
     """processes (.., process, task, start) with the chunk (.., chunk, tasks, start, end) that called their task; those without a task go to the chunk whose time holds their start, ends included."""
     called = chunks.select(*by, "chunk", F.explode("tasks").alias("task"))
     named = processes.join(called, [*by, "task"]).select(*by, "process", "chunk")
-    spans = chunks.select(*by, "chunk", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    timed = processes.where("task is null").join(spans, by).where(F.col("start").between(F.col("_s"), F.col("_e"))).select(*by, "process", "chunk")
+    points = processes.where("task is null").select(*by, "process", F.col("start").alias("ts"))
+    timed = in_interval(points, chunks.select(*by, "chunk", "start", "end").where("end is not null"), by, "both").select(*by, "process", "chunk")
     return named.unionByName(timed)
 
 

@@ -1,14 +1,14 @@
 """Joins between calls, results, subagents, turns and groups.
 
-Interval joins always carry an equality on the session as well, so they plan as
-hash or sort-merge joins with a filter.
+Interval joins meet in time buckets of a session, not in the session as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
-from tracewell.plans.store import keep
+from tracewell.store import keep
 
 
 def link_tools(calls: DataFrame, results: DataFrame, by: tuple[str, ...] = ("session",), last: bool = False) -> DataFrame:
@@ -58,17 +58,63 @@ def turns(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos")
 
 
 def responses(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
-    """Rows that answer a turn: later than its user row and before the next one, both ends open; needs is_response too."""
-    t = turns(rows, by, pos)
-    return t.join(rows.where("is_response"), list(by)).where((F.col("ts") > F.col("user_ts")) & (F.col("next_ts").isNull() | (F.col("ts") < F.col("next_ts")))).select(*t.columns, F.col(pos), F.col("ts"))
+    """Rows that answer a turn: later than its user row and before the next one, both ends open; needs is_response too.
+
+    Turns don't overlap, so the latest user row at or before a response decides: it is
+    its turn unless both have the same time. A running value over the session's rows
+    finds it; nothing is joined.
+    """
+    first = Window.partitionBy(*by).orderBy("ts", F.when(F.col("is_user"), 0).otherwise(1), pos)
+    number = F.sum(F.col("is_user").cast("int")).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    user = F.struct(F.col(pos).alias("pos"), F.col("ts").alias("ts"))
+    latest = F.last(F.when(F.col("is_user"), user), True).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.first(F.when(F.col("is_user"), F.col("ts")), True).over(first.rowsBetween(1, Window.unboundedFollowing))
+    seen = rows.where("ts is not null").withColumn("_turn", number.cast("int")).withColumn("_user", latest).withColumn("_next", following)
+    found = seen.where(F.col("is_response") & (F.col("_user.ts") < F.col("ts")))
+    return found.select(*by, F.col("_turn").alias("turn"), F.col("_user.pos").alias("user_pos"), F.col("_user.ts").alias("user_ts"), F.col("_next").alias("next_ts"), F.col(pos), F.col("ts"))
+
+
+def responses_in_order(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
+    """(.., user_pos, pos) of assistant rows after a user row and before the next one in the order of the rows, whatever their times; needs type."""
+    before = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    user = F.last(F.when(F.col("type") == "user", F.col(pos)), True).over(before)
+    return rows.select(*by, user.alias("user_pos"), F.col(pos), "type").where("type = 'assistant' and user_pos is not null").drop("type")
+
+
+def _ticks(df: DataFrame, name: str) -> Column:
+    """A time as a long that keeps the order: microseconds of a timestamp, the whole part of a number."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.floor(name).cast("long")
 
 
 def in_interval(points: DataFrame, spans: DataFrame, by: list[str], closed: str) -> DataFrame:
-    """points (.., ts) inside spans (.., start, end): closed is "both", "left" or "neither"; a null end is open."""
+    """points (.., ts) inside spans (.., start, end): closed is "both", "left" or "neither"; a null end is open.
+
+    Spans of about one length (within a factor of four) share a grid of buckets that are
+    longer than they, so each stands in two buckets at most, and a point looks into one
+    bucket for each length that occurs (at most 32, found by a small query). So the join
+    is on session, length and bucket: what meets lies close together in time, the work
+    follows the result, and a long session is spread over many tasks. An open span ends
+    with the last point of its session. Spans may overlap; rows without a time or start
+    are in no pair.
+    """
     ts, start, end = F.col("ts"), F.col("start"), F.col("end")
+    p = points.withColumn("_t", _ticks(points, "ts")).where("_t is not null")
+    s = spans.withColumn("_a", _ticks(spans, "start")).withColumn("_b", _ticks(spans, "end")).where("_a is not null")
+    last = p.join(s.where("_b is null").select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.max("_t").alias("_last"))
+    s = s.join(last, by, "left").withColumn("_b", F.coalesce("_b", "_last", "_a")).drop("_last").where("_b >= _a")
+    s = s.withColumn("_k", F.expr("cast(2 * ((length(bin(_b - _a)) + 1) div 2) as int)"))
+    grids = sorted(r[0] for r in s.select("_k").distinct().collect())
+    if not grids:
+        grids = [2]
+    grid = lambda k: F.struct(F.lit(k).alias("_k"), F.shiftright(F.col("_t"), k).alias("_bucket"))
+    p = p.select(*points.columns, F.explode(F.array(*map(grid, grids))).alias("_g")).select(*points.columns, "_g.*")
+    s = s.withColumn("_bucket", F.explode(F.expr("sequence(shiftright(_a, _k), shiftright(_b, _k))"))).drop("_a", "_b")
     low = ts > start if closed == "neither" else ts >= start
     high = ts <= end if closed == "both" else ts < end
-    return points.join(spans, by).where(low & (end.isNull() | high))
+    return p.join(s, [*by, "_k", "_bucket"]).where(low & (end.isNull() | high)).drop("_k", "_bucket")
 
 
 def nearest(points: DataFrame, groups: DataFrame, by: list[str], point_id: str, group_id: str) -> DataFrame:
@@ -120,3 +166,62 @@ def threads(rows: DataFrame, by: list[str], node: str = "node", parent: str = "p
         # A chain can't be longer than the table: what is still open then runs in a circle.
         jump = jump.where(F.col("depth") <= total)
     return jump.select(*by, F.col("node").alias(node), "root", "depth")
+
+
+def thread_tree(rows: DataFrame, by: list[str], node: str = "node", parent: str = "parent", order: str | None = None) -> DataFrame:
+    """(.., node, root, depth, first, last, on_cycle): each row's place in its thread, as an interval.
+
+    A tour enters a node, visits its children by order and leaves the node; first and
+    last number its two visits (backwards from 0, the end of the root's tour). So y is below
+    x, in any depth, exactly if x and y have the same root and y.first lies between
+    x.first and x.last. The tour is a linked list of two visits for each row; its places,
+    depths and roots come from pointer doubling, log2(2 n) joins for any shape of tree,
+    and no thread is gathered. A parent that isn't there makes a row a root; of rows that
+    repeat a node the last by order counts; rows on a cycle, and those below one, have no
+    root and are marked.
+    """
+    by_order = F.col(order) if order else F.col(node)
+    one = rows.where(F.col(node).isNotNull()).groupBy(*by, F.col(node).alias("node")).agg(F.max_by(F.struct(F.col(parent).alias("parent"), by_order.alias("at")), by_order).alias("r")).select(*by, "node", "r.*")
+    one = keep(one, "thread-rows")
+    there = one.select(*by, F.col("node").alias("parent"), F.lit(True).alias("_there"))
+    tree = one.join(there, [*by, "parent"], "left").select(*by, "node", "at", F.when(F.col("_there"), F.col("parent")).alias("parent"))
+    siblings = Window.partitionBy(*by, "parent").orderBy("at", "node")
+    tree = tree.withColumn("following", F.when(F.col("parent").isNotNull(), F.lead("node").over(siblings)))
+    child = tree.where("parent is not null").groupBy(*by, F.col("parent").alias("node")).agg(F.min_by("node", F.struct("at", "node")).alias("child"))
+    tree = tree.join(child, [*by, "node"], "left")
+    visit = lambda leaves, to, to_leaves, step: F.struct(F.lit(leaves).alias("leaves"), to.alias("to"), to_leaves.alias("to_leaves"), F.lit(step).cast("long").alias("net"))
+    enter = visit(False, F.coalesce("child", "node"), F.col("child").isNull(), 1)
+    leave = visit(True, F.coalesce("following", "parent"), F.col("following").isNull(), -1)
+    tour = tree.select(*by, "node", F.explode(F.array(enter, leave)).alias("v")).select(*by, "node", "v.*", F.lit(1).cast("long").alias("steps"), F.col("node").alias("end"))
+    tour = keep(tour, "tour")
+    rounds = max(1, tour.count()).bit_length() + 1
+    for _ in range(rounds):
+        if not tour.where("to is not null").take(1):
+            break
+        step = tour.select(*by, F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("_to"), F.col("to_leaves").alias("_leaves"), F.col("net").alias("_net"), F.col("steps").alias("_steps"), F.col("end").alias("_end"))
+        joined = tour.join(step, [*by, "to", "to_leaves"], "left")
+        add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        tour = keep(joined.select(*by, "node", "leaves", F.col("_to").alias("to"), F.col("_leaves").alias("to_leaves"), add("net"), add("steps"), F.coalesce("_end", "end").alias("end")), "tour")
+    place = lambda leaves: F.max(F.when(F.col("leaves") == F.lit(leaves), -F.col("steps")))
+    # After so many rounds every list has ended; what still points on runs in a circle.
+    ring = F.max(F.col("to").isNotNull())
+    depth = F.max(F.when(~F.col("leaves"), -F.col("net")))
+    out = tour.groupBy(*by, "node").agg(F.max("end").alias("root"), depth.alias("depth"), place(False).alias("first"), place(True).alias("last"), ring.alias("on_cycle"))
+    clear = lambda c: F.when(~F.col("on_cycle"), F.col(c)).alias(c)
+    return out.select(*by, F.col("node").alias(node), clear("root"), clear("depth"), clear("first"), clear("last"), "on_cycle")
+
+
+def thread_members(tree: DataFrame, chosen: DataFrame, by: list[str], node: str = "node") -> DataFrame:
+    """(.., of, node, relation, depth): for each chosen (.., node) its ancestors, itself and its descendants in a tree of thread_tree.
+
+    Both are interval joins over the places of the tour, so their work follows the result.
+    """
+    placed = tree.where("not on_cycle")
+    x = placed.join(chosen.select(*by, node).distinct(), [*by, node], "left_semi")
+    group = [*by, "root"]
+    point = lambda df, name: df.select(*group, F.col("first").alias("ts"), F.col(node).alias(name), F.col("depth").alias(f"{name}_depth"))
+    span = lambda df, name: df.select(*group, F.col("first").alias("start"), F.col("last").alias("end"), F.col(node).alias(name), F.col("depth").alias(f"{name}_depth"))
+    below = in_interval(point(placed, "y"), span(x, "x"), group, "neither").select(*by, F.col("x").alias("of"), F.col("y").alias(node), F.lit("descendant").alias("relation"), F.col("y_depth").alias("depth"))
+    above = in_interval(point(x, "x"), span(placed, "y"), group, "neither").select(*by, F.col("x").alias("of"), F.col("y").alias(node), F.lit("ancestor").alias("relation"), F.col("y_depth").alias("depth"))
+    own = x.select(*by, F.col(node).alias("of"), F.col(node), F.lit("self").alias("relation"), "depth")
+    return above.unionByName(own).unionByName(below)

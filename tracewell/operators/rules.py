@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 
 from tracewell.functions import formats
 from tracewell.functions import text as X
+from tracewell.operators.ordered import anchored
 
 # Shapes that make a pattern slow on some text, so that it isn't used.
 _RISKY = (
@@ -72,12 +73,24 @@ def is_safe_pattern(pattern: str) -> bool:
     return True
 
 
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether Spark's own regular expressions take the pattern: Python's compiler accepts some that would fail a stage later."""
+    try:
+        spark.sql("SELECT '' RLIKE :p", args={"p": f"(?i){pattern}"}).collect()
+    except Exception as e:  # noqa: BLE001  the class depends on where the session runs
+        if "INVALID_PARAMETER_VALUE" in str(e) or "PatternSyntax" in str(e) or "regex" in str(e).lower():
+            return False
+        raise
+    return True
+
+
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The enabled rules with usable patterns; a list that people write, so it is small."""
     rows = []
     for r in rules:
-        if r.enabled and (r.pattern is None or is_safe_pattern(r.pattern)):
-            ignore = "|".join(f"(?:{p})" for p in r.ignore if is_safe_pattern(p))
+        usable = lambda p: is_safe_pattern(p) and compiles(spark, p)
+        if r.enabled and (r.pattern is None or usable(r.pattern)):
+            ignore = "|".join(f"(?:{p})" for p in r.ignore if usable(p))
             rows.append({**asdict(r), "ignore": ignore or None})
     schema = (
         "id string, name string, mode string, tool string, pattern string, ignore string, require_error boolean, token_kind string, threshold long, projects array<string>, "
@@ -258,14 +271,58 @@ def page_of(alerts: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     return alerts.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit)
 
 
+@dataclass
+class Notifications:
+    """When alerts are shown; what isn't shown is stored all the same."""
+
+    enabled: bool = True
+    #: Alerts before this time (milliseconds of their own clock) aren't shown.
+    snoozed_until_ms: int | None = None
+    ignored_repositories: list[str] = dataclasses.field(default_factory=list)
+    ignored_patterns: list[str] = dataclasses.field(default_factory=list)
+    throttle_ms: int = 5000
+
+
+def silence(alerts: DataFrame, settings: Notifications) -> Column:
+    """Why the settings hold an alert (message, ts_ms, and repository where known) back, in the order in which they are asked; null if they don't."""
+    repository = F.col("repository") if "repository" in alerts.columns else F.lit(None).cast("string")
+    usable = [p for p in settings.ignored_patterns if compiles(alerts.sparkSession, p)]
+    ignored = F.lit(False)
+    for p in usable:
+        ignored = ignored | F.coalesce(_matches(F.col("message").cast("string"), p), F.lit(False))
+    snoozed = F.lit(False) if settings.snoozed_until_ms is None else F.col("ts_ms") < settings.snoozed_until_ms
+    return (
+        F.when(F.lit(not settings.enabled), "disabled")
+        .when(snoozed, "snoozed")
+        .when(repository.isin(settings.ignored_repositories) if settings.ignored_repositories else F.lit(False), "repository")
+        .when(ignored, "pattern")
+    )
+
+
+def _shown(alerts: DataFrame, width_ms: int) -> DataFrame:
+    """(project, message, ts_ms, id) of what is shown: in each key the first alert, and each one width_ms or more after the last that was."""
+    first = alerts.where("ts_ms is not null").groupBy("project", "message", F.col("ts_ms").cast("long").alias("ts_ms")).agg(F.min("id").alias("id"))
+    return anchored(first, ["project", "message"], "ts_ms", width_ms).where("anchor = ts_ms").select("project", "message", "ts_ms", "id")
+
+
 def throttled(alerts: DataFrame, seconds: int = 5) -> DataFrame:
     """is_shown: no alert of the same project and message was shown in the seconds before.
 
-    What was shown depends on what was shown before, so the times of one key are
-    folded in order; keys are independent.
+    What was shown depends on what was shown before, so the distinct times of a key are
+    run through in order (ordered.anchored), with one time as state; no key is gathered,
+    and the alerts of a very frequent message are thinned to one for each millisecond
+    before they move. An alert without a time isn't shown. Ids must be distinct.
+    """
+    shown = _shown(alerts, seconds * 1000).select("id", F.lit(True).alias("_shown"))
+    return alerts.join(shown, "id", "left").withColumn("is_shown", F.coalesce("_shown", F.lit(False))).drop("_shown").select(*alerts.columns, "is_shown")
+
+
+def suppressed(alerts: DataFrame, settings: Notifications) -> DataFrame:
+    """alerts (id, project, message, ts_ms, ..) with suppressed_by: disabled, snoozed, repository, pattern or throttled; null where it is shown.
+
+    Only alerts that nothing else holds back count for the throttle.
     """
-    times = F.array_sort(F.collect_list("ts_ms"))
-    step = lambda out, t: F.when((F.size(out) == 0) | (t - F.try_element_at(out, F.lit(-1)) >= seconds * 1000), F.concat(out, F.array(t))).otherwise(out)
-    shown = alerts.groupBy("project", "message").agg(F.aggregate(times, F.expr("cast(array() as array<bigint>)"), step).alias("_shown"))
-    first = F.row_number().over(Window.partitionBy("project", "message", "ts_ms").orderBy("id")) == 1
-    return alerts.join(shown, ["project", "message"]).withColumn("is_shown", F.array_contains("_shown", F.col("ts_ms")) & first).drop("_shown")
+    held = alerts.withColumn("_held", silence(alerts, settings))
+    shown = _shown(held.where("_held is null"), settings.throttle_ms).select("id", F.lit(True).alias("_shown"))
+    reason = F.coalesce("_held", F.when(F.col("_shown").isNull(), "throttled"))
+    return held.join(shown, "id", "left").withColumn("suppressed_by", reason).select(*alerts.columns, "suppressed_by")

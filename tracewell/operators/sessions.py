@@ -6,7 +6,9 @@ partitioned by the session, and each function says which other columns it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tracewell.operators.ordered import with_anchor
 
 
 def _order(*by: str, pos: str = "pos"):
@@ -119,18 +121,22 @@ def context_deltas(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str
 def parallel_groups(rows: DataFrame, by: tuple[str, ...] = ("session",), window_ms: int = 100) -> DataFrame:
     """(.., anchor_ms, members, n) of starts at most window_ms after the first of their group; needs ts_ms and id.
 
-    The anchor is carried through the sorted starts of a session by a fold, as a
-    group's end depends on its first member and not on neighbours.
+    A group's end depends on its first member and not on neighbours, so the anchors come
+    from a pass over the sorted distinct starts of a session (ordered.anchored). Only the
+    members of one group, which lie in one window, are gathered. Starts without a time
+    belong to no group.
     """
-    item = "struct<ts_ms:bigint,id:string>"
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.col("ts_ms").cast("long").alias("ts_ms"), F.col("id").cast("string").alias("id"))))
-    groups = f"array<struct<anchor_ms:bigint,members:array<{item}>>>"
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        fits = (F.size(out) > 0) & (x["ts_ms"] - F.get(out, F.size(out) - 1)["anchor_ms"] <= window_ms)
-        grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["anchor_ms"].alias("anchor_ms"), F.concat(last["members"], F.array(x)).alias("members"))))
-        return F.when(fits, grown).otherwise(F.concat(out, F.array(F.struct(x["ts_ms"].alias("anchor_ms"), F.array(x).alias("members")))))
-
-    folded = rows.groupBy(*by).agg(sorted_.alias("s")).select(*by, F.explode(F.aggregate("s", F.expr(f"cast(array() as {groups})"), step)).alias("g"))
-    return folded.select(*by, F.col("g.anchor_ms").alias("anchor_ms"), F.array_join(F.transform("g.members", lambda m: m["id"]), ",").alias("members"), F.size("g.members").alias("n"))
+    placed = with_anchor(rows.where("ts_ms is not null"), list(by), "ts_ms", window_ms + 1)
+    members = F.array_sort(F.collect_list(F.struct(F.col("ts_ms").cast("long").alias("ts_ms"), F.col("id").cast("string").alias("id"))))
+    groups = placed.groupBy(*by, F.col("anchor").alias("anchor_ms")).agg(members.alias("_m"))
+    return groups.select(*by, "anchor_ms", F.array_join(F.transform("_m", lambda m: m["id"]), ",").alias("members"), F.size("_m").alias("n"))
+
+
+def mark_parallel(rows: DataFrame, by: tuple[str, ...] = ("session",), window_ms: int = 100) -> DataFrame:
+    """rows with is_parallel: whether another start of the session lies in the same group; one without a time is alone."""
+    placed = with_anchor(rows, list(by), "ts_ms", window_ms + 1).alias("r")
+    sizes = placed.where("anchor is not null").groupBy(*by, "anchor").agg(F.count("*").alias("_n")).alias("s")
+    same = F.col("r.anchor") == F.col("s.anchor")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return placed.join(sizes, same, "left").select(*[F.col(f"r.{c}") for c in rows.columns], F.coalesce(F.col("_n") > 1, F.lit(False)).alias("is_parallel"))
