@@ -68,7 +68,8 @@ def responses(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "p
     number = F.sum(F.col("is_user").cast("int")).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
     user = F.struct(F.col(pos).alias("pos"), F.col("ts").alias("ts"))
     latest = F.last(F.when(F.col("is_user"), user), True).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    following = F.first(F.when(F.col("is_user"), F.col("ts")), True).over(first.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc("ts"), F.when(F.col("is_user"), 1).otherwise(0), F.desc(pos))
+    following = F.last(F.when(F.col("is_user"), F.col("ts")), True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     seen = rows.where("ts is not null").withColumn("_turn", number.cast("int")).withColumn("_user", latest).withColumn("_next", following)
     found = seen.where(F.col("is_response") & (F.col("_user.ts") < F.col("ts")))
     return found.select(*by, F.col("_turn").alias("turn"), F.col("_user.pos").alias("user_pos"), F.col("_user.ts").alias("user_ts"), F.col("_next").alias("next_ts"), F.col(pos), F.col("ts"))
@@ -129,8 +130,8 @@ def nearest(points: DataFrame, groups: DataFrame, by: list[str], point_id: str,
     g = groups.select(*by, F.col("start").cast("long").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("p"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(group_id).cast("long").alias("id")).alias("g"))
     p = points.select(*by, F.col("ts").cast("long").alias("t"), F.lit(1).alias("kind"), F.col(point_id).cast("long").alias("p"), F.lit(None).cast(cols).alias("g"))
     both = g.unionByName(p)
-    w = Window.partitionBy(*by).orderBy("t", "kind")
-    seen = both.withColumn("a", F.last("g", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("b", F.first("g", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    w, back = Window.partitionBy(*by).orderBy("t", "kind"), Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("kind"))
+    seen = both.withColumn("a", F.last("g", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("b", F.last("g", True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     t = F.col("t")
     gap = lambda x: F.when((t >= F.col(f"{x}.start")) & (t <= F.col(f"{x}.end")), F.lit(-1)).otherwise(F.least(F.abs(t - F.col(f"{x}.start")), F.abs(t - F.col(f"{x}.end"))))
     best = F.when(F.col("a").isNull() | (F.col("b").isNotNull() & (gap("b") < gap("a"))), F.col("b.id")).otherwise(F.col("a.id"))

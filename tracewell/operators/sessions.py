@@ -104,18 +104,31 @@ def ongoing(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos
 
 
 def gap_filled(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos", least_ms: int = 100) -> DataFrame:
-    """Steps with effective_end_ms: the first later step least_ms after or more, else the end of all; needs ts_ms."""
-    later = Window.partitionBy(*by).orderBy("ts_ms").rangeBetween(least_ms, Window.unboundedFollowing)
-    return rows.withColumn("effective_end_ms", F.coalesce(F.min("ts_ms").over(later), F.max("ts_ms").over(Window.partitionBy(*by))))
+    """Steps with effective_end_ms: the first later step least_ms after or more, else the end of all; needs ts_ms.
+
+    Where rows have is_subagent and duration_ms, a subagent longer than least_ms keeps its
+    own end. The next start comes from a running value over starts and, least_ms after
+    each of them, marks, in falling order; a frame up to the end of the session would be
+    gone through anew for each row.
+    """
+    starts = rows.select(*by, F.col("ts_ms").alias("_t"), F.lit(0).alias("_mark")).distinct()
+    marks = starts.select(*by, (F.col("_t") + least_ms).alias("_t"), F.lit(1).alias("_mark"))
+    falling = Window.partitionBy(*by).orderBy(F.desc("_t"), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = starts.unionByName(marks).withColumn("_next", F.last(F.when(F.col("_mark") == 0, F.col("_t")), True).over(falling))
+    following = both.where("_mark = 1").select(*by, (F.col("_t") - least_ms).alias("ts_ms"), "_next")
+    last = rows.groupBy(*by).agg(F.max("ts_ms").alias("_last"))
+    end = F.coalesce("_next", "_last")
+    if "is_subagent" in rows.columns:
+        end = F.when(F.col("is_subagent") & (F.col("duration_ms") > least_ms), F.col("ts_ms") + F.col("duration_ms")).otherwise(end)
+    return rows.join(following, [*by, "ts_ms"], "left").join(last, [*by], "left").withColumn("effective_end_ms", end).select(*rows.columns, "effective_end_ms")
 
 
 def context_deltas(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
     """For each compaction: the next total less the last one before it, and its phase; needs total (null: no reading) and compact."""
-    w = Window.partitionBy(*by).orderBy(pos)
-    before = F.last("total", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("total", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    w, back = Window.partitionBy(*by).orderBy(pos), Window.partitionBy(*by).orderBy(F.desc(pos))
+    latest = lambda order: F.last("total", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     phase = F.sum(F.col("compact").cast("int")).over(w) + 1
-    return rows.withColumn("phase", phase).withColumn("before", before).withColumn("after", after).where("compact").select(*by, pos, "phase", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+    return rows.withColumn("phase", phase).withColumn("before", latest(w)).withColumn("after", latest(back)).where("compact").select(*by, pos, "phase", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
 
 
 def parallel_groups(rows: DataFrame, by: tuple[str, ...] = ("session",), window_ms: int = 100) -> DataFrame:
