@@ -84,7 +84,7 @@ def test_the_eight_notes_of_a_project(spark, tmp_path):
     (root / ".claude" / "rules" / "deep" / "b.md").write_text("678")
     (root / ".claude" / "rules" / "c.txt").write_text("not a rule")
     (memory / "MEMORY.md").write_text("\n".join(["line"] * 300))
-    texts = notes.read_texts(spark, str(tmp_path), "*").select("path", "text")
+    texts = notes.read_texts(spark, str(tmp_path), "*").unionByName(notes.read_texts(spark, str(root / ".claude"), "*")).select("path", "text")
     projects = spark.createDataFrame([("p", str(root)), ("q", "/none")], "project string, root string")
     got = {(r.project, r.source): (r.exists, r.chars, r.tokens) for r in S.global_sources(projects, texts, str(base), "/etc/none.md").collect()}
     assert len(got) == 16

@@ -27,6 +27,38 @@ def test_tail_gives_whole_lines_once(spark, tmp_path):
     assert run() == [(0, "one"), (1, "other"), (4, "two"), (8, "partial")]
 
 
+def test_last_line_without_an_end(spark, tmp_path):
+    """A whole object without its line end comes once, also when the file grows behind it; half of one waits, and a cut file starts anew."""
+    folder, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+    file = folder / "a.jsonl"
+
+    def run():
+        lines = tail.read_tail(spark, str(folder))
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.offset, r.line) for r in spark.read.schema("offset long, line string").parquet(out).collect())
+
+    file.write_text('{"a": 1}\n{"b": "x}')
+    assert run() == [(0, '{"a": 1}')]
+    with file.open("a") as f:
+        f.write('"}')
+    assert run() == [(0, '{"a": 1}'), (9, '{"b": "x}"}')]
+    assert len(run()) == 2
+    with file.open("a") as f:
+        f.write('\n\n{"c"')
+    assert len(run()) == 2
+    with file.open("a") as f:
+        f.write(': 3}\r\n[1]')
+    third = [(0, '{"a": 1}'), (9, '{"b": "x}"}'), (22, '{"c": 3}\r')]
+    assert run() == third  # a list without an end isn't a whole object
+    file.write_text('{"new": 1}')
+    assert run() == sorted([*third, (0, '{"new": 1}')])
+
+
+def test_is_whole():
+    assert tail.is_whole(b' {"a": {"b": 1}} ') and not any(map(tail.is_whole, (b"", b"{", b'{"a": 1}{"b": 2}', b"[1]", b"1", b'"x"', b"{bad}")))
+
+
 def test_alerts_of_a_stream_are_those_of_the_whole(spark, tmp_path):
     folder, table = tmp_path / "p", str(tmp_path / "table")
     (folder / "proj").mkdir(parents=True)

@@ -17,7 +17,7 @@ MEMORY_LINES = 200
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """(path, folder, name, text) of each text file under a path."""
+    """(path, folder, name, text) of each text file under a path; Spark doesn't list folders below it whose names begin with a dot, so name those too."""
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     file = F.col("_metadata.file_path")
     return whole.select(file.alias("path"), F.regexp_extract(file, "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(file, "([^/]*)$", 1).alias("name"), F.col("value").alias("text"))

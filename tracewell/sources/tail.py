@@ -23,18 +23,36 @@ def _sizes(path: str, suffix: str) -> dict[str, int]:
     return {f.path: f.size for f in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file and f.path.endswith(suffix)}
 
 
-def _last_line_end(path: str, file: str, start: int, size: int) -> int:
-    """The place after the last line end in [start, size), else start; read from the back in small steps."""
+def is_whole(line: bytes) -> bool:
+    """Whether a last line without its end is taken: only a JSON object can be told to be all there."""
+    text = line.strip()
+    if not (text.startswith(b"{") and text.endswith(b"}")):
+        return False
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
+def _readable_end(path: str, file: str, start: int, size: int) -> int:
+    """How far lines can be read in [start, size): to its end if the last line has one or is whole without it, else to the last line end.
+
+    The file is read from the back in small steps. A rest that begins where reading
+    stopped before may be the end of a line that was taken without it: it is then only a
+    line end, which a later call passes.
+    """
     store, _ = _store(path)
     with store.open_input_file(file) as f:
-        end = size
+        end, rest = size, b""
         while end > start:
             begin = max(start, end - _STEP)
-            at = f.read_at(end - begin, begin).rfind(b"\n")
+            rest = f.read_at(end - begin, begin) + rest
+            at = rest.rfind(b"\n", 0, end - begin)
             if at >= 0:
-                return begin + at + 1
+                last = rest[at + 1 :]
+                return size if not last or is_whole(last) else begin + at + 1
             end = begin
-    return start
+    return size if is_whole(rest) else start
 
 
 @dataclass
@@ -45,7 +63,12 @@ class FileRange(InputPartition):
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are the bytes of each file that whole lines cover; each file that grew is a partition of its own."""
+    """Offsets are the bytes of each file that whole lines cover; each file that grew is a partition of its own.
+
+    A last line without its end is taken once it is a whole JSON object, and once only:
+    the offset then stands behind it, and what comes next (its line end) gives no line.
+    A file that is shorter than before is read from its start.
+    """
 
     def __init__(self, options):
         self.path, self.suffix = options["path"], options.get("suffix", ".jsonl")
@@ -60,7 +83,7 @@ class TailReader(DataSourceStreamReader):
             start = self.seen.get(file, 0)
             if size < start:  # cut or written anew
                 start = 0
-            now[file] = _last_line_end(self.path, file, start, size) if size > start else start
+            now[file] = _readable_end(self.path, file, start, size) if size > start else start
         self.seen = now
         return {"files": json.dumps(now, sort_keys=True)}
 
@@ -82,6 +105,8 @@ class TailReader(DataSourceStreamReader):
                     if line.strip():
                         yield partition.file, place, line.decode("utf-8", "replace")
                     place += len(line) + 1
+            if rest.strip():  # whole without a line end; what is written behind it begins where this range stops
+                yield partition.file, at - len(rest), rest.decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         self.seen = json.loads(end["files"])
