@@ -39,6 +39,8 @@ from tracewell.llm.store import is_empty, keep
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Documents of one band value that meet in one group at most, twice.
 BLOCK = 1024
+#: Shingles of a group's documents that are looked up at once in one document's set; they bound the memory of a comparison.
+COMPARED = 500_000
 EMPTY = 0xFFFF
 U = np.uint64
 #: _RANK[i, j]: which place register j has in the order in which an empty register i looks for a value.
@@ -215,7 +217,6 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
         flat = table.column("bands").combine_chunks().flatten()
         regs = np.asarray(flat).view(np.uint16).reshape(len(ids), REGISTERS)
         tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("halves")]
-        every, starts = np.concatenate(tokens), np.concatenate([[0], np.cumsum(n)])[:-1]
         lists = table.column("keys").combine_chunks()
         values, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
         less = values < own
@@ -234,11 +235,11 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
             some = some[estimate(regs[some], regs[i][None], n[some], n[i]) >= margin(np.minimum(n[some], n[i]), threshold)]
             if not len(some):
                 continue
-            there = np.minimum(np.searchsorted(tokens[i], every), len(tokens[i]) - 1) if len(some) > 8 else None
-            if there is None:
-                both = np.array([np.isin(tokens[j], tokens[i]).sum() for j in some])
-            else:
-                both = np.add.reduceat((tokens[i][there] == every).astype(np.int64), starts)[some]
+            both = np.zeros(len(some), np.int64)
+            for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(n[some]) // COMPARED)) + 1):
+                joined = np.concatenate([tokens[j] for j in some[part]])
+                there = np.minimum(np.searchsorted(tokens[i], joined), len(tokens[i]) - 1)
+                both[part] = np.add.reduceat((tokens[i][there] == joined).astype(np.int64), np.cumsum(n[some[part]]) - n[some[part]])
             linked = some[100 * both >= percent * (n[i] + n[some] - both)]
             out_u += [ids[i]] * len(linked)
             out_v += ids[linked].tolist()
