@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.operators import context_state as S, items as I
+from tracewell.functions import worktrees as W
+from tracewell.operators import context_state as S, exports, items as I
 from tracewell.plans.catalog import Tables, query
 
 BY = ["session"]
@@ -142,3 +143,88 @@ _TOKENS = "CAST(CEIL(LENGTH({}) / 4.0) AS BIGINT)"
 def subagent_items(t: Tables) -> DataFrame:
     agents = t.conversations.where("conv_id % 2 = 0").select(F.col("conv_id").alias("session"), F.concat(F.lit("a"), "conv_id").alias("id"), F.lit("t1").alias("parent_task"), F.timestamp_seconds(F.lit(90)).alias("ts")).distinct()
     return I.subagent_items(_messages(t), agents).select("session", "index", "kind", "id", "name", "tokens", "is_orphan", "phase", "before", "after", "reply_to")
+
+
+def _export(t: Tables, style: str) -> DataFrame:
+    m = _messages(t)
+    kind = F.when(F.col("is_compact"), "compact").when((F.col("type") == "user") & (F.col("content_kind") == "string"), "user").otherwise("ai")
+    chunks = m.select("session", F.col("line_no").alias("pos"), kind.alias("kind"), "text")
+    replies = m.where(kind == "ai").select("session", F.col("line_no").alias("pos"), "line_no", "content_kind", "text", "blocks")
+    calls = replies.where("get(blocks, 2).type = 'tool_use'").select("session", "pos", F.lit(0).alias("tool_no"), F.get("blocks", F.lit(2))["name"].alias("name"), F.get("blocks", F.lit(2))["input_json"].alias("input"))
+    came = replies.where("get(blocks, 0).type = 'tool_result'").select("session", (F.col("pos") - 1).alias("pos"), F.repeat(F.get("blocks", F.lit(0))["content_json"], 1000).alias("result"), F.get("blocks", F.lit(0))["is_error"].alias("is_error"))
+    tools = calls.join(came, ["session", "pos"], "left").withColumn("is_orphan", F.col("result").isNull())
+    sums = t.conversations.groupBy(F.col("conv_id").alias("session")).agg(F.count("*").alias("message_count"), F.sum(F.length("text")).alias("total_tokens"), F.max("turn").alias("input_tokens"))
+    sessions = sums.select(
+        "session", F.concat(F.lit("/p/"), "session").alias("project"), F.when(F.col("session") % 2 == 0, "dev").alias("branch"), F.timestamp_seconds(F.col("session") * 100_000).alias("created"), (F.col("session") * 7_001).alias("duration_ms"),
+        "total_tokens", "input_tokens", F.lit(0).alias("output_tokens"), (F.col("total_tokens") * 1000).alias("cache_read_tokens"), F.lit(1).alias("cache_creation_tokens"), "message_count",
+    )
+    return exports.numbered(exports.export_parts(sessions, chunks, replies, tools, BY, style), BY)
+
+
+def _export_sql(style: str) -> str:
+    plain = style == "plaintext"
+    nl, double, single = "chr(10)", "repeat('═', 60)", "repeat('─', 40)"
+    lines = lambda *xs: f"concat_ws({nl}, {', '.join(xs)})"
+    group = lambda c: f"format('{{:,}}', CAST({c} AS BIGINT))"
+    seconds = "(conv_id * 7001 // 1000)"
+    duration = f"CASE WHEN conv_id * 7001 < 1000 THEN (conv_id * 7001) || 'ms' WHEN {seconds} < 60 THEN {seconds} || 's' ELSE ({seconds} // 60) || 'm ' || ({seconds} % 60) || 's' END"
+    date = "strftime(make_timestamp(conv_id * 100000 * 1000000), '%Y-%m-%d %H:%M:%S') || ' UTC'"
+    sums = [("Duration", duration), ("Total Tokens", group("total")), ("Input Tokens", group("top")), ("Output Tokens", "'0'"), ("Cache Read", group("total * 1000")), ("Cache Created", "'1'"), ("Messages", group("n")), ("Cost", "'N/A'")]
+    if plain:
+        head = lines(double, "'SESSION EXPORT'", double, "'Session:  ' || conv_id", "'Project:  /p/' || conv_id", "CASE WHEN conv_id % 2 = 0 THEN 'Branch:   dev' END", f"'Date:     ' || {date}", "''", single, "'METRICS'", single, *[f"'{(k + ':').ljust(16)}' || {v}" for k, v in sums], "''", double, "'CONVERSATION'", double, "''")
+        chunk = lines(single, "CASE kind WHEN 'user' THEN 'USER: ' || said WHEN 'compact' THEN '[Context compacted]' END")
+        thought, text, first = "'THINKING: ' || t", "t", "'ASSISTANT: ' || t"
+        tool = lines("'  TOOL: ' || name", "'  Input: ' || given", "COALESCE(CASE WHEN bad THEN '  [ERROR] Result: ' ELSE '  Result: ' END || SUBSTR(result, 1, 500) || '...', '  [No result]')")
+    else:
+        row = lambda k, v: f"'| {k} | ' || {v} || ' |'"
+        head = lines("'# Session Export'", "''", "'| Property | Value |'", "'|----------|-------|'", "'| Session | `' || conv_id || '` |'", "'| Project | `/p/' || conv_id || '` |'", "CASE WHEN conv_id % 2 = 0 THEN '| Branch | `dev` |' END", row("Date", date), "''", "'## Metrics'", "''", "'| Metric | Value |'", "'|--------|-------|'", *[row(k, v) for k, v in sums], "''", "'## Conversation'", "''")
+        title = lambda who: f"'### {who} (Turn ' || no || ')'"
+        chunk = f"CASE kind WHEN 'user' THEN {lines(title('User'), chr(39) * 2, 'said', chr(39) * 2)} WHEN 'ai' THEN {lines(title('Assistant'), chr(39) * 2)} ELSE {lines(chr(39) + '---' + chr(39), chr(39) * 2, chr(39) + '*Context compacted*' + chr(39), chr(39) * 2)} END"
+        thought, text, first = f"'> *Thinking:*' || {nl} || '> ' || REPLACE(t, {nl}, {nl} || '> ') || {nl}", f"t || CASE WHEN last THEN {nl} ELSE '' END", f"t || CASE WHEN last THEN {nl} ELSE '' END"
+        tool = lines("'**Tool:** `' || name || '`'", "''", "'```json'", "readable", "'```'", "''", f"CASE WHEN bad THEN '**Error:**' ELSE '**Result:**' END || {nl} || {nl} || '```' || {nl} || SUBSTR(result, 1, 2000) || '...' || {nl} || '```'", "''")
+    tail = "UNION ALL SELECT conv_id, 1, turn, 3, 0, 0, '' FROM c" if plain else ""
+    send = "CASE WHEN turn % 3 = 0 THEN '{\"type\":\"' || CASE WHEN turn % 2 = 0 THEN 'broadcast' ELSE 'message' END || '\",\"recipient\":\"bob\",\"summary\":\"s' || turn || '\"}' ELSE '{}' END"
+    return f"""
+    WITH c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS no, CASE WHEN role = 'system' THEN 'compact' WHEN role = 'user' AND turn % 3 <> 2 THEN 'user' ELSE 'ai' END AS kind,
+        CASE WHEN role = 'user' AND turn % 6 = 4 THEN '<teammate-message teammate_id="bob" summary="hey">' || conv_id || '</teammate-message>' ELSE text END AS said, CASE turn % 3 WHEN 0 THEN 'SendMessage' WHEN 1 THEN 'Task' ELSE 'Read' END AS name, {send} AS given FROM conversations),
+    e AS (SELECT *, CASE WHEN given = '{{}}' THEN given ELSE REPLACE(REPLACE(REPLACE(REPLACE(given, '{{', '{{' || {nl} || '  '), '}}', {nl} || '}}'), ',', ',' || {nl} || '  '), ':', ': ') END AS readable FROM c),
+    b AS (SELECT conv_id, turn, 0 AS block, true AS thinking, CASE WHEN turn % 2 = 1 THEN SUBSTR(text, 1, 10) ELSE '' END AS t, false AS first, false AS last FROM e WHERE role = 'assistant'
+        UNION ALL SELECT conv_id, turn, 1000001, false, text, true, false FROM e WHERE role = 'assistant'
+        UNION ALL SELECT conv_id, turn, 1000002, false, 'Tool: ' || name || {nl} || 'Input: ' || readable, false, true FROM e WHERE role = 'assistant'
+        UNION ALL SELECT conv_id, turn, 1000000, false, '"r' || turn || '"', true, true FROM e WHERE role = 'user' AND turn % 3 = 2),
+    x AS (SELECT e.*, repeat('"r' || r.turn || '"', 1000) AS result, r.turn % 2 = 0 AS bad FROM e LEFT JOIN conversations r ON r.conv_id = e.conv_id AND r.turn = e.turn + 1 AND r.role = 'user' AND r.turn % 3 = 2 WHERE e.role = 'assistant'),
+    s AS (SELECT conv_id, COUNT(*) AS n, SUM(LENGTH(text)) AS total, MAX(turn) AS top FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, 0 AS section, 0 AS pos, 0 AS step, 0 AS line, 0 AS block, {head} AS text FROM s
+        UNION ALL SELECT conv_id, 1, turn, 0, 0, 0, {chunk} FROM c
+        UNION ALL SELECT conv_id, 1, turn, 1, turn, block, CASE WHEN thinking THEN {thought} WHEN first THEN {first} ELSE {text} END FROM b
+        UNION ALL SELECT conv_id, 1, turn, 2, 0, 0, {tool} FROM x {tail})
+    SELECT conv_id AS session, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY section, pos, step, line, block) - 1 AS INTEGER) AS part, text FROM p"""
+
+
+@query(_export_sql("plaintext"))
+def export_plain_parts(t: Tables) -> DataFrame:
+    """Sessions as plain text, part by part."""
+    return _export(t, "plaintext")
+
+
+@query(_export_sql("markdown"))
+def export_markdown_parts(t: Tables) -> DataFrame:
+    """Sessions as Markdown, part by part."""
+    return _export(t, "markdown")
+
+
+_PATHS = "CASE c_custkey % 9 WHEN 0 THEN '/home/u/.cursor/worktrees/' || c_mktsegment || '/w1' WHEN 1 THEN '/tmp/vibe-kanban/worktrees/' || c_custkey || '-x/' || c_mktsegment WHEN 2 THEN '/u/conductor/workspaces/' || c_mktsegment || '/n' || c_nationkey WHEN 3 THEN '/u/' || c_mktsegment || '/.auto-claude/worktrees/tasks/00' || c_nationkey WHEN 4 THEN '/u/' || c_mktsegment || '/.21st/worktrees/id/name [' || c_custkey || ']' WHEN 5 THEN '/u/.claude-worktrees/' || c_mktsegment || '/n' || c_nationkey WHEN 6 THEN '/u/.ccswitch/worktrees/' || c_mktsegment || '/n' || c_nationkey WHEN 7 THEN '/u/work/' || c_mktsegment ELSE '/' END"
+
+
+@query(rf"""
+    WITH p AS (SELECT c_custkey, {_PATHS} AS path, CASE WHEN c_custkey % 4 = 0 THEN 'b' || c_nationkey END AS branch, c_custkey % 3 = 0 AS is_main FROM customer),
+    l AS (SELECT *, NULLIF(regexp_extract(path, '([^/]+)/*$', 1), '') AS last FROM p)
+    SELECT c_custkey, COALESCE(NULLIF(regexp_extract(path, '/\.cursor/worktrees/([^/]+)', 1), ''), CASE WHEN path LIKE '%/vibe-kanban/worktrees/%' THEN last END, NULLIF(regexp_extract(path, '/conductor/workspaces/([^/]+)', 1), ''), NULLIF(regexp_extract(path, '/([^/]+)/\.(auto-claude|21st)/worktrees/', 1), ''),
+        NULLIF(regexp_extract(path, '/\.claude-worktrees/([^/]+)', 1), ''), NULLIF(regexp_extract(path, '/\.ccswitch/worktrees/([^/]+)', 1), ''), last) AS repository,
+        CASE WHEN path LIKE '%/vibe-kanban/%' THEN 'vibe-kanban' WHEN path LIKE '%/conductor/%' THEN 'conductor' WHEN path LIKE '%/.auto-claude/%' THEN 'auto-claude' WHEN path LIKE '%/.21st/%' THEN '21st' WHEN path LIKE '%/.claude-worktrees/%' THEN 'claude-desktop' WHEN path LIKE '%/.ccswitch/%' THEN 'ccswitch' ELSE 'git' END AS tool,
+        regexp_matches(path, '/worktrees/|/workspaces/|-worktrees/') AS is_worktree,
+        COALESCE(NULLIF(regexp_extract(path, '/vibe-kanban/worktrees/([^/]+)', 1), ''), NULLIF(regexp_extract(path, '/tasks/([^/]+)', 1), ''), NULLIF(regexp_extract(path, '\[([^\]]+)\]$', 1), ''), NULLIF(regexp_extract(path, '/(?:workspaces|\.claude-worktrees|\.ccswitch/worktrees)/[^/]+/([^/]+)', 1), ''), CASE WHEN is_main THEN COALESCE(branch, 'main') ELSE COALESCE(branch, last) END, 'unknown') AS label FROM l""")
+def worktrees(t: Tables) -> DataFrame:
+    """Repositories, tools and names of working copies, by their paths."""
+    path, branch = F.expr(_PATHS), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("b"), "c_nationkey"))
+    return t.customer.select("c_custkey", W.repository_name(path).alias("repository"), W.worktree_tool(path).alias("tool"), W.is_worktree_path(path).alias("is_worktree"), W.worktree_label(path, branch, F.col("c_custkey") % 3 == 0).alias("label"))
