@@ -126,31 +126,54 @@ def truncate_middle(c: Column, n: int) -> Column:
 
 
 def string_hash(c: Column) -> Column:
-    """The 32-bit hash h * 31 + code of a string's characters, kept in a signed 32-bit range."""
+    """The 32-bit hash h * 31 + unit over a string's UTF-16 units, kept in a signed 32-bit range; a character beyond the first 65,536 has two units."""
     wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), lambda h, x: wrap(h * 31 + F.ascii(x)))
+
+    def step(h: Column, x: Column) -> Column:
+        code = F.ascii(x)
+        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(0x3FF) + 0xDC00
+        return F.when(code < 0x10000, wrap(h * 31 + code)).otherwise(wrap(wrap(h * 31 + high) * 31 + low))
+
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), step)
+
+
+def hash_id(c: Column) -> Column:
+    """The hash without its sign, as lower-case hexadecimal digits: ids of what enters a context."""
+    return F.lower(F.hex(F.abs(string_hash(c))))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once: as a plain expression it would be repeated at each use, and Spark parses a JSON text anew for each field that is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: The fields of inputs that tool_summary() reads.
+_SUMMARY_INPUT = "file_path string, description string, command string, pattern string, subagent_type string, prompt string, skill string, url string, query string, name string, path string, file string"
 
 
 def tool_summary(name: Column, input_json: Column) -> Column:
-    """One line about a tool call, from its name and its input."""
-    get = lambda k: F.get_json_object(input_json, f"$.{k}")
+    """One line about a tool call, from its name and its input, which is parsed once."""
     has = lambda c: F.when(F.length(c) > 0, c)
     quoted = lambda c, n: F.concat(F.lit('"'), truncate(c, n), F.lit('"'))
     base = lambda c: F.regexp_extract(c, r"([^/\\]*)$", 1)
-    kind, desc = has(get("subagent_type")), F.coalesce(get("description"), get("prompt"))
-    site = F.concat(F.parse_url(get("url"), F.lit("HOST")), F.coalesce(has(F.parse_url(get("url"), F.lit("PATH"))), F.lit("/")))
-    rest = F.coalesce(*[get(k) for k in ("name", "path", "file", "query", "command")])
-    return F.coalesce(
-        F.when(name.isin("Edit", "Read", "Write"), base(has(get("file_path"))))
-        .when(name == "Bash", F.coalesce(truncate(has(get("description")), 50), truncate(has(get("command")), 50)))
-        .when(name.isin("Grep", "Glob"), quoted(has(get("pattern")), 30))
-        .when(name == "Task", F.coalesce(F.concat(F.coalesce(F.concat(kind, F.lit(" - ")), F.lit("")), truncate(has(desc), 40)), kind))
-        .when(name == "Skill", has(get("skill")))
-        .when(name == "WebFetch", F.coalesce(truncate(site, 50), truncate(has(get("url")), 50)))
-        .when(name == "WebSearch", quoted(has(get("query")), 40))
-        .otherwise(truncate(rest, 50)),
-        name,
-    )
+
+    def line(given: Column) -> Column:
+        get = lambda k: given[k]
+        kind, desc = has(get("subagent_type")), F.coalesce(get("description"), get("prompt"))
+        site = F.concat(F.parse_url(get("url"), F.lit("HOST")), F.coalesce(has(F.parse_url(get("url"), F.lit("PATH"))), F.lit("/")))
+        rest = F.coalesce(*[get(k) for k in ("name", "path", "file", "query", "command")])
+        return (
+            F.when(name.isin("Edit", "Read", "Write"), base(has(get("file_path"))))
+            .when(name == "Bash", F.coalesce(truncate(has(get("description")), 50), truncate(has(get("command")), 50)))
+            .when(name.isin("Grep", "Glob"), quoted(has(get("pattern")), 30))
+            .when(name == "Task", F.coalesce(F.concat(F.coalesce(F.concat(kind, F.lit(" - ")), F.lit("")), truncate(has(desc), 40)), kind))
+            .when(name == "Skill", has(get("skill")))
+            .when(name == "WebFetch", F.coalesce(truncate(site, 50), truncate(has(get("url")), 50)))
+            .when(name == "WebSearch", quoted(has(get("query")), 40))
+            .otherwise(truncate(rest, 50))
+        )
+
+    return F.coalesce(_bound(F.from_json(input_json, _SUMMARY_INPUT), line), name)
 
 
 #: The fields of inputs that tool_line() reads.
@@ -162,8 +185,22 @@ _INPUT = (
 
 
 def tool_line(name: Column, input_json: Column) -> Column:
-    """The longer line about a tool call: names of files with counts of lines, ranges, places, recipients. The input is parsed once."""
-    parsed = F.from_json(input_json, _INPUT)
+    """The longer line about a tool call: names of files with counts of lines, ranges, places, recipients. The input is parsed once (see _bound); tools that aren't known look at its first value too."""
+    first = F.element_at(F.map_values(F.from_json(input_json, "map<string,string>")), 1)
+    other = F.when(F.size(F.json_object_keys(input_json)) > 0, first)
+    known = _bound(F.from_json(input_json, _INPUT), lambda parsed: _line(name, parsed))
+    plain = F.when(~name.isin(*_LINE_TOOLS), truncate(other, 40))
+    return F.coalesce(known, plain, name)
+
+
+# The tools that have a line of their own.
+_LINE_TOOLS = (
+    "Edit", "Read", "Write", "Bash", "Grep", "Glob", "Task", "LSP", "WebFetch", "WebSearch", "TodoWrite", "NotebookEdit", "TeamCreate", "TaskCreate", "TaskUpdate", "TaskList", "TaskGet", "SendMessage", "TeamDelete",
+)
+
+
+def _line(name: Column, parsed: Column) -> Column:
+    """The line of a known tool, or the field that says most of another one's input; null if there is none. The wordings are fixed values."""
     get = lambda k: parsed[k]
     some = lambda c: F.when(F.length(c) > 0, c)
     base = lambda k: F.regexp_extract(some(get(k)), r"([^/\\]*)$", 1)
@@ -202,9 +239,8 @@ def tool_line(name: Column, input_json: Column) -> Column:
         "TaskUpdate": F.coalesce(some(update), F.lit("Update task")), "TaskList": F.lit("List tasks"),
         "TaskGet": F.coalesce(join("Get task #", some(get("taskId"))), F.lit("Get task")), "SendMessage": sent, "TeamDelete": F.lit("Delete team"),
     }
-    first = F.element_at(F.map_values(F.from_json(input_json, "map<string,string>")), 1)
-    other = F.coalesce(truncate(F.coalesce(*[get(k) for k in ("name", "path", "file", "query", "command")]), 50), truncate(F.when(F.size(F.json_object_keys(input_json)) > 0, first), 40))
+    other = truncate(F.coalesce(*[get(k) for k in ("name", "path", "file", "query", "command")]), 50)
     out = F.when(F.lit(False), name)
     for tool, line in by_name.items():
         out = out.when(name == tool, line)
-    return F.coalesce(out.otherwise(other), name)
+    return out.otherwise(other)

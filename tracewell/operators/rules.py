@@ -109,27 +109,35 @@ def _ignored(value: Column, rule: Row) -> Column:
     return F.coalesce(_matches(value, rule.rule_ignore), F.lit(False))
 
 
-def _each_match(rows: DataFrame, rules: DataFrame, mode: str, test: Callable[[Row], Column]) -> DataFrame:
-    """rows once for each rule of a mode that is meant for them and whose test they pass, with the rule's columns.
+def _each_match(rows: DataFrame, rules: DataFrame, mode: str, test: Callable[[Row], Column]) -> tuple[DataFrame, list[Row]]:
+    """rows once for each rule of a mode that is meant for them and whose test they pass, with _rule, the rule's place in the list that comes with them.
 
     The rules, which people write, are read to the driver and become literal
-    conditions of one projection; no row is joined with them.
+    conditions of one projection; no row is joined with them. A row that passes none is
+    filtered before anything is exploded, and a row carries the places of its rules only.
     """
     own = rules.where(F.col("rule_mode") == mode).collect()
-    schema = rules.schema
     repository = F.col("repository") if "repository" in rows.columns else F.lit(None).cast("string")
     found = []
-    for r in own:
+    for k, r in enumerate(own):
         fits = test(r)
         if r.rule_projects:
             fits = fits & F.col("project").isin(r.rule_projects)
         if r.rule_repositories:
             fits = fits & repository.isin(r.rule_repositories)
-        says = F.struct(*[_literal(r[f.name], f.dataType.simpleString()).alias(f.name) for f in schema.fields])
-        found.append(F.when(fits, says))
+        found.append(F.when(fits, k))
     if not found:
-        return rows.crossJoin(rules.limit(0))
-    return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("_rule")).select(*rows.columns, "_rule.*")
+        return rows.where(F.lit(False)).withColumn("_rule", F.lit(0)), own
+    marked = rows.withColumn("_fits", F.array_compact(F.array(*found)))
+    return marked.where(F.size("_fits") > 0).select(*rows.columns, F.explode("_fits").alias("_rule")), own
+
+
+def _with_rule(found: DataFrame, own: list[Row], rules: DataFrame, columns: list[str]) -> DataFrame:
+    """found (.., _rule) with the columns of their rules."""
+    if not own:
+        return found.select(*columns).join(rules.limit(0), F.lit(False))
+    says = [F.struct(*[_literal(r[f.name], f.dataType.simpleString()).alias(f.name) for f in rules.schema.fields]) for r in own]
+    return found.select(*columns, F.get(F.array(*says), F.col("_rule")).alias("_says")).select(*columns, "_says.*")
 
 
 def _literal(value, kind: str) -> Column:
@@ -149,7 +157,7 @@ def match_results(results: DataFrame, rules: DataFrame) -> DataFrame:
             return F.col("is_error") & ~_ignored(value, r)
         return F.lit(r.rule_tool is not None) & _is_tool(r) & _matches(value, r.rule_pattern) & ~_ignored(value, r)
 
-    return _first(_each_match(results, rules, "tool_result", test))
+    return _first(results, rules, "tool_result", test)
 
 
 def match_uses(calls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -160,7 +168,7 @@ def match_uses(calls: DataFrame, rules: DataFrame) -> DataFrame:
         fits = F.lit(True) if r.rule_pattern is None else _matches(value, r.rule_pattern)
         return _is_tool(r) & (F.length(value) > 0) & fits & ~_ignored(value, r)
 
-    return _first(_each_match(calls, rules, "tool_use", test))
+    return _first(calls, rules, "tool_use", test)
 
 
 def token_message(tool: Column, input_json: Column, tokens: Column, kind: str) -> Column:
@@ -182,7 +190,8 @@ def match_tokens(calls: DataFrame, rules: DataFrame) -> DataFrame:
             fits = fits & ~_ignored(token_message(F.col("tool"), F.col("input"), size(r.rule_token_kind), r.rule_token_kind), r)
         return fits
 
-    each = _each_match(calls, rules, "token_threshold", test)
+    found, own = _each_match(calls, rules, "token_threshold", test)
+    each = _with_rule(found, own, rules, calls.columns)
     kind = F.col("rule_token_kind")
     return each.withColumn("tokens", F.when(kind == "input", F.col("input_tokens")).when(kind == "output", F.col("output_tokens")).otherwise(F.col("input_tokens") + F.col("output_tokens")))
 
@@ -220,10 +229,12 @@ def trial(found: DataFrame, order: Column, rows: int = 50, most: int = 10_000) -
     return out.withColumn("total", F.least(F.col("_n"), F.lit(most))).withColumn("truncated", F.col("_n") > most).drop("_n")
 
 
-def _first(found: DataFrame) -> DataFrame:
-    rest = [c for c in found.columns if c not in ("project", "message", "rule_id")]
-    one = found.groupBy("project", "message", "rule_id").agg(F.min_by(F.struct(*rest), "pos").alias("r"))
-    return one.select("project", "message", "rule_id", "r.*")
+def _first(rows: DataFrame, rules: DataFrame, mode: str, test: Callable[[Row], Column]) -> DataFrame:
+    """The first match of each message and rule, with the rule's columns."""
+    found, own = _each_match(rows, rules, mode, test)
+    rest = [c for c in rows.columns if c not in ("project", "message")]
+    one = found.groupBy("project", "message", "_rule").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("project", "message", "_rule", "r.*")
+    return _with_rule(one, own, rules, ["project", "message", *rest])
 
 
 def upsert_alerts(alerts: DataFrame, key: str = "tool_use_id") -> DataFrame:

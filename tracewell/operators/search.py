@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.functions import text as X
@@ -16,22 +17,48 @@ def searchable(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "
     return users.unionByName(ai.select(*by, F.col("pos").alias(pos), F.lit("ai").alias("kind"), "text")).where("text <> ''")
 
 
-def hits(entries: DataFrame, query: str, text: str = "text") -> DataFrame:
+def _occurrences(query: str, around: int = 50):
+    """A function from texts to lists of (offset, matched, context): one pass over each text, in time that follows its length and its matches."""
+
+    @F.pandas_udf("array<struct<offset:int,matched:string,context:string>>")
+    def find(texts: pd.Series) -> pd.Series:
+        n = len(query)
+
+        def one(text: str) -> list[tuple]:
+            out, low, at = [], text.lower(), 0
+            while (at := low.find(query, at)) >= 0:
+                begin, end = max(at - around, 0), min(at + n + around, len(text))
+                out.append((at, text[at : at + n], ("..." if begin else "") + text[begin:end] + ("..." if end < len(text) else "")))
+                at += n
+            return out
+
+        return texts.map(one)
+
+    return find
+
+
+def hits(entries: DataFrame, query: str, text: str = "text", trim: bool = True) -> DataFrame:
     """Each non-overlapping occurrence of query in a text, case ignored: match_no from 0, offset, and 50 characters round it.
 
-    Texts without the query are filtered before anything is exploded. Offsets come
-    from the lengths of the parts between occurrences.
+    Texts without the query are filtered before. The places are found in one pass over a
+    text (Arrow; as column expressions the sum of lengths before each match would be
+    quadratic), and the text isn't carried to its matches unless it is asked for. Inside
+    a session (trim=False) white space round the query counts; a blank query finds nothing.
     """
-    q = query.strip().lower()
-    n = len(q)
+    q = (query.strip() if trim else query).lower()
+    if not q.strip():
+        q, entries = " ", entries.limit(0)
     found = entries.where(F.lower(text).contains(q))
-    parts = F.split(F.lower(text), r"\Q" + q.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
-    starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.expr("cast(array() as array<int>)"), lambda out, p: F.concat(out, F.array((F.coalesce(F.try_element_at(out, F.lit(-1)) + n, F.lit(0)) + F.length(p)).cast("int"))))
-    each = found.select("*", F.posexplode(starts).alias("match_no", "offset"))
-    begin, size = F.greatest(F.col("offset") - 50, F.lit(0)), F.length(text)
-    end = F.least(F.col("offset") + n + 50, size)
-    context = F.concat(F.when(begin > 0, "...").otherwise(""), F.substr(F.col(text), begin + 1, end - begin), F.when(end < size, "...").otherwise(""))
-    return each.withColumn("matched", F.substr(F.col(text), F.col("offset") + 1, F.lit(n))).withColumn("context", context)
+    places = found.withColumn("_places", _occurrences(q)(F.col(text)))
+    return places.select(*entries.columns, F.posexplode("_places").alias("match_no", "_m")).select(*entries.columns, "match_no", "_m.*")
+
+
+def capped(found: DataFrame, order: list, by: tuple[str, ...] = ("session",), most: int = 500) -> DataFrame:
+    """The first matches of each session in the order of its items, most at most, with their index, and is_capped where there were more."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    ranked = found.withColumn("index", F.row_number().over(w) - 1).where(F.col("index") <= most)
+    more = ranked.where(F.col("index") == most).select(*by, F.lit(True).alias("_more"))
+    return ranked.where(F.col("index") < most).join(more, list(by), "left").withColumn("is_capped", F.coalesce("_more", F.lit(False))).drop("_more")
 
 
 def top_hits(found: DataFrame, order: list, limit: int = 50) -> DataFrame:
@@ -47,3 +74,14 @@ def preceding(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "p
     """For each ai row the position of the nearest user row before it in the same run of rows."""
     w = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("user_pos", F.last(F.when(F.col("category") == "user", F.col(pos)), True).over(w)).where("category = 'ai'")
+
+
+def preceding_command(items: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
+    """(.., pos, user_pos, name, args) for each ai item whose nearest user item before it, with no other ai item between, is a command; items has item and text."""
+    w = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    user = F.last(F.when(F.col("item") == "user", F.struct(F.col(pos).alias("pos"), F.col("text").alias("text"))), True).over(w)
+    other = F.last(F.when(F.col("item") == "ai", F.col(pos)), True).over(w)
+    seen = items.withColumn("_user", user).withColumn("_ai", other).where("item = 'ai'")
+    near = seen.where(F.col("_ai").isNull() | (F.col("_user.pos") > F.col("_ai")))
+    said = F.col("_user.text")
+    return near.where(X.is_command(said)).select(*by, pos, F.col("_user.pos").alias("user_pos"), X.slash_name(said).alias("name"), X.slash_args(said).alias("args")).where("name is not null")
