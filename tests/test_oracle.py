@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracewell.plans import catalog, contexts, meta, more, passes  # noqa: F401
+from tracewell.plans import catalog, contexts, lines, meta, more, passes  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

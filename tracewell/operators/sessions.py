@@ -47,6 +47,13 @@ def mark_runs(rows: DataFrame, category: str = "category", by: tuple[str, ...] =
     return kept.withColumn("_starts", starts).withColumn("run", F.sum("_starts").over(_order(*by, pos=pos))).drop("_starts")
 
 
+def kind_runs(rows: DataFrame, kind: str, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
+    """rows with run: one more wherever the kind differs from the row before."""
+    w = _order(*by, pos=pos)
+    starts = F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    return rows.withColumn("_starts", starts).withColumn("run", F.sum("_starts").over(w)).drop("_starts")
+
+
 def chunks(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
     """A row for each run: kind, first and last position, rows, tokens, and for ts the first row's start and the latest end; needs tokens, id and ts."""
     runs = mark_runs(rows, by=by, pos=pos)

@@ -215,7 +215,7 @@ def interval_link(t: Tables) -> DataFrame:
     WITH g AS (SELECT user_id, event_id, {MS} AS s, {MS} + 3600000 AS raw_e, LEAD({MS}) OVER (PARTITION BY user_id ORDER BY {MS}, event_id) AS nx FROM events WHERE event_type = 'signup'),
     h AS (SELECT user_id, event_id, s, CASE WHEN nx IS NOT NULL AND nx <= raw_e THEN nx - 1 ELSE raw_e END AS e FROM g),
     p AS (SELECT user_id, event_id, {MS} AS t FROM events WHERE event_type = 'view'),
-    j AS (SELECT p.user_id, p.event_id AS pos, h.event_id AS grp, ROW_NUMBER() OVER (PARTITION BY p.user_id, p.event_id ORDER BY CASE WHEN t BETWEEN s AND e THEN -1 ELSE LEAST(ABS(t - s), ABS(t - e)) END, s) AS rn FROM p JOIN h ON h.user_id = p.user_id)
+    j AS (SELECT p.user_id, p.event_id AS pos, h.event_id AS grp, ROW_NUMBER() OVER (PARTITION BY p.user_id, p.event_id ORDER BY CASE WHEN t BETWEEN s AND e THEN -1 ELSE LEAST(ABS(t - s), ABS(t - e)) END, s) AS rn FROM p LEFT JOIN h ON h.user_id = p.user_id)
     SELECT user_id AS session, pos, grp FROM j WHERE rn = 1""")
 def nearest_group(t: Tables) -> DataFrame:
     s = t.stream()
@@ -224,7 +224,7 @@ def nearest_group(t: Tables) -> DataFrame:
     nx = F.lead("ts_ms").over(Window.partitionBy("session").orderBy("ts_ms", "pos"))
     groups = s.where("event_type = 'signup'").withColumn("nx", nx).select("session", F.col("ts_ms").alias("start"), F.when(F.col("nx") <= F.col("ts_ms") + 3_600_000, F.col("nx") - 1).otherwise(F.col("ts_ms") + 3_600_000).alias("end"), F.col("pos").alias("grp"))
     points = s.where("event_type = 'view'").select("session", F.col("ts_ms").alias("ts"), "pos")
-    return links.nearest(points, groups, ["session"], "pos", "grp").where("grp is not null")
+    return links.nearest(points, groups, ["session"], "pos", "grp")
 
 
 @query("""
@@ -249,29 +249,39 @@ def thread(t: Tables) -> DataFrame:
     WITH l AS (SELECT conv_id, turn, UNNEST(string_split(text, chr(10))) AS line, UNNEST(range(0, LENGTH(text) - LENGTH(REPLACE(text, chr(10), '')) + 1)) AS block FROM conversations)
     SELECT conv_id AS session, turn AS pos, CAST(block AS INTEGER) AS block_no, CAST(CEIL(LENGTH(line) / 4.0) AS BIGINT) AS tokens FROM l WHERE line <> ''""")
 def steps(t: Tables) -> DataFrame:
-    each = t.transcript().select("session", "pos", F.posexplode(F.split("text", "\n")).alias("block_no", "line")).where("line <> ''")
-    return each.select("session", "pos", "block_no", X.estimate_tokens(F.col("line")).alias("tokens"))
+    """Each line as a text block of a reply; blank ones aren't shown."""
+    null = F.lit(None).cast("string")
+    block = lambda line: F.struct(F.lit("text").alias("type"), line.alias("text"), *[null.alias(c) for c in ("thinking", "id", "name", "input_json", "tool_use_id", "content_json")], F.lit(False).alias("is_error"))
+    rows = t.transcript().select("session", F.col("pos").alias("line_no"), F.col("pos").cast("string").alias("uuid"), F.lit(None).cast("timestamp").alias("ts"), F.lit("assistant").alias("type"), F.lit("array").alias("content_kind"), null.alias("text"), F.transform(F.split("text", "\n"), block).alias("blocks"))
+    return views.steps(rows).where("body <> ''").select("session", F.col("line_no").alias("pos"), "block_no", "tokens")
 
 
 @query("""
-    SELECT conv_id AS session, CASE WHEN COUNT(CASE WHEN role = 'assistant' THEN 1 END) > 0 THEN 'text' WHEN COUNT(CASE WHEN role = 'user' THEN 1 END) > 0 THEN 'tool_result' END AS kind,
-        COALESCE(arg_max(text, turn) FILTER (role = 'assistant'), arg_max(text, turn) FILTER (role = 'user')) AS text FROM conversations GROUP BY conv_id""")
+    WITH a AS (SELECT conv_id, MAX(CASE WHEN role = 'system' AND conv_id % 5 = 0 THEN turn END) AS i, conv_id % 7 = 0 AS ongoing, MAX(CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN turn END) AS plan, MAX(CASE WHEN role = 'user' OR role = 'assistant' AND turn % 4 <> 3 THEN turn END) AS later,
+        arg_max(text, turn) FILTER (role = 'assistant' AND turn % 4 = 3) AS planned, arg_max(text, turn) FILTER (role = 'assistant' AND turn % 4 <> 3) AS said, arg_max(text, turn) FILTER (role = 'user') AS result FROM conversations GROUP BY conv_id),
+    k AS (SELECT *, CASE WHEN i IS NOT NULL THEN 'interruption' WHEN ongoing THEN 'ongoing' WHEN plan IS NOT NULL AND (later IS NULL OR later < plan) THEN 'plan_exit' WHEN said IS NOT NULL THEN 'text' WHEN result IS NOT NULL THEN 'tool_result' END AS kind FROM a)
+    SELECT conv_id AS session, kind, CASE kind WHEN 'plan_exit' THEN planned WHEN 'text' THEN said WHEN 'tool_result' THEN result END AS text FROM k""")
 def last_output(t: Tables) -> DataFrame:
-    rows = t.transcript().select("session", "pos", F.when(F.col("category") == "ai", "output").when(F.col("category") == "user", "tool_result").otherwise("other").alias("step"), F.lit("").alias("tool"), F.col("text").alias("body"), F.lit(False).alias("is_ongoing"))
+    """Every fourth reply is a plan; system rows of every fifth session are interruptions, and every seventh session goes on."""
+    plan = (F.col("category") == "ai") & (F.col("pos") % 4 == 3)
+    step = F.when(plan, "tool_call").when(F.col("category") == "ai", "output").when(F.col("category") == "user", "tool_result").when(F.col("session") % 5 == 0, "interruption").otherwise("other")
+    rows = t.transcript().select("session", "pos", step.alias("step"), F.when(plan, "ExitPlanMode").otherwise("").alias("tool"), F.col("text").alias("body"), (F.col("session") % 7 == 0).alias("is_ongoing"))
     return views.last_output(rows, ["session"], "pos")
 
 
 @query("""
     WITH l AS (SELECT l_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(l_shipdate) AS BIGINT) AS e, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
     b AS (SELECT o_orderkey AS session, 'chunk' AS kind, 'o' || o_orderkey AS id, 0 AS level, CAST(epoch(o_orderdate) AS BIGINT) AS start, CAST(epoch(o_orderdate) AS BIGINT) AS "end" FROM orders
-        UNION ALL SELECT l_orderkey, 'tool', 'l' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 1, s, e FROM l)
+        UNION ALL SELECT l_orderkey, 'tool', 'l' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 1, s, e FROM l
+        UNION ALL SELECT l_orderkey, 'subagent', 's' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END, e, e + 60 FROM l WHERE l_linenumber < 3)
     SELECT session, kind, id, level, start, start - MIN(start) OVER (PARTITION BY session) AS offset_s, MAX("end") OVER (PARTITION BY session) - MIN(start) OVER (PARTITION BY session) AS total_s FROM b""")
 def waterfall(t: Tables) -> DataFrame:
     at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     orders = t.orders.select(F.col("o_orderkey").alias("session"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.lit(None).cast("string").alias("parent"), at("o_orderdate").alias("start"), at("o_orderdate").alias("end"))
     lines = t.lineitem.join(orders.select(F.col("session").alias("l_orderkey"), F.col("id").alias("parent"), "start"), "l_orderkey")
     tools = lines.select(F.col("l_orderkey").alias("session"), F.concat(F.lit("l"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")).alias("id"), "parent", "start", at("l_shipdate").alias("end"))
-    out = views.waterfall(orders, tools, tools.limit(0), ["session"])
+    agents = lines.where("l_linenumber < 3").select(F.col("l_orderkey").alias("session"), F.concat(F.lit("s"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")).alias("id"), F.when(F.col("l_linenumber") == 1, F.col("parent")).otherwise("gone").alias("parent"), at("l_shipdate").alias("start"), (at("l_shipdate") + 60).alias("end"))
+    out = views.waterfall(orders, tools, agents, ["session"])
     return out.select("session", "kind", "id", "level", "start", F.col("offset").alias("offset_s"), F.col("total").alias("total_s"))
 
 

@@ -107,11 +107,11 @@ def task_split(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT s_suppkey AS agent, p_partkey AS task, COALESCE(CAST(FLOOR(p_retailprice) AS BIGINT) + p_size, 0) AS impact FROM supplier LEFT JOIN part ON p_partkey = s_suppkey * 3 AND p_size > 10 WHERE p_partkey IS NOT NULL""")
+    SELECT s_suppkey AS agent, s_suppkey * 3 AS task, COALESCE(CAST(FLOOR(p_retailprice) AS BIGINT) + p_size, 0) AS impact FROM supplier LEFT JOIN part ON p_partkey = s_suppkey * 3 AND p_size > 10""")
 def main_impact(t: Tables) -> DataFrame:
     agents = t.supplier.select(F.lit("s").alias("session"), F.col("s_suppkey").alias("agent"), (F.col("s_suppkey") * 3).alias("task"))
     calls = t.part.where("p_size > 10").select(F.lit("s").alias("session"), F.col("p_partkey").alias("id"), F.floor("p_retailprice").cast("long").alias("call_tokens"), F.col("p_size").cast("long").alias("result_tokens"))
-    return details.main_impact(agents, calls, ["session"]).where("call_tokens is not null").select("agent", "task", "impact")
+    return details.main_impact(agents, calls, ["session"]).select("agent", "task", "impact")
 
 
 @query("""
@@ -243,13 +243,11 @@ def mark_read(t: Tables) -> DataFrame:
     SELECT user_id AS session, CAST(run AS BIGINT) AS run, COUNT(*) AS n, CAST(SUM(FLOOR(value)) AS BIGINT) AS tokens FROM r GROUP BY 1, 2""")
 def type_runs(t: Tables) -> DataFrame:
     """Runs of equal kinds, as tool rows of one kind are folded together."""
-    w = Window.partitionBy("session").orderBy("pos")
-    marked = t.stream().withColumn("_s", F.when(F.coalesce(F.lag("event_type").over(w), F.lit("")) != F.col("event_type"), 1).otherwise(0)).withColumn("run", F.sum("_s").over(w))
-    return marked.groupBy("session", "run").agg(F.count("*").alias("n"), F.sum("n").alias("tokens"))
+    return sessions.kind_runs(t.stream(), "event_type").groupBy("session", "run").agg(F.count("*").alias("n"), F.sum("n").alias("tokens"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS project, COUNT(*) AS total, COUNT(CASE WHEN event_type <> 'click' THEN 1 END) AS unread FROM events WHERE event_type <> 'error' GROUP BY 1")
 def cleared_stats(t: Tables) -> DataFrame:
     """Alerts that stay after those of one rule were cleared, and those of another read."""
-    rows = t.stream().where("event_type <> 'error'").select(F.col("session").cast("string").alias("project"), (F.col("event_type") == "click").alias("is_read"))
-    return rules.alert_stats(rows, "project")
+    rows = t.stream().select(F.col("session").cast("string").alias("project"), F.col("event_type").alias("rule_name"), F.lit(False).alias("is_read"))
+    return rules.alert_stats(rules.mark_rule_read(rules.clear(rows, "error"), "click"), "project")
