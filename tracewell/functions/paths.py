@@ -56,6 +56,54 @@ def repository_id(identity: Column) -> Column:
     return F.substr(F.sha2(F.lower(F.trim(identity)), 256), F.lit(1), F.lit(12))
 
 
+def mount_path(path: Column) -> Column:
+    """A Windows path of a folder that a Linux subsystem mounts: /mnt/c/x is C:/x."""
+    drive = F.regexp_extract(path, r"^/mnt/([A-Za-z])(/.*)?$", 1)
+    return F.when(F.length(drive) > 0, F.concat(F.upper(drive), F.lit(":"), F.regexp_extract(path, r"^/mnt/[A-Za-z](/.*)?$", 1))).otherwise(path)
+
+
+def drive_upper(path: Column) -> Column:
+    """The path with its drive letter, if it has one, in upper case."""
+    return F.when(path.rlike(r"^[a-z]:[/\\]"), F.concat(F.upper(F.substring(path, 1, 1)), F.substr(path, F.lit(2)))).otherwise(path)
+
+
+def project_name(encoded: Column, cwd: Column | None = None) -> Column:
+    """The last segment of the folder that sessions ran in, else of what the encoded name decodes to, else that name."""
+    last = lambda c: F.nullif(F.regexp_extract(c, r"([^/\\]+)[/\\]*$", 1), F.lit(""))
+    return F.coalesce(*([last(cwd)] if cwd is not None else []), last(decode_path(encoded)), encoded)
+
+
+def shorten_path(path: Column, root: Column | None = None, most: int = 40) -> Column:
+    """A path as it is shown: relative to root, ~ for a home folder, and beyond `most` characters its first segment and its last two round an ellipsis."""
+    p = path
+    if root is not None:
+        base = F.regexp_replace(root, r"[/\\]$", "")
+        inside = p.startswith(F.concat(base, F.lit("/"))) | p.startswith(F.concat(base, F.lit("\\")))
+        p = F.when(F.coalesce(inside, F.lit(False)), F.substr(p, F.length(base) + 2)).otherwise(p)
+    for home in (r"^/Users/[^/]+", r"^/home/[^/]+", r"^[A-Z]:\\Users\\[^\\]+"):
+        p = F.regexp_replace(p, home, "~")
+    sep = F.when(p.contains("\\"), F.lit("\\")).otherwise(F.lit("/"))
+    parts = F.when(p.contains("\\"), F.split(p, r"\\", -1)).otherwise(F.split(p, "/", -1))
+    first = F.when(F.get(parts, F.lit(0)).isin("", "~"), 1).otherwise(0)
+    head = F.when(first == 1, F.concat_ws("", F.get(parts, F.lit(0)), sep, F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(0)))
+    short = F.concat(head, sep, F.lit("…"), sep, F.try_element_at(parts, F.lit(-2)), sep, F.try_element_at(parts, F.lit(-1)))
+    return F.when((F.length(p) > most) & (F.size(parts) - first > 3), short).otherwise(p)
+
+
+def resolve_mention(base: Column, mention: Column) -> Column:
+    """What a mentioned path names: absolute and ~ paths as they are (an @ before them is dropped), others below base, each leading ../ one folder up but never above the first."""
+    bare = F.regexp_replace(mention, "^@", "")
+    absolute = mention.rlike(r"^(/|\\|[A-Za-z]:[/\\])")
+    rest = F.regexp_replace(bare, r"^\./", "")
+    ups = F.length(F.regexp_extract(rest, r"^((?:\.\./)*)", 1)) / 3
+    parts = F.filter(F.split(base, "/"), lambda x: x != "")
+    kept = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - ups.cast("int"), F.least(F.size(parts), F.lit(1))))
+    folder = F.concat(F.when(base.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+    below = F.regexp_replace(rest, r"^(?:\.\./)*", "")
+    joined = F.when(below == "", folder).otherwise(F.concat(folder, F.lit("/"), below))
+    return F.when(absolute, mention).when(bare.rlike(r"^~($|[/\\])"), bare).otherwise(joined)
+
+
 # Kinds of files by extension.
 LANGUAGES = {
     "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript",

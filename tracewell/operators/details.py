@@ -91,6 +91,13 @@ def main_impact(agents: DataFrame, calls: DataFrame, by: list[str]) -> DataFrame
     return agents.join(own, [*by, "task"], "left").withColumn("impact", F.coalesce("call_tokens", F.lit(0)) + F.coalesce("result_tokens", F.lit(0)))
 
 
+def coordination(injections: DataFrame, teammates: DataFrame, by: list[str]) -> DataFrame:
+    """(.., turn, tokens, n) of what coordination puts into each turn: its tools, as tool_injections gives them, and teammates' messages (.., turn, tokens)."""
+    tools = injections.where("category = 'task-coordination'").select(*by, "turn", "tokens", "n")
+    said = teammates.where("tokens > 0").select(*by, "turn", "tokens", F.lit(1).cast("long").alias("n"))
+    return tools.unionByName(said).groupBy(*by, "turn").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n"))
+
+
 def tool_injections(tools: DataFrame, by: list[str]) -> DataFrame:
     """Tokens of each turn's tools (.., turn, tool, call_tokens, result_tokens, skill_tokens), tasks and messages of teams apart; turns without any drop out."""
     tokens = F.coalesce("call_tokens", F.lit(0)) + F.coalesce("result_tokens", F.lit(0)) + F.coalesce("skill_tokens", F.lit(0))

@@ -20,6 +20,25 @@ def link_tools(calls: DataFrame, results: DataFrame, by: tuple[str, ...] = ("ses
     return calls.join(one, [*by, "id"], "left").select(*calls.columns, *[F.col(f"r.{c}").alias(f"result_{c}") for c in kept], F.col("r").isNull().alias("is_orphan"))
 
 
+def with_skills(linked: DataFrame, instructions: DataFrame, by: tuple[str, ...] = ("session",), name: str = "name") -> DataFrame:
+    """linked calls (.., id, name) with skill: the last instructions (.., source_tool_use_id, pos, text) that a Skill call put into the session; null for others."""
+    last = instructions.groupBy(*by, F.col("source_tool_use_id").alias("id")).agg(F.max_by("text", "pos").alias("_skill"))
+    return linked.join(last, [*by, "id"], "left").withColumn("skill", F.when(F.col(name) == "Skill", F.col("_skill"))).drop("_skill")
+
+
+def result_map(results: DataFrame, enriched: DataFrame, by: tuple[str, ...] = ("session",)) -> DataFrame:
+    """(.., tool_use_id, content, is_error): of each call the last result, where an enriched one counts as the last of its message.
+
+    results (.., line_no, block_no, tool_use_id, content, is_error) come from blocks;
+    enriched (.., line_no, source_tool_use_id, content, is_error) from the messages'
+    toolUseResult, where they name their call.
+    """
+    plain = results.select(*by, "tool_use_id", F.struct("line_no", F.lit(0).alias("rank"), "block_no").alias("at"), "content", "is_error")
+    more = enriched.where("source_tool_use_id is not null").select(*by, F.col("source_tool_use_id").alias("tool_use_id"), F.struct("line_no", F.lit(1).alias("rank"), F.lit(0).alias("block_no")).alias("at"), "content", "is_error")
+    last = plain.unionByName(more).groupBy(*by, "tool_use_id").agg(F.max_by(F.struct("content", "is_error"), "at").alias("r"))
+    return last.select(*by, "tool_use_id", "r.*")
+
+
 def unclaimed(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows that no row of the other side claims."""
     return left.join(right.select(*on), on, "left_anti")

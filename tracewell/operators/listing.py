@@ -31,6 +31,17 @@ def pinned(rows: DataFrame, pins: DataFrame, key: str) -> DataFrame:
     return pins.join(rows, key).orderBy("pin_pos")
 
 
+def without_hidden(rows: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
+    """Rows that nobody hid (key); a hidden key without a row does nothing."""
+    return rows.join(hidden.select(key).distinct(), key, "left_anti")
+
+
+def projects_by_recency(sessions: DataFrame) -> DataFrame:
+    """(project, sessions, recent) from sessions (project, modified), the one with the latest session first; those without a time come last."""
+    per = sessions.groupBy("project").agg(F.count("*").alias("sessions"), F.max("modified").alias("recent"))
+    return per.orderBy(F.desc_nulls_last("recent"), "project")
+
+
 def by_date(rows: DataFrame, created: str, updated: str, as_of: Column) -> DataFrame:
     ts = F.greatest(F.coalesce(updated, created), F.col(created))
     return rows.withColumn("bucket", formats.date_bucket(ts, as_of))
@@ -93,3 +104,25 @@ def frontmatter(column: Column) -> Column:
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S"))
     entry = lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[\w-]+:\s*(.*)$", 1)), "^[\"']|[\"']$", "").alias("value"))
     return F.map_from_entries(F.transform(lines, entry))
+
+
+def frontmatter_parts(column: Column) -> Column:
+    """(name, description, metadata) of the lines between --- at the top of a text: two flat keys, and the indented keys below metadata as a map; null without such lines.
+
+    Any other key at the margin ends the block; quotes round a value are dropped.
+    """
+    block = F.regexp_extract(column, r"(?s)\A---\r?\n(.*?)\r?\n---(\r?\n|\z)", 1)
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.filter(F.split(block, r"\r?\n"), lambda x: F.length(trim(x)) > 0)
+    margin = lambda x: ~x.rlike(r"^\s")
+    key = lambda x: trim(F.substring_index(x, ":", 1))
+    value = lambda x: F.regexp_replace(F.regexp_replace(trim(F.substr(x, F.instr(x, ":") + 1)), '^"(.*)"$', "$1"), "^'(.*)'$", "$1")
+    flat = lambda name: F.try_element_at(F.transform(F.filter(lines, lambda x: margin(x) & x.contains(":") & (key(x) == name)), value), F.lit(-1))
+    # Each line with the last key at the margin before it.
+    under = F.transform(lines, lambda x, i: F.struct(x.alias("x"), key(F.try_element_at(F.filter(F.slice(lines, F.lit(1), i + 1), margin), F.lit(-1))).alias("k")))
+    own = F.filter(under, lambda u: ~margin(u["x"]) & (u["k"] == "metadata") & u["x"].contains(":") & (key(u["x"]) != ""))
+    # Of a key that repeats the last value counts.
+    pairs = F.transform(own, lambda u: F.struct(key(u["x"]).alias("key"), value(u["x"]).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
+    there = column.rlike(r"(?s)\A---\r?\n.*?\r?\n---(\r?\n|\z)")
+    return F.when(there, F.struct(flat("name").alias("name"), flat("description").alias("description"), F.map_from_entries(last).alias("metadata")))

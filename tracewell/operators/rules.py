@@ -43,13 +43,15 @@ class Rule:
     field: str | None = None
     #: Repositories that the rule is meant for; none means all.
     repositories: list[str] = dataclasses.field(default_factory=list)
+    #: Built-in rules can be changed and switched off, but not removed.
+    builtin: bool = False
 
 
 # The rules that are there from the start, switched off.
 BUILT_IN = (
-    Rule("builtin-bash-command", ".env File Access Alert", "tool_use", pattern="/.env", enabled=False),
-    Rule("builtin-tool-result-error", "Tool Result Error", "tool_result", require_error=True, ignore=[r"The user doesn't want to proceed with this tool use\.", r"\[Request interrupted by user for tool use\]"], enabled=False),
-    Rule("builtin-high-token-usage", "High Token Usage", "token_threshold", threshold=8000, enabled=False),
+    Rule("builtin-bash-command", ".env File Access Alert", "tool_use", pattern="/.env", enabled=False, builtin=True),
+    Rule("builtin-tool-result-error", "Tool Result Error", "tool_result", require_error=True, ignore=[r"The user doesn't want to proceed with this tool use\.", r"\[Request interrupted by user for tool use\]"], enabled=False, builtin=True),
+    Rule("builtin-high-token-usage", "High Token Usage", "token_threshold", threshold=8000, enabled=False, builtin=True),
 )
 
 
@@ -73,6 +75,73 @@ def is_safe_pattern(pattern: str) -> bool:
     return True
 
 
+def infer_mode(rule: Rule) -> str:
+    """What a rule without a mode is meant for: errors of results, a pattern (or field) in uses, a threshold; results if nothing tells."""
+    if rule.require_error:
+        return "tool_result"
+    if rule.pattern or rule.field:
+        return "tool_use"
+    return "token_threshold" if rule.threshold else "tool_result"
+
+
+def rule_errors(rule: Rule) -> list[str]:
+    """What is wrong with a rule; nothing if it can be used."""
+    found = [f"{name} is required" for name in ("id", "name", "mode") if not (getattr(rule, name) or "").strip()]
+    if rule.mode and rule.mode not in ("tool_result", "tool_use", "token_threshold"):
+        found.append(f"unknown mode {rule.mode}")
+    if rule.mode == "tool_use" and rule.tool and not rule.field:
+        found.append("a field is required for the uses of one tool")
+    if rule.mode == "tool_result" and not rule.require_error and not rule.tool:
+        found.append("a tool is required for a pattern in results")
+    if rule.mode == "token_threshold":
+        if rule.threshold is None or rule.threshold < 0:
+            found.append("the threshold must not be negative")
+        if rule.token_kind not in ("input", "output", "total"):
+            found.append("the kind of tokens is required")
+    found += [f"pattern {p} can't be used" for p in [rule.pattern, *rule.ignore] if p and not is_safe_pattern(p)]
+    return found
+
+
+def _checked(rule: Rule) -> Rule:
+    if errors := rule_errors(rule):
+        raise ValueError("; ".join(errors))
+    return rule
+
+
+def add_rule(rules: list[Rule], rule: Rule) -> list[Rule]:
+    if any(r.id == rule.id for r in rules):
+        raise ValueError(f"there is a rule {rule.id} already")
+    return [*rules, _checked(rule)]
+
+
+def update_rule(rules: list[Rule], rule_id: str, **changes) -> list[Rule]:
+    """rules with one changed; whether it is built in stays as it is."""
+    if all(r.id != rule_id for r in rules):
+        raise ValueError(f"there is no rule {rule_id}")
+
+    def changed(r: Rule) -> Rule:
+        new = dataclasses.replace(r, **{k: v for k, v in changes.items() if k != "builtin"})
+        return _checked(new if new.mode else dataclasses.replace(new, mode=infer_mode(new)))
+
+    return [changed(r) if r.id == rule_id else r for r in rules]
+
+
+def remove_rule(rules: list[Rule], rule_id: str) -> list[Rule]:
+    found = [r for r in rules if r.id == rule_id]
+    if not found:
+        raise ValueError(f"there is no rule {rule_id}")
+    if found[0].builtin:
+        raise ValueError("built-in rules can only be switched off")
+    return [r for r in rules if r.id != rule_id]
+
+
+def merge_rules(loaded: list[Rule], defaults: tuple[Rule, ...] = BUILT_IN) -> list[Rule]:
+    """Loaded rules as they are, without built-in ones that are no more, and with those that are missing."""
+    known = {r.id for r in defaults if r.builtin}
+    kept = [r for r in loaded if not r.builtin or r.id in known]
+    return kept + [r for r in defaults if r.builtin and all(k.id != r.id for k in kept)]
+
+
 def compiles(spark: SparkSession, pattern: str) -> bool:
     """Whether Spark's own regular expressions take the pattern: Python's compiler accepts some that would fail a stage later."""
     try:
@@ -209,6 +278,13 @@ def enriched_text(result_json: Column) -> Column:
     return F.coalesce(_string_at(result_json, "error"), written, _string_at(result_json, "content"), _string_at(result_json, "message"), F.lit(""))
 
 
+def enriched_results(messages: DataFrame) -> DataFrame:
+    """(session, line_no, source_tool_use_id, content, is_error) of the enriched results that name their call."""
+    flag = lambda k: F.coalesce(F.get_json_object("tool_use_result", f"$.{k}") == "true", F.lit(False))
+    own = messages.where(F.col("tool_use_result").startswith("{") & F.col("source_tool_use_id").isNotNull())
+    return own.select("session", "line_no", "source_tool_use_id", enriched_text(F.col("tool_use_result")).alias("content"), (flag("isError") | flag("is_error")).alias("is_error"))
+
+
 def error_text(content_json: Column) -> Column:
     """The text of a result's content: a string, or the text blocks of an array by lines; Unknown error if that is blank."""
     blocks = F.from_json(content_json, "array<struct<type:string,text:string>>")

@@ -32,10 +32,14 @@ def _counted(n: Column, one: str, many: str) -> Column:
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """"2 thinking, 1 tool call, ..." of each group of items; needs item."""
+    """"2 thinking, 1 tool call, ..." of each group of items; needs item. Subagents with a member (of a team) count once for each name, as teammates."""
     count = lambda k: F.count_if(F.col("item") == k)
-    names = (("thinking", "thinking", "thinking"), ("tool", "tool call", "tool calls"), ("output", "message", "messages"), ("subagent", "subagent", "subagents"), ("slash", "slash", "slashes"), ("teammate_message", "teammate message", "teammate messages"), ("compact_boundary", "compaction", "compactions"))
-    text = F.concat_ws(", ", *[_counted(count(k), a, b) for k, a, b in names])
+    counts = {k: count(k) for k in ("thinking", "tool", "output", "subagent", "slash", "teammate_message", "compact_boundary")}
+    if "member" in rows.columns:
+        of_team = (F.col("item") == "subagent") & F.col("member").isNotNull()
+        counts |= {"teammate": F.count_distinct(F.when(of_team, F.col("member"))), "subagent": F.count_if((F.col("item") == "subagent") & F.col("member").isNull())}
+    names = (("thinking", "thinking", "thinking"), ("tool", "tool call", "tool calls"), ("output", "message", "messages"), ("teammate", "teammate", "teammates"), ("subagent", "subagent", "subagents"), ("slash", "slash", "slashes"), ("teammate_message", "teammate message", "teammate messages"), ("compact_boundary", "compaction", "compactions"))
+    text = F.concat_ws(", ", *[_counted(counts[k], a, b) for k, a, b in names if k in counts])
     return rows.groupBy(*by).agg(F.when(text == "", "No items").otherwise(text).alias("summary"))
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.functions import text as X
-from tracewell.operators import classify as C, search, sessions
+from tracewell.functions import paths, text as X
+from tracewell.operators import classify as C, details, links, listing, search, sessions, views
 from tracewell.plans.catalog import Tables, query
 from tracewell.sources import jsonl
 
@@ -132,3 +132,57 @@ def capped_search(t: Tables) -> DataFrame:
 def hash_ids(t: Tables) -> DataFrame:
     """Ids of names that end in a character of two UTF-16 units."""
     return t.part.select(F.col("p_name").alias("source")).distinct().select("source", X.hash_id(F.concat("source", F.lit("😀"))).alias("id"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def hidden_sessions(t: Tables) -> DataFrame:
+    """What is left of a list once hidden entries are taken away."""
+    return listing.without_hidden(t.customer.select("c_custkey", "c_name"), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""
+    WITH c AS (SELECT user_id, COUNT(CASE WHEN event_type = 'click' THEN 1 END) AS c, COUNT(DISTINCT CASE WHEN event_type = 'signup' AND event_id % 3 > 0 THEN event_id % 7 END) AS m, COUNT(CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 1 END) AS s FROM events GROUP BY user_id)
+    SELECT user_id AS session, COALESCE(NULLIF(concat_ws(', ', CASE WHEN c > 0 THEN c || CASE WHEN c = 1 THEN ' tool call' ELSE ' tool calls' END END, CASE WHEN m > 0 THEN m || CASE WHEN m = 1 THEN ' teammate' ELSE ' teammates' END END, CASE WHEN s > 0 THEN s || CASE WHEN s = 1 THEN ' subagent' ELSE ' subagents' END END), ''), 'No items') AS summary FROM c""")
+def team_summary(t: Tables) -> DataFrame:
+    """Members of a team count once each, other subagents each."""
+    item = F.when(F.col("event_type") == "click", "tool").when(F.col("event_type") == "signup", "subagent").otherwise("subagent_input")
+    return views.summary(t.stream().select("session", item.alias("item"), F.when(F.col("pos") % 3 > 0, (F.col("pos") % 7).cast("string")).alias("member")), ["session"])
+
+
+@query("""
+    WITH r AS (SELECT user_id AS session, event_id AS line_no, 0 AS rank, 't' || event_id % 40 AS tool_use_id, props AS content, event_type = 'error' AS is_error FROM events
+        UNION ALL SELECT user_id, event_id, 1, 't' || event_id % 25, 'rich ' || event_id, event_id % 2 = 0 FROM events WHERE event_type = 'view')
+    SELECT session, tool_use_id, arg_max(content, line_no * 10 + rank) AS content, arg_max(is_error, line_no * 10 + rank) AS is_error FROM r GROUP BY session, tool_use_id""")
+def result_map(t: Tables) -> DataFrame:
+    """The result that counts of each call, enriched ones included."""
+    s = t.stream().withColumn("line_no", F.col("pos"))
+    plain = s.select("session", "line_no", F.lit(0).alias("block_no"), F.concat(F.lit("t"), F.col("pos") % 40).alias("tool_use_id"), F.col("props").alias("content"), (F.col("event_type") == "error").alias("is_error"))
+    rich = s.where("event_type = 'view'").select("session", "line_no", F.concat(F.lit("t"), F.col("pos") % 25).alias("source_tool_use_id"), F.concat(F.lit("rich "), "pos").alias("content"), (F.col("pos") % 2 == 0).alias("is_error"))
+    return links.result_map(plain, rich)
+
+
+_PATH = "'/home/u' || c_nationkey || '/' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '/a/rather/long/folder/name' ELSE '' END || '/f' || c_custkey"
+
+
+@query(rf"""
+    WITH p AS (SELECT c_custkey, {_PATH} AS path, '/home/u' || c_nationkey AS root FROM customer), q AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN SUBSTR(path, LENGTH(root) + 2) ELSE '~' || SUBSTR(path, LENGTH(root) + 1) END AS shown FROM p)
+    SELECT c_custkey, CASE WHEN LENGTH(shown) <= 24 OR len(string_split(shown, '/')) - CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END <= 3 THEN shown ELSE regexp_extract(shown, '^(~/)?[^/]+') || '/…/' || regexp_extract(shown, '[^/]+/[^/]+$') END AS short,
+        '/home/u' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '/deep' END || '/x' || c_custkey AS resolved, 'f' || c_custkey AS project FROM q""")
+def path_names(t: Tables) -> DataFrame:
+    """Paths as they are shown, mentions resolved, and names of projects."""
+    c = F.col("c_custkey")
+    path, root = F.expr(_PATH), F.concat(F.lit("/home/u"), "c_nationkey")
+    up = F.when(c % 2 == 0, "@../").otherwise("./")
+    return t.customer.select("c_custkey", paths.shorten_path(path, F.when(c % 3 == 0, root), 24).alias("short"), paths.resolve_mention(F.lit("/home/u/deep"), F.concat(up, F.lit("x"), c)).alias("resolved"), paths.project_name(F.lit("-a-b"), path).alias("project"))
+
+
+@query("""
+    WITH x AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'SendMessage' ELSE 'Read' END AS tool, CAST(FLOOR(l_quantity) AS BIGINT) AS tokens FROM lineitem),
+    u AS (SELECT l_orderkey, tokens FROM x WHERE tool = 'SendMessage' AND tokens > 0 UNION ALL SELECT o_orderkey, o_orderkey % 5 FROM orders WHERE o_orderkey % 5 > 0)
+    SELECT l_orderkey AS turn, CAST(SUM(tokens) AS BIGINT) AS tokens, COUNT(*) AS n FROM u GROUP BY l_orderkey""")
+def coordination(t: Tables) -> DataFrame:
+    """What coordination puts into each turn: its tools and teammates' messages."""
+    k = F.col("l_orderkey")
+    tools = t.lineitem.select(F.lit("s").alias("session"), k.alias("turn"), F.when(F.col("l_linenumber") % 3 == 0, "SendMessage").otherwise("Read").alias("tool"), F.floor("l_quantity").cast("long").alias("call_tokens"), F.lit(0).cast("long").alias("result_tokens"), F.lit(0).cast("long").alias("skill_tokens"))
+    mates = t.orders.select(F.lit("s").alias("session"), F.col("o_orderkey").alias("turn"), (F.col("o_orderkey") % 5).alias("tokens"))
+    return details.coordination(details.tool_injections(tools, ["session"]), mates, ["session"]).drop("session")

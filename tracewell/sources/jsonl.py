@@ -98,3 +98,20 @@ def subagent_files(spark: SparkSession, projects: str) -> DataFrame:
 def first_cwd(messages: DataFrame) -> DataFrame:
     """(session, cwd): the first working folder that is named in a session."""
     return messages.where("cwd <> ''").groupBy("session").agg(F.min_by("cwd", "line_no").alias("cwd"))
+
+
+def working_folder(lines: DataFrame) -> DataFrame:
+    """(file, cwd): the first folder that a line of a file names, with its drive letter in upper case; none where a broken line comes before it."""
+    from tracewell.functions.paths import drive_upper
+
+    parsed = lines.select("file", "line_no", F.try_parse_json("line").isNull().alias("broken"), F.get_json_object("line", "$.cwd").alias("cwd"))
+    named = F.col("cwd").isNotNull() & (F.col("cwd") != "") & ~F.col("broken")
+    first = parsed.groupBy("file").agg(F.min(F.when(F.col("broken"), F.col("line_no"))).alias("_b"), F.min(F.when(named, F.struct("line_no", "cwd"))).alias("_c"))
+    return first.where("_c is not null and (_b is null or _b > _c.line_no)").select("file", drive_upper(F.col("_c.cwd")).alias("cwd"))
+
+
+def with_line_numbers(messages: DataFrame) -> DataFrame:
+    """messages with message_no: the place among the messages of their session, from 1; lines that give no message don't count."""
+    from pyspark.sql import Window
+
+    return messages.withColumn("message_no", F.row_number().over(Window.partitionBy("session").orderBy("line_no")))
