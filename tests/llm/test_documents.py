@@ -496,6 +496,13 @@ def test_cells_of_strings_with_a_common_beginning(spark):
 def test_write_shards(docs, data, spark, tmp_path):
     hilbert.write_shards(docs, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(data)
+    # Own columns of any name come back as they were.
+    names = ["shard", "slot", "size", "_id", "text_crc32", "_crc", "_size", "row", "own_id", "hilbert"]
+    odd = docs.select("doc_id", "text", "lang", *[(docs["n"] + k).alias(c) for k, c in enumerate(names)])
+    hilbert.write_shards(odd, str(tmp_path / "odd"))
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert set(back.columns) == {*odd.columns, "shard_1"}
 
 
 def test_classifier_on_held_out_rows(spark, empty):

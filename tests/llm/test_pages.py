@@ -98,6 +98,43 @@ def test_salvage_after_a_writer_died_in_a_payload():
     assert ids == [0, 2, 3] and len(gaps) == 1
 
 
+def test_torn_header_is_not_fused_with_the_next_record():
+    for cut in (5, 15, 30, 60, 90):
+        torn = record(1)[:cut]
+        data = record(0) + torn + record(2) + record(3)
+        found = list(warc.salvage(data))
+        assert [r["record_id"][17:18] for _, _, r, _ in found if r] == ["0", "2", "3"]
+        assert [(a, n) for a, n, r, _ in found if not r] == [(len(record(0)), len(torn))]
+
+
+def test_lines_that_end_in_a_line_feed_only():
+    bare = lambda n: record(n, b"no breaks here").replace(b"\r\n", b"\n")
+    found = list(warc.salvage(b"".join(bare(n) for n in range(200))))
+    assert len(found) == 200 and all(r for _, _, r, _ in found)
+    mixed = list(warc.salvage(bare(1) + record(2) + bare(3)[:-20] + bare(4)))
+    assert [r["record_id"][17:18] if r else None for _, _, r, _ in mixed] == ["1", "2", None, "4"]
+
+
+def test_repeated_fields_are_refused():
+    twice = record(1).replace(b"Content-Length: 5", b"Content-Length: 5\r\nContent-Length: 7")
+    other = record(3).replace(b"WARC-Type", b"WARC-Concurrent-To: a\r\nWARC-Concurrent-To: b\r\nWARC-Type")
+    found = list(warc.salvage(twice + record(2) + other))
+    assert [bool(r) for _, _, r, _ in found] == [False, True, True] and "repeats" in found[0][3]
+
+
+def test_headers_without_an_end_take_time_in_proportion():
+    import time
+
+    torn = b"WARC/1.0\r\nWARC-Type: resource\r\n" + b"X-Filler: " + b"f" * 500 + b"\r\n"
+    seconds = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        found = list(warc.salvage(torn * n + record(1)))
+        seconds.append(time.perf_counter() - began)
+        assert [bool(r) for _, _, r, _ in found] == [False, True]
+    assert seconds[1] < 12 * seconds[0] + 0.5
+
+
 @pytest.mark.parametrize("level", [0, 9])
 def test_salvage_inside_a_member(level):
     rng = random.Random(2)

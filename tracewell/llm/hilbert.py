@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.store import keep
+from tracewell.llm.store import free_name, keep
 
 BITS = 6
 
@@ -119,9 +119,15 @@ def shard_by_hilbert(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source",
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the documents, one folder for each shard, sorted along the curve: readers prune files by the least and largest values of each dimension."""
+    """Writes the documents, one folder for each shard, sorted along the curve: readers prune files by the least and largest values of each dimension.
+
+    The folders' column is shard, or the first free of shard_1, shard_2 ... where docs
+    has that itself; all own columns, of whatever name, are written unchanged.
+    """
     placed = shard_by_hilbert(docs, **options).select("doc_id", "text_crc32", "size", "shard", "slot").dropDuplicates(["doc_id", "text_crc32", "size"])
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_crc", F.crc32(text)).withColumn("_size", (F.octet_length(text) + 16).cast("long"))
-    own = keyed.join(placed.withColumnRenamed("doc_id", "_id"), F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_crc") == F.col("text_crc32")) & (F.col("_size") == F.col("size")), "left")
-    own.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select(*docs.columns, "shard").write.partitionBy("shard").parquet(path)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.crc32(text).alias("own_crc"), (F.octet_length(text) + 16).cast("long").alias("own_size"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_crc") == F.col("text_crc32")) & (F.col("own_size") == F.col("size"))
+    own = keyed.join(placed, same, "left").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    folder = free_name(docs.columns, "shard")
+    own.select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

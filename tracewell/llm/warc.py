@@ -17,6 +17,11 @@ from tracewell.llm.store import keep, shared_folder
 _VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
 _MAGIC = re.compile(rb"\x1f\x8b\x08")
+#: What ends a header: an empty line, or, in a torn one, the next record.
+_STOP = re.compile(rb"\r\n\r\n|\n\n|(WARC/[01]\.\d+\r?\n)")
+_LINE = re.compile(rb"\r?\n")
+#: Header fields that a record has once at most.
+_SINGLE = {"warc-type", "warc-record-id", "warc-payload-digest", "warc-refers-to", "warc-target-uri", "content-length", "content-type"}
 #: Compressed bytes that are unpacked at once.
 CHUNK = 65536
 _BLANK = re.compile(rb"[\r\n]*")
@@ -93,34 +98,46 @@ class Bad(ValueError):
 
 
 def _record(data: bytes, pos: int) -> tuple[dict, int]:
-    """The record whose version line begins at pos, and where what follows it begins."""
+    """The record whose version line begins at pos, and where what follows it begins.
+
+    Lines end in CR LF or LF alone. A header is looked for up to the next version line
+    only: so a torn one isn't fused with the record after it, and headers without an end
+    take time in proportion.
+    """
     line = _VERSION.match(data, pos)
     if not line:
         raise Bad("no version line")
-    stop = data.find(END, pos)
-    if stop < 0:
+    stop = _STOP.search(data, line.end())
+    if not stop:
         raise Bad("header has no end")
+    if stop[1]:
+        raise Bad("header is torn by the next record")
     head = {}
-    for raw in data[line.end() : stop].split(b"\r\n"):
+    for raw in _LINE.split(data[line.end() : stop.start()]):
         name, colon, value = raw.partition(b":")
         if not colon:
             raise Bad("header line without a colon")
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        field = name.strip().lower().decode("latin-1")
+        if field in head and field in _SINGLE:
+            raise Bad(f"header repeats {field}")
+        head[field] = value.strip().decode("utf-8", "replace")
     if not head.get("content-length", "").isdigit():
         raise Bad("no content length")
-    first = stop + 4
+    first = stop.end()
     after = first + int(head["content-length"])
     if after > len(data):
         raise Bad("cut off")
-    if data[after : after + 4] != END:
+    ends = next((e for e in (END, b"\n\n") if data.startswith(e, after)), None)
+    if not ends:
         raise Bad("no blank lines after the record")
     block, http = data[first:after], {}
     payload = block
     if head.get("content-type", "").startswith("application/http"):
-        top, gap, payload = block.partition(END)
+        gap = re.search(rb"\r\n\r\n|\n\n", block)
         if not gap:
             raise Bad("HTTP header has no end")
-        http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in top.decode("latin-1").split("\r\n")[1:])}
+        top, payload = block[: gap.start()], block[gap.end() :]
+        http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in re.split("\r?\n", top.decode("latin-1"))[1:])}
     kind, digest = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:")
     own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     if kind == "revisit":
@@ -130,7 +147,7 @@ def _record(data: bytes, pos: int) -> tuple[dict, int]:
         if digest and digest != own:
             raise Bad("payload digest differs")
         digest = own
-    return {"record_type": kind, "record_id": head.get("warc-record-id"), "refers_id": head.get("warc-refers-to"), "url": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest or None, "payload": payload if kind != "revisit" else None}, after + 4
+    return {"record_type": kind, "record_id": head.get("warc-record-id"), "refers_id": head.get("warc-refers-to"), "url": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest or None, "payload": payload if kind != "revisit" else None}, after + len(ends)
 
 
 def _member(data: bytes, pos: int) -> tuple[bytes, int, str | None]:
