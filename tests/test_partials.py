@@ -52,9 +52,9 @@ def test_paths(spark):
     lit = F.lit
     assert one(spark, paths.mount_path(lit("/mnt/c/Users/x")), paths.mount_path(lit("/mnt/d")), paths.mount_path(lit("/mnt/data/x")), paths.drive_upper(lit("c:\\x")), paths.drive_upper(lit("/c"))) == ("C:/Users/x", "D:", "/mnt/data/x", "C:\\x", "/c")
     assert one(spark, paths.project_name(lit("-Users-me-my-app")), paths.project_name(lit("-Users-me-my-app"), lit("/Users/me/my-app/")), paths.project_name(lit("x"), lit("C:\\w\\app"))) == ("app", "my-app", "app")
-    short = [("/Users/me/code/some/very/very/long/way/to/file.ts", None), ("/Users/me/code/src/a.ts", "/Users/me/code/"), ("/opt/a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p/q/file", None), ("/opt/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/b", None), ("C:\\Users\\me\\one\\two\\three\\four\\five\\six\\seven\\x.ts", None)]
+    short = [("/Users/me/code/some/very/very/long/way/to/file.ts", None), ("/Users/me/code/src/a.ts", "/Users/me/code/"), ("/opt/a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p/q/file", None), ("/opt/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/b", None), ("C:\\Users\\me\\one\\two\\three\\four\\five\\six\\seventeen\\x.ts", None)]
     got = [one(spark, paths.shorten_path(lit(p), None if r is None else lit(r)))[0] for p, r in short]
-    assert got == ["~/code/…/to/file.ts", "src/a.ts", "/opt/…/q/file", "/opt/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/b", "~\\one\\…\\seven\\x.ts"]
+    assert got == ["~/code/…/to/file.ts", "src/a.ts", "/opt/…/q/file", "/opt/aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa/b", "~\\one\\…\\seventeen\\x.ts"]
     mentions = {"/abs": "/abs", "@src/a": "/r/p/src/a", "~/x": "~/x", "@~/x": "~/x", "./a": "/r/p/a", "../a": "/r/a", "../../../a": "/r/a", "..": "/r/p/..", "a/../b": "/r/p/a/../b"}
     assert {m: one(spark, paths.resolve_mention(lit("/r/p"), lit(m)))[0] for m in mentions} == mentions
 
