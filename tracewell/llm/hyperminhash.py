@@ -219,17 +219,22 @@ def _across(loose: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float
         tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("halves")]
         lists = table.column("keys").combine_chunks()
         values, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
+        # Documents of each lesser value, and the lesser values of each document: lists, as most values have few.
         less = values < own
         _, column = np.unique(values[less], return_inverse=True)
-        held = np.zeros((len(ids), int(column.max(initial=-1)) + 1), np.float32)
-        held[owner[less], column] = 1
+        order = np.argsort(column, kind="stable")
+        holders, begins = owner[less][order], np.searchsorted(column[order], np.arange(int(column.max(initial=-1)) + 2))
+        at = np.searchsorted(owner[less], np.arange(len(ids) + 1))
+        elsewhere = np.zeros(len(ids), bool)
         out_u, out_v = [], []
         for i in range(len(ids)):
             ok = (ids > ids[i]) & (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if key[1].as_py() != key[2].as_py():
                 ok &= block != block[i]
-            some = np.flatnonzero(ok)
-            some = some[held[some] @ held[i] == 0] if held.shape[1] else some
+            for k in column[at[i] : at[i + 1]]:
+                elsewhere[holders[begins[k] : begins[k + 1]]] = True
+            some = np.flatnonzero(ok & ~elsewhere)
+            elsewhere[:] = False
             if not len(some):
                 continue
             some = some[estimate(regs[some], regs[i][None], n[some], n[i]) >= margin(np.minimum(n[some], n[i]), threshold)]
