@@ -114,17 +114,17 @@ def in_interval(points: DataFrame, spans: DataFrame, by: list[str], closed: str)
 
     Spans of about one length (within a factor of four) share a grid of buckets that are
     longer than they, so each stands in two buckets at most, and a point looks into one
-    bucket for each length that occurs (at most 32, found by a small query). So the join
-    is on session, length and bucket: what meets lies close together in time, the work
-    follows the result, and a long session is spread over many tasks. An open span ends
-    with the last point of its session. Spans may overlap; rows without a time or start
+    bucket for each length that occurs (at most 32; they and the latest time, with which
+    open spans end, come from two small queries beforehand). So the join is on session,
+    length and bucket: what meets lies close together in time, the work follows the
+    result, and a long session is spread over many tasks. Spans may overlap; rows without a time or start
     are in no pair.
     """
     ts, start, end = F.col("ts"), F.col("start"), F.col("end")
     p = points.withColumn("_t", _ticks(points, "ts")).where("_t is not null")
     s = spans.withColumn("_a", _ticks(spans, "start")).withColumn("_b", _ticks(spans, "end")).where("_a is not null")
-    last = p.join(s.where("_b is null").select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.max("_t").alias("_last"))
-    s = s.join(last, by, "left").withColumn("_b", F.coalesce("_b", "_last", "_a")).drop("_last").where("_b >= _a")
+    latest = F.lit(p.agg(F.max("_t")).first()[0]).cast("long")
+    s = s.withColumn("_b", F.coalesce("_b", F.greatest(latest, "_a"))).where("_b >= _a")
     s = s.withColumn("_k", F.expr("cast(2 * ((length(bin(_b - _a)) + 1) div 2) as int)"))
     grids = sorted(r[0] for r in s.select("_k").distinct().collect())
     if not grids:

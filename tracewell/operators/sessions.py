@@ -118,16 +118,16 @@ def gap_filled(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "
     each of them, marks, in falling order; a frame up to the end of the session would be
     gone through anew for each row.
     """
-    starts = rows.select(*by, F.col("ts_ms").alias("_t"), F.lit(0).alias("_mark")).distinct()
-    marks = starts.select(*by, (F.col("_t") + least_ms).alias("_t"), F.lit(1).alias("_mark"))
-    falling = Window.partitionBy(*by).orderBy(F.desc("_t"), "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = starts.unionByName(marks).withColumn("_next", F.last(F.when(F.col("_mark") == 0, F.col("_t")), True).over(falling))
-    following = both.where("_mark = 1").select(*by, (F.col("_t") - least_ms).alias("ts_ms"), "_next")
-    last = rows.groupBy(*by).agg(F.max("ts_ms").alias("_last"))
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    both = rows.select(*by, row.alias("_row"), F.explode(F.array(F.struct(F.col("ts_ms").alias("t"), F.lit(0).alias("mark")), F.struct((F.col("ts_ms") + least_ms).alias("t"), F.lit(1).alias("mark")))).alias("_e"))
+    start = F.when(F.col("_e.mark") == 0, F.col("_e.t"))
+    falling = Window.partitionBy(*by).orderBy(F.desc("_e.t"), "_e.mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("_next", F.last(start, True).over(falling)).withColumn("_last", F.max(start).over(Window.partitionBy(*by)))
+    marks = placed.where("_e.mark = 1").select("_row.*", "_next", "_last")
     end = F.coalesce("_next", "_last")
     if "is_subagent" in rows.columns:
         end = F.when(F.col("is_subagent") & (F.col("duration_ms") > least_ms), F.col("ts_ms") + F.col("duration_ms")).otherwise(end)
-    return rows.join(following, [*by, "ts_ms"], "left").join(last, [*by], "left").withColumn("effective_end_ms", end).select(*rows.columns, "effective_end_ms")
+    return marks.withColumn("effective_end_ms", end).select(*rows.columns, "effective_end_ms")
 
 
 def context_deltas(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "pos") -> DataFrame:
