@@ -106,6 +106,29 @@ def test_projects_and_pages(t):
     assert t.sessions(size=2).count() == 3
 
 
+def test_export_by_parts(t):
+    from tracewell.operators import exports
+
+    rows = exports.numbered(t.export_parts().where("session = 's1'"), ["session"]).orderBy("part").collect()
+    text = "\n".join(r.text for r in rows)
+    assert "Project:  /home/me/one\nBranch:   main\nDate:     2026-01-01 10:01:00 UTC" in text and "Messages:       13" in text
+    assert "USER: alpha intro alpha" in text and "THINKING: hm\nASSISTANT: Alpha and ALPHA\nTool: Bash\nInput: {" in text
+    assert '  TOOL: Bash\n  Input: {"command":"ls [x]","description":"List"}\n  [ERROR] Result: no such file\n  TOOL: Task\n' in text and "[No result]" in text and "[Context compacted]" in text
+    assert text.index("older alpha") < text.index("TOOL: Bash") < text.index("SYSTEM: ") < text.index("ASSISTANT: plain string")
+
+
+def test_threads_and_subagents(spark, tmp_path):
+    write(tmp_path, "p", "s", [entry(1), entry(2, parentUuid="u1"), entry(3, parentUuid="u2"), entry(4, parentUuid="u1"), entry(5, parentUuid="gone")])
+    write(tmp_path, "p", "agent-a1", [entry(1, content="do it"), entry(2, "assistant", [{"type": "text", "text": "done"}])])
+    own = Transcripts(spark, str(tmp_path))
+    tree = own.threads()
+    got = {r.node: (r.root, r.depth) for r in tree.where("session = 's'").collect()}
+    assert got == {"u1": ("u1", 0), "u2": ("u1", 1), "u3": ("u1", 2), "u4": ("u1", 1), "u5": ("u5", 0)}
+    members = links.thread_members(tree, spark.createDataFrame([("s", "u2")], "session string, node string"), ["session"])
+    assert {(r.node, r.relation) for r in members.collect()} == {("u1", "ancestor"), ("u2", "self"), ("u3", "descendant")}
+    assert [(r.session, r.kind, r.content) for r in own.subagent_items().orderBy("index").collect()] == [("agent-a1", "subagent_input", "do it"), ("agent-a1", "output", "done")]
+
+
 def test_exports(t):
     text = t.export().where("session = 's1'").first().export
     assert text.startswith("USER: alpha intro alpha\n\nASSISTANT: older alpha") and "[COMPACTED] summary" in text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.functions import text as X
-from tracewell.operators import classify, links, listing, search, sessions, views
+from tracewell.operators import classify, exports, items, links, listing, search, sessions, views
 from tracewell.sources import jsonl
 
 
@@ -67,3 +67,25 @@ class Transcripts:
     def export(self, style: str = "text") -> DataFrame:
         rows = self.main().where("category <> 'hardNoise'").withColumnRenamed("category", "kind")
         return (views.export_markdown if style == "markdown" else views.export_text)(rows, ["session"], "pos")
+
+    def threads(self) -> DataFrame:
+        """Each message's place in its thread (links.thread_tree); links.thread_members gives what lies above and below some of them."""
+        m = self.messages()
+        return links.thread_tree(m.select("session", F.col("uuid").alias("node"), F.col("parent_uuid").alias("parent"), "pos"), ["session"], order="pos")
+
+    def subagent_items(self, subagents: DataFrame | None = None) -> DataFrame:
+        """What the files of subagents show, in order; subagents (session, id, parent_task, ts) are those that they started themselves."""
+        m = jsonl.read_messages(self.spark, self.path).where(F.col("file").rlike(r"/agent-[^/]+\.jsonl$"))
+        return items.subagent_items(m, subagents)
+
+    def export_parts(self, style: str = "plaintext") -> DataFrame:
+        """(session, place, text): sessions with their header, thinking, calls and cut results; exports.write_parts writes them in order."""
+        m = self.messages().where("not is_sidechain")
+        rows = sessions.mark_runs(self.main()).select("session", "run", "pos", "category", F.col("text").alias("said"))
+        chunks = rows.groupBy("session", F.col("run").alias("chunk")).agg(F.min_by("category", "pos").alias("kind"), F.min_by("said", "pos").alias("text")).withColumnRenamed("chunk", "pos")
+        placed = rows.where("category = 'ai'").select("session", "pos", F.col("run").alias("chunk"))
+        replies = m.join(placed, ["session", "pos"]).select("session", F.col("chunk").alias("pos"), "line_no", "content_kind", "text", "blocks")
+        calls = self.tools().join(placed.withColumnRenamed("pos", "line_no"), ["session", "line_no"])
+        tools = calls.select("session", F.col("chunk").alias("pos"), (F.col("line_no") * 10_000 + F.col("block_no")).alias("tool_no"), "name", F.col("input_json").alias("input"), "is_orphan", F.col("result_is_error").alias("is_error"), F.col("result_content").alias("result"))
+        about = m.groupBy("session").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("pos"))).alias("project"), F.min_by("git_branch", F.when(F.col("git_branch").isNotNull(), F.col("pos"))).alias("branch"), F.min("ts").alias("created"))
+        return exports.export_parts(self.metrics().join(about, "session"), chunks, replies, tools, ["session"], style)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewell.functions import formats, pretty
 from tracewell.functions import text as X
 
-# Rules and the length at which results are cut.
+# Fixed values, as all labels of the head and of the parts below: rules, and the length at which results are cut.
 DOUBLE, SINGLE = "═" * 60, "─" * 40
 RESULT_LENGTH = {"plaintext": 500, "markdown": 2000}
 #: What a header takes: (label, column) of a session's sums.
