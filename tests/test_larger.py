@@ -1,8 +1,12 @@
 """What only larger tables bring: keys with more digits, long sessions, texts with many matches."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.test_oracle import rows
+from tracewell.operators import links
 from tracewell.plans import catalog
 
 
@@ -16,3 +20,37 @@ def test_tool_summary_of_keys_with_many_digits(spark, tmp_path):
     want = duck.sql(catalog.ORACLES["tool_summary"]).df()
     assert rows(got) == rows(want)
     assert got.summary.str.len().max() == 50
+
+
+def test_thread_tree_locally_and_by_joins(spark):
+    """Both ways say the same of sessions with repeats, cycles, missing parents, an order with gaps and a null session's neighbours."""
+    r = random.Random(9)
+    made = []
+    for s in range(40):
+        n = r.choice([1, 3, 30, 200])
+        made += [(f"s{s}", f"n{k}", r.choice([None, f"n{r.randrange(n)}", f"n{k // 2}", "gone"]), r.choice([None, *range(20)])) for k in range(n) for _ in range(r.choice([1, 1, 2]))]
+    # Of equal places in the order either row may count: one of each.
+    made = list({(s, n, at): (s, n, p, at) for s, n, p, at in made}.values())
+    df = spark.createDataFrame(made, "session string, node string, parent string, at int")
+    for order in ("at", None):
+        rows = df if order else df.dropDuplicates(["session", "node"])
+        rows = rows.localCheckpoint()
+        local = sorted(links.thread_tree(rows, ["session"], order=order).collect())
+        for most in (0, 30):
+            assert sorted(links.thread_tree(rows, ["session"], order=order, local_rows=most).collect()) == local
+    assert any(x.on_cycle for x in local) and any((x.depth or 0) > 3 for x in local)
+
+
+def test_thread_tree_in_chunks(spark):
+    """Sessions that lie across batches and chunks of a task stay whole: chains of many lengths."""
+    rows = spark.range(150).select(F.col("id").alias("session"), F.explode(F.sequence(F.lit(0), 20 * F.col("id"))).alias("node"))
+    rows = rows.withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1)).coalesce(1)
+    got = links.thread_tree(rows, ["session"]).groupBy("session").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max(F.expr("last - first")).alias("wide"), F.count_if(F.col("root") == 0).alias("under"))
+    assert {tuple(x) for x in got.collect()} == {(k, 20 * k + 1, 20 * k, 40 * k + 1, 20 * k + 1) for k in range(150)}
+
+
+def test_short_sessions_are_not_joined(spark):
+    """The threads of short sessions come from one shuffle of their rows, not from joins of whole tours."""
+    rows = spark.range(5000).select((F.col("id") % 50).alias("session"), F.col("id").alias("node"), F.when(F.col("id") > 49, F.col("id") - 50).alias("parent"))
+    plan = links.thread_tree(rows, ["session"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -5,9 +5,12 @@ Interval joins meet in time buckets of a session, not in the session as a whole.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
+from tracewell.operators import tours
 from tracewell.store import keep
 
 
@@ -188,21 +191,46 @@ def threads(rows: DataFrame, by: list[str], node: str = "node", parent: str = "p
     return jump.select(*by, F.col("node").alias(node), "root", "depth")
 
 
-def thread_tree(rows: DataFrame, by: list[str], node: str = "node", parent: str = "parent", order: str | None = None) -> DataFrame:
+#: Rows of a session up to which one task solves its threads.
+LOCAL_ROWS = 1 << 16
+
+
+def thread_tree(rows: DataFrame, by: list[str], node: str = "node", parent: str = "parent", order: str | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(.., node, root, depth, first, last, on_cycle): each row's place in its thread, as an interval.
 
     A tour enters a node, visits its children by order and leaves the node; first and
-    last number its two visits (backwards from 0, the end of the root's tour). So y is below
+    last number its two visits (backwards from -1, the end of the root's tour). So y is below
     x, in any depth, exactly if x and y have the same root and y.first lies between
-    x.first and x.last. The tour is a linked list of two visits for each row; its places,
-    depths and roots come from pointer doubling, log2(2 n) joins for any shape of tree,
-    and no thread is gathered. A parent that isn't there makes a row a root; of rows that
+    x.first and x.last. A parent that isn't there makes a row a root; of rows that
     repeat a node the last by order counts; rows on a cycle, and those below one, have no
     root and are marked.
+
+    Sessions of at most local_rows rows move once, to a task that solves many of them at a
+    time (tours.local_trees). Longer ones are never gathered: their tour is a linked list
+    of two visits for each row, and places, depths and roots come from pointer doubling,
+    log2(2 n) joins for any shape of tree.
     """
-    by_order = F.col(order) if order else F.col(node)
-    one = rows.where(F.col(node).isNotNull()).groupBy(*by, F.col(node).alias("node")).agg(F.max_by(F.struct(F.col(parent).alias("parent"), by_order.alias("at")), by_order).alias("r")).select(*by, "node", "r.*")
-    one = keep(one, "thread-rows")
+    kind = rows.schema[node].dataType
+    above = F.col(parent) if rows.schema[parent].dataType == kind else F.col(parent).try_cast(kind)
+    at = [F.col(order).alias("at")] if order else []
+    given = keep(rows.where(F.col(node).isNotNull()).select(*by, F.col(node).alias("node"), above.alias("parent"), *at), "thread-rows")
+    sort = ["at", "node"] if order else ["node"]
+    # At most one in local_rows rows names a long session.
+    long = keep(given.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > local_rows).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)]), "long-sessions")
+    if not long.take(1):
+        out = tours.local_trees(given, by, sort)
+    else:
+        same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)], F.lit(True))
+        short = tours.local_trees(given.join(F.broadcast(long), same, "left_anti"), by, sort)
+        out = short.unionByName(_joined_trees(given.join(F.broadcast(long), same, "left_semi"), by))
+    return out.withColumnRenamed("node", node)
+
+
+def _joined_trees(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What thread_tree says of rows (by, node, parent, and at if there is an order), for sessions of any length."""
+    by_order = F.col("at" if "at" in rows.columns else "node")
+    one = rows.groupBy(*by, "node").agg(F.max_by(F.struct("parent", by_order.alias("at")), F.struct(by_order)).alias("r")).select(*by, "node", "r.*")
+    one = keep(one, "thread-nodes")
     there = one.select(*by, F.col("node").alias("parent"), F.lit(True).alias("_there"))
     tree = one.join(there, [*by, "parent"], "left").select(*by, "node", "at", F.when(F.col("_there"), F.col("parent")).alias("parent"))
     siblings = Window.partitionBy(*by, "parent").orderBy("at", "node")
@@ -219,7 +247,7 @@ def thread_tree(rows: DataFrame, by: list[str], node: str = "node", parent: str
         if not tour.where("to is not null").take(1):
             break
         step = tour.select(*by, F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("_to"), F.col("to_leaves").alias("_leaves"), F.col("net").alias("_net"), F.col("steps").alias("_steps"), F.col("end").alias("_end"))
-        joined = tour.join(step, [*by, "to", "to_leaves"], "left")
+        joined = tour.join(step.hint("merge"), [*by, "to", "to_leaves"], "left")
         add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
         tour = keep(joined.select(*by, "node", "leaves", F.col("_to").alias("to"), F.col("_leaves").alias("to_leaves"), add("net"), add("steps"), F.coalesce("_end", "end").alias("end")), "tour")
     place = lambda leaves: F.max(F.when(F.col("leaves") == F.lit(leaves), -F.col("steps")))
@@ -228,7 +256,7 @@ def thread_tree(rows: DataFrame, by: list[str], node: str = "node", parent: str
     depth = F.max(F.when(~F.col("leaves"), -F.col("net")))
     out = tour.groupBy(*by, "node").agg(F.max("end").alias("root"), depth.alias("depth"), place(False).alias("first"), place(True).alias("last"), ring.alias("on_cycle"))
     clear = lambda c: F.when(~F.col("on_cycle"), F.col(c)).alias(c)
-    return out.select(*by, F.col("node").alias(node), clear("root"), clear("depth"), clear("first"), clear("last"), "on_cycle")
+    return out.select(*by, "node", clear("root"), clear("depth"), clear("first"), clear("last"), "on_cycle")
 
 
 def thread_members(tree: DataFrame, chosen: DataFrame, by: list[str], node: str = "node") -> DataFrame:
