@@ -54,3 +54,11 @@ def test_short_sessions_are_not_joined(spark):
     rows = spark.range(5000).select((F.col("id") % 50).alias("session"), F.col("id").alias("node"), F.when(F.col("id") > 49, F.col("id") - 50).alias("parent"))
     plan = links.thread_tree(rows, ["session"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_thread_members_are_not_broadcast(spark):
+    """Places make small files even where they are many; the joins over them sort."""
+    rows = spark.range(3000).select((F.col("id") % 30).alias("session"), F.col("id").alias("node"), F.when(F.col("id") > 29, F.col("id") - 30).alias("parent"))
+    members = links.thread_members(links.thread_tree(rows, ["session"]), rows.where("node % 100 = 99"), ["session"])
+    assert "BroadcastHashJoin" not in members._jdf.queryExecution().executedPlan().toString()
+    assert members.count() == 30 * 100

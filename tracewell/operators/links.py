@@ -263,12 +263,13 @@ def thread_members(tree: DataFrame, chosen: DataFrame, by: list[str], node: str
     """(.., of, node, relation, depth): for each chosen (.., node) its ancestors, itself and its descendants in a tree of thread_tree.
 
     Both are interval joins over the places of the tour, so their work follows the result.
+    Places are rows much alike: millions of them make a small file, so Spark would broadcast them.
     """
-    placed = tree.where("not on_cycle")
-    x = placed.join(chosen.select(*by, node).distinct(), [*by, node], "left_semi")
+    placed = keep(tree.where("not on_cycle"), "thread-places")
+    x = keep(placed.join(chosen.select(*by, node).distinct().hint("merge"), [*by, node], "left_semi"), "chosen-places")
     group = [*by, "root"]
     point = lambda df, name: df.select(*group, F.col("first").alias("ts"), F.col(node).alias(name), F.col("depth").alias(f"{name}_depth"))
-    span = lambda df, name: df.select(*group, F.col("first").alias("start"), F.col("last").alias("end"), F.col(node).alias(name), F.col("depth").alias(f"{name}_depth"))
+    span = lambda df, name: df.select(*group, F.col("first").alias("start"), F.col("last").alias("end"), F.col(node).alias(name), F.col("depth").alias(f"{name}_depth")).hint("merge")
     below = in_interval(point(placed, "y"), span(x, "x"), group, "neither").select(*by, F.col("x").alias("of"), F.col("y").alias(node), F.lit("descendant").alias("relation"), F.col("y_depth").alias("depth"))
     above = in_interval(point(x, "x"), span(placed, "y"), group, "neither").select(*by, F.col("x").alias("of"), F.col("y").alias(node), F.lit("ancestor").alias("relation"), F.col("y_depth").alias("depth"))
     own = x.select(*by, F.col(node).alias("of"), F.col(node), F.lit("self").alias("relation"), "depth")
