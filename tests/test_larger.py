@@ -1,12 +1,14 @@
 """What only larger tables bring: keys with more digits, long sessions, texts with many matches."""
 
 import random
+import re
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_oracle import rows
-from tracewell.operators import links
+from tracewell.operators import links, search
 from tracewell.plans import catalog
 
 
@@ -62,3 +64,22 @@ def test_thread_members_are_not_broadcast(spark):
     members = links.thread_members(links.thread_tree(rows, ["session"]), rows.where("node % 100 = 99"), ["session"])
     assert "BroadcastHashJoin" not in members._jdf.queryExecution().executedPlan().toString()
     assert members.count() == 30 * 100
+
+
+def test_matches_are_given_out_in_small_batches():
+    """A batch of texts with many matches gives many small lists of results; one long text's matches are packed as they are found."""
+    texts = ["a THE b " * k for k in (0, 1, 3, 500)] * 50 + [None, "", "the" * 20_000]
+    out = list(search._lists(iter([pa.array(texts)]), "the", 5, pack=1000))
+    assert len(out) > 20 and max(sum(map(len, x.to_pylist())) for x in out[:-1]) < 1500
+    got = [x for part in out for x in part.to_pylist()]
+    assert len(got) == len(texts)
+    for text, places in zip(texts, got, strict=True):
+        assert [p["offset"] for p in places] == [m.start() for m in re.finditer("the", (text or "").lower())]
+        assert all(text[p["offset"] : p["offset"] + 3] == p["matched"] and p["context"].strip(".") in text for p in places)
+
+
+def test_hits_across_many_batches(spark):
+    """Rows keep their own matches where a batch of texts gives several batches of results."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x On "), (F.col("id") % 40).cast("int")).alias("text")).coalesce(1)
+    got = search.hits(docs, "on").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("offset").alias("last"), F.max("match_no").alias("no"))
+    assert {tuple(r) for r in got.collect()} == {(k, k % 40, 5 * (k % 40) - 3, k % 40 - 1) for k in range(3000) if k % 40}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.functions import text as X
@@ -17,22 +19,54 @@ def searchable(rows: DataFrame, by: tuple[str, ...] = ("session",), pos: str = "
     return users.unionByName(ai.select(*by, F.col("pos").alias(pos), F.lit("ai").alias("kind"), "text")).where("text <> ''")
 
 
-def _occurrences(query: str, around: int = 50):
-    """A function from texts to lists of (offset, matched, context): one pass over each text, in time that follows its length and its matches."""
+#: Matches that a Python worker holds as objects before it packs them, and from which it gives out a batch.
+_PACK = 4096
+_PLACE = pa.struct([("offset", pa.int32()), ("matched", pa.string()), ("context", pa.string())])
+
+
+def _matches(text: str, query: str, around: int) -> Iterator[tuple[int, str, str]]:
+    """(offset, matched, context) of each place, in one pass over a text, in time that follows its length and its matches."""
+    n, low, at = len(query), text.lower(), 0
+    while (at := low.find(query, at)) >= 0:
+        begin, end = max(at - around, 0), min(at + n + around, len(text))
+        yield at, text[at : at + n], ("..." if begin else "") + text[begin:end] + ("..." if end < len(text) else "")
+        at += n
+
+
+def _lists(texts: Iterator[pa.Array], query: str, around: int, pack: int = _PACK) -> Iterator[pa.Array]:
+    """The places of each text as lists, some texts at a time: a list of results ends with the text that brings it to pack matches, and what is found is packed as Arrow that often, within a text too."""
+    for batch in texts:
+        packed, lengths, held = [], [0], []
+        for scalar in batch:
+            n = 0
+            for n, place in enumerate(_matches(scalar.as_py() or "", query, around), 1):  # noqa: B007
+                held.append(place)
+                if len(held) >= pack:
+                    packed.append(_packed(held))
+                    held = []
+            lengths.append(lengths[-1] + n)
+            if lengths[-1] >= pack:
+                yield _list(packed, lengths, held)
+                packed, lengths, held = [], [0], []
+        if len(lengths) > 1 or not len(batch):
+            yield _list(packed, lengths, held)
 
-    @F.pandas_udf("array<struct<offset:int,matched:string,context:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        n = len(query)
 
-        def one(text: str) -> list[tuple]:
-            out, low, at = [], text.lower(), 0
-            while (at := low.find(query, at)) >= 0:
-                begin, end = max(at - around, 0), min(at + n + around, len(text))
-                out.append((at, text[at : at + n], ("..." if begin else "") + text[begin:end] + ("..." if end < len(text) else "")))
-                at += n
-            return out
+def _packed(held: list[tuple]) -> pa.Array:
+    columns = zip(*held, strict=True) if held else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACE, strict=True)], fields=list(_PLACE))
+
+
+def _list(packed: list[pa.Array], lengths: list[int], held: list[tuple]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays([*packed, _packed(held)]))
+
+
+def _occurrences(query: str, around: int = 50):
+    """A function from texts to lists of (offset, matched, context). A worker holds a batch of texts and the matches of a few of them, whatever the input's size."""
 
-        return texts.map(one)
+    @F.arrow_udf("array<struct<offset:int,matched:string,context:string>>")
+    def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _lists(texts, query, around)
 
     return find
 
