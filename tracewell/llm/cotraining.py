@@ -26,6 +26,8 @@ from tracewell.llm.store import free_name, keep as write
 
 BITS = 18
 SPACE = 1 << BITS
+#: Bytes of text whose features are made at once; a byte takes some hundred bytes of arrays meanwhile.
+FEATURE_BYTES = 1 << 17
 #: Rows of a fit that must have a feature.
 LEAST_ROWS = 5
 _SYMBOL, _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -272,7 +274,7 @@ def is_worse(after: np.ndarray, before: np.ndarray) -> bool:
 
 
 def _features(batch: pa.RecordBatch, first_meta: int):
-    for block in W.blocks(batch.column(1)):
+    for block in W.blocks(batch.column(1), FEATURE_BYTES):
         n = len(block)
         meta = [batch.column(k).slice(block.first, n).to_pylist() for k in range(first_meta, batch.num_columns)]
         shape = shape_of(block)
