@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from tracewell.llm import cotraining, words
+from tracewell.llm import cotraining, packing, words
 
 
 def test_features_take_little_memory():
@@ -17,3 +17,43 @@ def test_features_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(texts) and peak < 30_000_000, peak
+
+
+def _ids(ids_of, texts, size):
+    for block in words.blocks(pa.array(texts), size):
+        ids, at = ids_of(block)
+        yield from (ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def test_token_ids_take_little_memory():
+    """Some 4 MB of texts of few words: tables for these words, arrays for a part of the texts at a time."""
+    texts = [" ".join(f"w{(i * 31 + k * k) % 5000}" for k in range(400)) for i in range(1600)]
+    size = getattr(packing, "TEXT_BYTES", words.BLOCK_BYTES)
+    words._power("up", 1), words._power("down", 1)
+    tokenizer = packing.vocabulary("word_bpe_49k.json")
+    tracemalloc.start()
+    n = sum(1 for _ in _ids(packing.Ids(tokenizer), texts, size))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 40_000_000, peak
+
+
+def test_token_ids_while_the_tables_grow():
+    from tokenizers import Tokenizer
+
+    tokenizer = packing.vocabulary("word_bpe_49k.json")
+    texts = [" ".join(f"x{(i * 37 + k) % 20_011:x}" for k in range(60)) for i in range(900)]
+    told = [x.ids for x in Tokenizer.from_str(tokenizer).encode_batch(texts, add_special_tokens=False)]
+    for most in (3_000, 1_000_000):
+        ids_of = packing.Ids(tokenizer, most)
+        for _ in range(2):
+            assert list(_ids(ids_of, texts, 20_000)) == told
+        assert most == 3_000 or ids_of.known > 10_000 and len(ids_of.keys) >= 4 * ids_of.known
+
+
+def test_tasks_of_a_worker_share_the_token_ids():
+    tokenizer = packing.vocabulary("word_bpe_49k.json")
+    ids_of = packing.ids_of_worker(tokenizer)
+    first = list(_ids(ids_of, ["one two", "", "three"], 20))
+    assert packing.ids_of_worker(str(tokenizer.encode(), "utf-8")) is ids_of
+    assert list(_ids(ids_of, ["one two", "", "three"], 20)) == first == list(_ids(packing.Ids(tokenizer), ["one two", "", "three"], 20))

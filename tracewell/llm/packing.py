@@ -12,6 +12,7 @@ each class and looks their places up in the plan.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_right
 
@@ -24,6 +25,8 @@ from tracewell.llm.store import keep
 
 WINDOW, STEP = 2048, 8
 END = 1
+#: Bytes of text whose ids are made at once; a byte takes some fifty bytes of arrays meanwhile.
+TEXT_BYTES = 1 << 18
 SCHEMA = pa.schema([(k, pa.int32() if k in ("class", "task") else pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "task", "nth")])
 
 
@@ -59,8 +62,8 @@ class Ids:
     Words end at ASCII white space, and pieces also where an ASCII letter meets
     an ASCII mark, save after an apostrophe: the tokenizer's pattern never joins
     across these places, and it lower-cases (the tests compare with whole texts).
-    Known pieces are found by hash, all of a block at once. The memory is emptied
-    when it holds a million pieces, so it is bounded. Tokenizers of another kind
+    Known pieces are found by hash, all of a block at once, in tables that grow with
+    them. The memory is emptied when it holds a million pieces, so it is bounded. Tokenizers of another kind
     (that keep white space or the case of letters) are given whole texts.
     """
 
@@ -71,11 +74,11 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.own, self.by_words = Tokenizer.from_str(tokenizer), _by_words(tokenizer)
-        self.most, self.bits = most, (4 * most).bit_length()
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.known = 0
+        self.known, self.bits = 0, 12
         self.keys = np.zeros(1 << self.bits, W.U)
         self.values = np.zeros(1 << self.bits, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -100,6 +103,17 @@ class Ids:
             self.values[slot[won]] = values[won]
             h, values, slot = h[~won], values[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
 
+    def _make_room(self, n: int) -> None:
+        """Larger tables if n pieces would fill more than a quarter of them, or, in the largest that most asks for, more than half."""
+        bits = self.bits
+        while n << (2 if bits < (4 * self.most).bit_length() - 1 else 1) > 1 << bits:
+            bits += 1
+        if bits > self.bits:
+            there = self.keys != 0
+            h, values = self.keys[there], self.values[there]
+            self.bits, self.keys, self.values = bits, np.zeros(1 << bits, W.U), np.zeros(1 << bits, np.int32)
+            self._put(h, values)
+
     def _learn(self, h: np.ndarray, new: list[str]) -> None:
         lists = [x.ids for x in self.own.encode_batch_fast(new, add_special_tokens=False)]
         n, used, total = self.known, int(self.at[self.known]), sum(map(len, lists))
@@ -110,6 +124,7 @@ class Ids:
         self.flat[used : used + total] = [i for x in lists for i in x]
         self.at[n + 1 : n + 1 + len(new)] = used + np.cumsum([len(x) for x in lists])
         self.known += len(new)
+        self._make_room(self.known)
         self._put(h, np.arange(n, n + len(new)))
 
     def __call__(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +159,12 @@ class Ids:
         return ids, np.concatenate([[0], to])[W.bounds(doc, len(block))]
 
 
+@functools.lru_cache(maxsize=1)
+def ids_of_worker(tokenizer: str) -> Ids:
+    """One tokenizer with its known pieces for all tasks of a worker, one after the other: made anew for each, they leave holes in its memory."""
+    return Ids(tokenizer)
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The pieces of each document, numbered inside their task and length class."""
     last = np.array([END], "<u4").tobytes()
@@ -152,10 +173,10 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), {}
-        ids_of = Ids(tokenizer)
+        ids_of = ids_of_worker(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for block in W.blocks(batch.column(1)):
+            for block in W.blocks(batch.column(1), TEXT_BYTES):
                 ids, at = ids_of(block)
                 raw, rows = memoryview(ids.astype("<u4").tobytes()), []
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
