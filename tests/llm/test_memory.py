@@ -57,3 +57,31 @@ def test_tasks_of_a_worker_share_the_token_ids():
     first = list(_ids(ids_of, ["one two", "", "three"], 20))
     assert packing.ids_of_worker(str(tokenizer.encode(), "utf-8")) is ids_of
     assert list(_ids(ids_of, ["one two", "", "three"], 20)) == first == list(_ids(packing.Ids(tokenizer), ["one two", "", "three"], 20))
+
+
+def test_fit_takes_little_of_the_drivers_memory(spark):
+    """4,000 labelled rows of some 400 features: what the driver's Python holds is little more than the features."""
+    rows = [(i, " ".join(f"w{(i * 31 + k * k) % 5000}" for k in range(400)) + (" awful" if i % 3 == 0 else ""), "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    model = cotraining.fit(docs, known, rounds=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.text.weight.any() and peak < 40_000_000, peak
+
+
+def test_fit_in_parts_adds_in_the_same_order(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(500)]
+    y = np.array([float(7 in r) for r in rows])
+    found = []
+    for part in (1, 100, 1 << 16):
+        monkeypatch.setattr(cotraining, "PART", part)
+        view = cotraining.fit_linear([cotraining.sparse(rows[:300]), cotraining.sparse([]), cotraining.sparse(rows[300:])], y, rounds=40)
+        cotraining.calibrate(view, cotraining.sparse(rows), y)
+        found.append((view.weight.tolist(), view.bias, view.slope, view.shift))
+        assert ((view.raw_of(cotraining.sparse(rows)) > 0) == y).mean() > 0.95
+    assert found[0] == found[1] == found[2]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ SPACE = 1 << BITS
 FEATURE_BYTES = 1 << 17
 #: Rows of a fit that must have a feature.
 LEAST_ROWS = 5
+#: Features of a sample's rows that a fit takes at once, so that it needs little more than the features themselves.
+PART = 1 << 16
 _SYMBOL, _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-"]] = True
 _UPPER[65:91] = True
@@ -96,6 +99,34 @@ def metadata_features(columns: list[list], shape: list[np.ndarray], n: int) -> t
     return out.ravel(), np.repeat(np.arange(n), out.shape[1])
 
 
+@dataclass
+class Sparse:
+    """The features of rows: f[at[i]:at[i + 1]] are those of row i."""
+
+    f: np.ndarray
+    at: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """Features, and the row of each, of the rows a to b - 1, some whole rows at a time; a and b."""
+        a = 0
+        while a < len(self):
+            b = max(a + 1, int(np.searchsorted(self.at, self.at[a] + PART, "right")) - 1)
+            yield self.f[self.at[a] : self.at[b]], np.repeat(np.arange(a, b), np.diff(self.at[a : b + 1])), a, b
+            a = b
+
+
+def sparse(rows: list[np.ndarray], keep: np.ndarray | None = None) -> Sparse:
+    """The rows' features, or those of them that keep says, copied once."""
+    at = np.cumsum([0, *(len(r) if keep is None else np.count_nonzero(keep[r]) for r in rows)])
+    f = np.zeros(at[-1], np.int32)
+    for i, r in enumerate(rows):
+        f[at[i] : at[i + 1]] = r if keep is None else r[keep[r]]
+    return Sparse(f, at)
+
+
 @dataclass
 class Linear:
     """Logistic regression over the hashed features that tell the classes apart, calibrated on held-out rows."""
@@ -111,52 +142,71 @@ class Linear:
     def logit(self, f: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         return self.slope * self.raw(f, row, n) + self.shift
 
+    def raw_of(self, rows: Sparse) -> np.ndarray:
+        """raw() of each row."""
+        return np.concatenate([np.zeros(0), *[self.raw(f, row - a, b - a) for f, row, a, b in rows.parts()]])
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_linear(f: np.ndarray, row: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, most: int = 4096, least_chi: float = 12.0, rounds: int = 300) -> Linear:
-    """Fits on rows 0..len(y)-1, which count as much as counts says; only the features of the largest chi-squares (least_chi or more, most at most) get a weight."""
+def fit_linear(samples: list[Sparse], y: np.ndarray, counts: np.ndarray | None = None, most: int = 4096, least_chi: float = 12.0, rounds: int = 300) -> Linear:
+    """Fits on the rows of all samples, one after the other, which count as much as counts says; only the features of the largest chi-squares (least_chi or more, most at most) get a weight.
+
+    np.add.at adds in the order of the features, so results don't depend on PART.
+    """
     counts = np.ones(len(y)) if counts is None else counts
     n, good = float(counts.sum()), float(counts @ y)
     weight = np.zeros(SPACE)
     bias = math.log((good + 0.5) / (n - good + 0.5))
     if not 0 < good < n:
         return Linear(weight, bias)
-    with_f = np.bincount(f, counts[row], SPACE)
-    good_f = np.bincount(f, (counts * y)[row], SPACE)
+    first = np.cumsum([0, *map(len, samples)])
+    with_f, good_f, counts_y = np.zeros(SPACE), np.zeros(SPACE), counts * y
+    for k, rows in enumerate(samples):
+        for f, row, _, _ in rows.parts():
+            np.add.at(with_f, f, counts[row + first[k]])
+            np.add.at(good_f, f, counts_y[row + first[k]])
     expected = with_f * good / n
     chi = (good_f - expected) ** 2 / np.maximum(1e-9, expected * (1 - good / n) * (1 - np.minimum(with_f, n - 1) / n))
     chosen = np.argsort(-chi, kind="stable")[:most]
     chosen = chosen[(chi[chosen] >= least_chi) & (with_f[chosen] >= LEAST_ROWS)]
-    place = np.full(SPACE, -1)
+    place = np.full(SPACE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    inside = place[f] >= 0
-    col, row = place[f][inside], row[inside]
+    # The chosen features and their rows, in the narrowest types.
+    inside, per = [], 1
+    for k, rows in enumerate(samples):
+        for f, row, a, _ in rows.parts():
+            there = place[f] >= 0
+            inside.append((place[f[there]].astype(np.min_scalar_type(len(chosen))), (row[there] + first[k]).astype(np.min_scalar_type(len(y)))))
+            per = max(per, int(np.bincount(row[there] - a).max(initial=0)) + 1)
     w, b, vw, vb = np.zeros(len(chosen)), bias, np.zeros(len(chosen)), 0.0
     # Accelerated gradient steps, scaled for each feature by how many rows have it.
-    per = np.bincount(row, minlength=len(y)).max(initial=0) + 1
     rate = 4.0 / (per * np.maximum(1, with_f[chosen]) * 0.5 + 4.0)
     pw, pb = w, b
     for k in range(rounds):
         m = k / (k + 3)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
-        p = _sigmoid(np.bincount(row, vw[col], len(y)) + vb)
-        g = counts * (p - y)
+        z, slope = np.zeros(len(y)), np.zeros(len(chosen))
+        for col, row in inside:
+            np.add.at(z, row, vw[col])
+        g = counts * (_sigmoid(z + vb) - y)
+        for col, row in inside:
+            np.add.at(slope, col, g[row])
         pw, pb = w, b
-        w = vw - rate * (np.bincount(col, g[row], len(chosen)) + 0.02 * vw)
+        w = vw - rate * (slope + 0.02 * vw)
         b = vb - 4.0 * g.sum() / (n * per)
     weight[chosen] = w
     return Linear(weight, float(b))
 
 
-def calibrate(view: Linear, f: np.ndarray, row: np.ndarray, y: np.ndarray) -> None:
+def calibrate(view: Linear, rows: Sparse, y: np.ndarray) -> None:
     """Platt scaling by Newton steps, with smoothed targets; a view that tells nothing ends near the prior."""
     n = len(y)
     if not n or not 0 < y.sum() < n:
         return
-    x, good = view.raw(f, row, n), y.sum()
+    x, good = view.raw_of(rows), y.sum()
     t = np.where(y > 0, (good + 1) / (good + 2), 1 / (n - good + 2))
     a, b = 0.0, math.log(good / (n - good))
     for _ in range(50):
@@ -202,16 +252,6 @@ class CoTrained:
     held_out_loss: list[float]
 
 
-def _rows(features, keep: np.ndarray):
-    """The features of the chosen rows, renumbered in their order."""
-    f, row = features
-    keep = np.asarray(keep, np.int64)
-    place = np.full(max(int(row.max(initial=-1)), int(keep.max(initial=-1))) + 1, -1, np.int32)
-    place[keep] = np.arange(len(keep), dtype=np.int32)
-    inside = place[row] >= 0
-    return f[inside], place[row[inside]]
-
-
 def best_threshold(p: np.ndarray, y: np.ndarray, cost: float = 5.0) -> float:
     """The score from which documents stay, where held-out rows cost least: a good one that goes counts cost times a bad one that stays. The middle of the widest such stretch; 0.5 without rows of both classes."""
     if not len(y) or not 0 < y.sum() < len(y):
@@ -230,31 +270,28 @@ def best_threshold(p: np.ndarray, y: np.ndarray, cost: float = 5.0) -> float:
 class Trainer:
     """Both views, the labelled rows with their features, and what the views gave each other so far."""
 
-    def __init__(self, text, meta, y: np.ndarray, held: np.ndarray, weight: float) -> None:
-        self.sides, self.y, self.weight = (text, meta), y.astype(float), weight
-        self.train, self.test = np.flatnonzero(~held), np.flatnonzero(held)
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        #: For each view, what it learnt from the other one: features, rows, labels.
-        self.given = [(empty, np.zeros(0)), (empty, np.zeros(0))]
+    def __init__(self, train: list[Sparse], test: list[Sparse], y: np.ndarray, held: np.ndarray, weight: float) -> None:
+        """train and test have the features of both views of the rows that aren't held and of those that are."""
+        self.train, self.test, self.weight = train, test, weight
+        self.y, self.held_y = y[~held].astype(float), y[held].astype(float)
+        #: For each view, what it learnt from the other one, a sample and its labels for each round.
+        self.given: list[list[tuple[Sparse, np.ndarray]]] = [[], []]
 
     def fit(self, rounds: int) -> list[Linear]:
         views = []
-        for side, ((f, row), labels) in zip(self.sides, self.given, strict=True):
-            own_f, own_row = _rows(side, self.train)
-            n = len(self.train)
-            y = np.concatenate([self.y[self.train], labels])
-            counts = np.concatenate([np.ones(n), np.full(len(labels), self.weight)])
-            view = fit_linear(np.concatenate([own_f, f]), np.concatenate([own_row, row + n]), y, counts, rounds=rounds)
-            calibrate(view, *_rows(side, self.test), self.y[self.test])
+        for train, test, given in zip(self.train, self.test, self.given, strict=True):
+            y = np.concatenate([self.y, *[labels for _, labels in given]])
+            counts = np.concatenate([np.ones(len(train)), np.full(len(y) - len(train), self.weight)])
+            view = fit_linear([train, *[rows for rows, _ in given]], y, counts, rounds=rounds)
+            calibrate(view, test, self.held_y)
             views.append(view)
         return views
 
     def combination(self, views: list[Linear]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(weights, scores, labels) on the held-out rows."""
-        t, m = (view.logit(*_rows(side, self.test), len(self.test)) for side, view in zip(self.sides, views, strict=True))
-        y = self.y[self.test]
-        w = fit_combination(t, m, y)
-        return w, _sigmoid(combined(w, t, m)), y
+        t, m = (view.slope * view.raw_of(rows) + view.shift for rows, view in zip(self.test, views, strict=True))
+        w = fit_combination(t, m, self.held_y)
+        return w, _sigmoid(combined(w, t, m)), self.held_y
 
     def losses(self, views: list[Linear]) -> np.ndarray:
         """The log-loss of each held-out row."""
@@ -295,20 +332,30 @@ def _fetch(docs: DataFrame, chosen: DataFrame, metadata: list[str]) -> tuple[np.
     def run(batches):
         for batch in batches:
             for block, text, meta in _features(batch, 3):
-                at = [W.bounds(owner, len(block)) for _, owner in (text, meta)]
-                for i in range(len(block)):
-                    k = block.first + i
-                    t, m = (f[a[i] : a[i + 1]] for (f, _), a in zip((text, meta), at, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()]), pa.array([batch.column(2)[k].as_py()], pa.int32()), pa.array([t.astype(np.int32).tobytes()]), pa.array([m.astype(np.int32).tobytes()])], ["doc_id", "y", "t", "m"])
-
-    got = one.select("doc_id", "row.text", "y", *[f"row.m{k}" for k in range(len(metadata))]).mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow().sort_by("doc_id")
-    ids = np.asarray(got.column("doc_id").combine_chunks() if got.num_rows else [], np.int64)
-    y = np.asarray(got.column("y").combine_chunks() if got.num_rows else [], np.int64)
-    return ids, y, [[np.frombuffer(x.as_buffer(), np.int32) for x in got.column(name)] for name in "tm"]
-
-
-def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.zeros(0, np.int32), *parts]), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+                own = [pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer((4 * W.bounds(owner, len(block))).astype(np.int32)), pa.py_buffer(f.astype(np.int32))]) for f, owner in (text, meta)]
+                part = batch.slice(block.first, len(block))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *own], ["doc_id", "y", "t", "m"])
+
+    got = one.select("doc_id", "row.text", "y", *[f"row.m{k}" for k in range(len(metadata))]).mapInArrow(run, "doc_id long, y int, t binary, m binary").toArrow()
+    ids, y = (np.concatenate([np.zeros(0, np.int64), *map(np.asarray, got.column(name).chunks)]).astype(np.int64) for name in ("doc_id", "y"))
+    order = np.argsort(ids)
+    features = []
+    for name in "tm":
+        every = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column(name)]  # views, no copies
+        features.append([every[i] for i in order])
+    return ids[order], y[order], features
+
+
+def _samples(features: list[list[np.ndarray]], held: np.ndarray) -> tuple[list[Sparse], list[Sparse]]:
+    """Both views of the rows that aren't held, and of those that are, without what fewer than LEAST_ROWS rows have: it gets no weight in any fit."""
+    train, test = [], []
+    for view in features:
+        seen = np.zeros(SPACE, np.int32)
+        for f in view:
+            np.add.at(seen, f, 1)
+        for sample, own in ((train, ~held), (test, held)):
+            sample.append(sparse([view[i] for i in np.flatnonzero(own)], seen >= LEAST_ROWS))
+    return train, test
 
 
 def _scored(docs: DataFrame, metadata: list[str], views: list[Linear]) -> DataFrame:
@@ -360,10 +407,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, metadata: tu
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     ids, y, parts = _fetch(docs, chosen, there)
     held = W.mix(ids.astype(W.U)) % W.U(5) == 0
-    # What fewer than LEAST_ROWS rows have gets no weight in any fit: most features of texts go here.
-    seen = [np.bincount(np.concatenate([np.zeros(0, np.int32), *side]), minlength=SPACE) for side in parts]
-    sides = [_flat([p[s[p] >= LEAST_ROWS] for p in side]) for side, s in zip(parts, seen, strict=True)]
-    trainer = Trainer(*sides, y, held, weight)
+    trainer = Trainer(*_samples(parts, held), y, held, weight)
+    del parts
     views = trainer.fit(300)
     lost, exchanged, taken = [trainer.losses(views)], [], {}
     for k in range(rounds if 0 < y.sum() < len(y) else 0):
@@ -381,10 +426,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, metadata: tu
         before = list(trainer.given)
         for side, teacher in ((0, "m"), (1, "t")):
             rows = [i for i, d in enumerate(got.tolist()) if d in says[teacher]]
-            more_f, more_row = _flat([features[side][i] for i in rows])
-            (f, row), own = trainer.given[side]
             labels_of = np.array([says[teacher][int(got[i])] for i in rows], float)
-            trainer.given[side] = ((np.concatenate([f, more_f]), np.concatenate([row, more_row + len(own)])), np.concatenate([own, labels_of]))
+            trainer.given[side] = [*trainer.given[side], (sparse([features[side][i] for i in rows]), labels_of)]
+        del features
         after = list(trainer.given)
         for kept in ((True, True), (False, True), (True, False)):
             trainer.given = [now if k else was for k, now, was in zip(kept, after, before, strict=True)]
